@@ -247,3 +247,241 @@ def q_clv_describe(spark, sf_dir):
 @query("clv_histogram")
 def q_clv_histogram(spark, sf_dir):
     return rp.histogram(_train(spark, sf_dir), "CLV", rp.HIST_BINS)
+
+
+# ---- evaluation on the scored fixture -------------------------------------
+
+from churnscope.operators import evaluate as ev  # noqa: E402
+from churnscope.sources.scored import fixture_scores  # noqa: E402
+
+
+def _scored(spark, sf_dir):
+    return fixture_scores(_prepared(spark, sf_dir))
+
+
+@query("confusion")
+def q_confusion(spark, sf_dir):
+    return ev.confusion(_scored(spark, sf_dir), 0.5)
+
+
+@query("bin_metrics")
+def q_bin_metrics(spark, sf_dir):
+    return ev.bin_metrics(_scored(spark, sf_dir), 0.5)
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return ev.roc_auc(_scored(spark, sf_dir))
+
+
+@query("threshold_sweep")
+def q_threshold_sweep(spark, sf_dir):
+    return ev.threshold_sweep(_scored(spark, sf_dir))
+
+
+@query("recall_first_threshold")
+def q_recall_first_threshold(spark, sf_dir):
+    return ev.chosen_val_metrics(_scored(spark, sf_dir))
+
+
+@query("frozen_test_metrics")
+def q_frozen_test_metrics(spark, sf_dir):
+    return ev.frozen_test_metrics(_scored(spark, sf_dir))
+
+
+@query("roc_points")
+def q_roc_points(spark, sf_dir):
+    return ev.roc_points(_scored(spark, sf_dir).where(F.col("split") == "test"))
+
+
+@query("winner")
+def q_winner(spark, sf_dir):
+    return ev.winner(ev.chosen_val_metrics(_scored(spark, sf_dir))).select(
+        "model", "chosen_threshold", "f1")
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    return ev.model_comparison(ev.frozen_test_metrics(_scored(spark, sf_dir)))
+
+
+@query("confusion_long")
+def q_confusion_long(spark, sf_dir):
+    return ev.confusion_long(ev.frozen_test_metrics(_scored(spark, sf_dir)))
+
+
+def _winner_records(spark, sf_dir):
+    scored = _scored(spark, sf_dir)
+    val = ev.chosen_val_metrics(scored)
+    test = ev.frozen_test_metrics(scored, val)
+    best = F.broadcast(ev.winner(val).select("model"))
+    return val.join(best, "model"), test.join(best, "model")
+
+
+@query("metrics_rows")
+def q_metrics_rows(spark, sf_dir):
+    val, test = _winner_records(spark, sf_dir)
+    return ev.pretty_metrics(val, F.lit("Validation (chosen)"), "chosen_threshold").unionByName(
+        ev.pretty_metrics(test, F.lit("Test (frozen thr.)"), "used_threshold"))
+
+
+@query("operating_threshold")
+def q_operating_threshold(spark, sf_dir):
+    val, test = _winner_records(spark, sf_dir)
+    j = val.select("model", "chosen_threshold").join(
+        test.select("model", "used_threshold"), "model", "left")
+    return j.select("model", F.coalesce("used_threshold", "chosen_threshold",
+                                        F.lit(ev.DEFAULT_THRESHOLD)).alias("operating_threshold"))
+
+
+# ---- actions: serving features, scoring, retention list --------------------
+
+from churnscope.operators import actions as ac  # noqa: E402
+from churnscope.operators.features import serving_features  # noqa: E402
+from churnscope.sources.scored import scorer_column  # noqa: E402
+
+
+def _serving_context(spark, sf_dir):
+    """Train-fitted serving stats, train CLV edges, winner and its threshold."""
+    prepared = _prepared(spark, sf_dir)
+    train = train_only(prepared)
+    stats = fit_feature_stats(train)
+    edges = exact_quantiles(train, "CLV", [0.25, 0.5, 0.75])
+    scored = fixture_scores(prepared)
+    val = ev.chosen_val_metrics(scored)
+    test = ev.frozen_test_metrics(scored, val)
+    best = ev.winner(val).select("model", "chosen_threshold").first()
+    used = test.where(F.col("model") == best["model"]).select("used_threshold").first()
+    thr = used["used_threshold"] if used and used["used_threshold"] is not None else (
+        best["chosen_threshold"] if best["chosen_threshold"] is not None else ev.DEFAULT_THRESHOLD)
+    return stats, edges, best["model"], thr
+
+
+def score_serving(raw: DataFrame, stats, model: str) -> DataFrame:
+    """I6 -> I1 input: serving features and the winner's probability."""
+    feats = serving_features(raw, stats)
+    return feats.withColumn("prob", scorer_column(model))
+
+
+def _retention(spark, sf_dir):
+    stats, edges, model, thr = _serving_context(spark, sf_dir)
+    scored = score_serving(_raw(spark, sf_dir), stats, model)
+    return ac.retention_list(scored, thr, edges)
+
+
+@query("serving_features")
+def q_serving_features(spark, sf_dir):
+    train = _train(spark, sf_dir)
+    stats = fit_feature_stats(train)
+    from churnscope.functions.features import NUMERIC_FEATURES
+    return serving_features(_raw(spark, sf_dir), stats).select(
+        "customerID", *NUMERIC_FEATURES, "tenure_bucket")
+
+
+@query("skew_report")
+def q_skew_report(spark, sf_dir):
+    from churnscope.functions.features import NUMERIC_FEATURES
+    train = _train(spark, sf_dir)
+    stats = fit_feature_stats(train)
+    training = _features(spark, sf_dir)
+    serving = serving_features(_raw(spark, sf_dir), stats)
+    return rp.skew_report(training, serving, NUMERIC_FEATURES + ["tenure_bucket"])
+
+
+@query("retention_list")
+def q_retention_list(spark, sf_dir):
+    return _retention(spark, sf_dir)
+
+
+@query("decision")
+def q_decision(spark, sf_dir):
+    return _retention(spark, sf_dir).select("customerID", "prob", "decision")
+
+
+@query("risk_bucket")
+def q_risk_bucket(spark, sf_dir):
+    return _retention(spark, sf_dir).select("customerID", "prob", "risk")
+
+
+@query("confidence")
+def q_confidence(spark, sf_dir):
+    return _retention(spark, sf_dir).select("customerID", "prob", "confidence", "confidence_text")
+
+
+@query("recommendations")
+def q_recommendations(spark, sf_dir):
+    return _retention(spark, sf_dir).select("customerID", "risk", "value_segment",
+                                            "value_caption", "recommendations", "priority")
+
+
+@query("risk_value_crosstab")
+def q_risk_value_crosstab(spark, sf_dir):
+    return ac.risk_value_crosstab(_retention(spark, sf_dir))
+
+
+# ---- explanation on the fitted design --------------------------------------
+
+from churnscope.operators import explain as xp  # noqa: E402
+
+
+def _design(spark, sf_dir):
+    prepared = _prepared(spark, sf_dir)
+    train = train_only(prepared)
+    return prepared, train, xp.fit_design(train)
+
+
+def _coefs(spark, sf_dir):
+    prepared, train, d = _design(spark, sf_dir)
+    return prepared, train, d, xp.mean_difference_coefficients(train, d)
+
+
+@query("standardised_columns")
+def q_standardised_columns(spark, sf_dir):
+    prepared, _, d = _design(spark, sf_dir)
+    return xp.standardised_columns(prepared, d)
+
+
+@query("one_hot_columns")
+def q_one_hot_columns(spark, sf_dir):
+    prepared, _, d = _design(spark, sf_dir)
+    return xp.one_hot_columns(prepared, d)
+
+
+@query("feature_summary")
+def q_feature_summary(spark, sf_dir):
+    _, train, d = _design(spark, sf_dir)
+    return xp.column_summary(train, d)
+
+
+@query("driver_table")
+def q_driver_table(spark, sf_dir):
+    return xp.driver_table(_coefs(spark, sf_dir)[3])
+
+
+@query("top_drivers")
+def q_top_drivers(spark, sf_dir):
+    return xp.top_drivers(xp.driver_table(_coefs(spark, sf_dir)[3]))
+
+
+@query("linear_importance")
+def q_linear_importance(spark, sf_dir):
+    _, train, d, coefs = _coefs(spark, sf_dir)
+    return xp.linear_importance(coefs, xp.column_summary(train, d))
+
+
+@query("local_explanation")
+def q_local_explanation(spark, sf_dir):
+    prepared, _, d, coefs = _coefs(spark, sf_dir)
+    table = {r["feature"]: r["coef"] for r in coefs.collect()}  # one row per design column
+    return xp.local_explanation(prepared.where(F.col("split") == "test"), d, table)
+
+
+@query("pretty_names")
+def q_pretty_names(spark, sf_dir):
+    return _coefs(spark, sf_dir)[3].select("feature", xp.pretty_feature(F.col("feature")).alias("pretty"))
+
+
+@query("odds_text")
+def q_odds_text(spark, sf_dir):
+    return xp.driver_table(_coefs(spark, sf_dir)[3]).select(
+        "feature", xp.odds_text(F.col("odds_ratio")).alias("odds_text"))

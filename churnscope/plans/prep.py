@@ -1,10 +1,11 @@
 """Preparation lifecycle: raw -> clean -> CLV -> features -> model columns -> split.
 
-``model_table`` returns one lazy DataFrame with a ``split`` column; the only
-eager work is the handful of scalar jobs (leftover probe, two medians, one
-count for the split bucket size).  ``write_splits`` / ``read_splits`` are
-the A2/A3 sink and source: parquet partitioned by ``split`` so later stages
-read one split with partition pruning instead of recomputing the plan.
+Plan shape: the subscriber derivation (orders aggregate + customer join)
+runs once and its stage-1 features are written to the shared checkpoint
+folder; the scalar jobs (leftover probe, two medians, split size) then scan
+that parquet, and the split table is written again partitioned by
+``split`` so reports on one split prune the other partitions.
+``write_splits`` / ``read_splits`` are the A2/A3 sink and source.
 """
 
 from __future__ import annotations
@@ -12,21 +13,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.operators.clean import clean_total_charges
-from churnscope.operators.features import add_clv, engineer_features, select_model_columns
+from churnscope.functions import features as fx
+from churnscope.operators.clean import coerce_total_charges
+from churnscope.operators.features import _apply, add_clv, select_model_columns
 from churnscope.operators.split import stratified_split
-from churnscope.operators.stats import FeatureStats
+from churnscope.operators.stats import FeatureStats, exact_median, fit_feature_stats
+from churnscope.session import stash
 from churnscope.sources.subscribers import load_subscribers
 
 
-def feature_table(raw: DataFrame, stats: FeatureStats | None = None) -> DataFrame:
+def feature_table(raw: DataFrame, stats: FeatureStats | None = None,
+                  materialize: bool = True) -> DataFrame:
     """B5 -> C1/C2 -> C3..C29 on raw subscriber rows (all columns kept)."""
-    return engineer_features(add_clv(clean_total_charges(raw)), stats)
-
-
-def model_table(raw: DataFrame, stats: FeatureStats | None = None, **split_args) -> DataFrame:
+    staged = _apply(add_clv(coerce_total_charges(raw)), fx.training_stage1())
+    if materialize:
+        staged = stash(staged, "features")
+    if staged.where(F.col("TotalCharges").isNull()).limit(1).count() > 0:
+        # Leftovers take the median of the filled values; dependent
+        # stage-1 features are recomputed from the completed column.
+        med = exact_median(staged, "TotalCharges")
+        if med is not None:
+            staged = _apply(staged.withColumn(
+                "TotalCharges", F.coalesce("TotalCharges", F.lit(float(med)))),
+                fx.training_stage1())
+    if stats is None:
+        stats = fit_feature_stats(staged)
+    lit = lambda v: F.lit(v).cast("double")
+    out = _apply(staged, fx.training_stage2(lit(stats.ratio_median), lit(stats.monthly_median)))
+    return out.drop("clv_ratio")
+
+
+def model_table(raw: DataFrame, stats: FeatureStats | None = None, materialize: bool = True,
+                **split_args) -> DataFrame:
     """C30 + D1: id, 47 features, target and ``split``."""
-    return stratified_split(select_model_columns(feature_table(raw, stats)), **split_args)
+    split = stratified_split(select_model_columns(feature_table(raw, stats, materialize)),
+                             **split_args)
+    return stash(split, "splits", partition_by="split") if materialize else split
 
 
 def subscribers_model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +62,11 @@ def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """A3: read all splits or one (partition pruning on ``split``)."""
+    import os
+    if not os.path.exists(path) and "://" not in path:
+        raise FileNotFoundError(f"processed splits not found at {path}; run preparation first")
     df = spark.read.parquet(path)
-    missing = {"split"} - set(df.columns)
-    if missing:
+    if "split" not in df.columns:
         raise FileNotFoundError(f"{path} holds no split partitions")
     return df if split is None else df.where(F.col("split") == split)
 

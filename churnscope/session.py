@@ -51,3 +51,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def stash(df, name: str, partition_by: str | None = None):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor recomputes from the written files, not
+    from the source tables) and lets later jobs prune columns and, with
+    ``partition_by``, partitions.  The folder is the cluster's
+    ``spark.checkpoint.dir``; a scratch folder is used only where unset.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, "stash", f"{name}-{uuid.uuid4().hex}")
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
+    return spark.read.parquet(path)
