@@ -485,3 +485,93 @@ def q_pretty_names(spark, sf_dir):
 def q_odds_text(spark, sf_dir):
     return xp.driver_table(_coefs(spark, sf_dir)[3]).select(
         "feature", xp.odds_text(F.col("odds_ratio")).alias("odds_text"))
+
+
+# ---- fitted MLlib models (rows-only checks) --------------------------------
+
+from churnscope.operators import ml  # noqa: E402
+
+
+def _fitted(spark, sf_dir, kind):
+    prepared = _prepared(spark, sf_dir)
+    train = train_only(prepared)
+    val = prepared.where(F.col("split") == "val")
+    d = xp.fit_design(train)
+    model = ml.fit_model(kind, train, d, val)
+    return prepared, d, model
+
+
+def _model_scores(kind):
+    def run(spark, sf_dir):
+        prepared, d, model = _fitted(spark, sf_dir, kind)
+        return ml.score(model, prepared.where(F.col("split") != "train"), d, kind)
+    return run
+
+
+REGISTRY["logreg_scores"] = _model_scores("logreg")
+REGISTRY["forest_scores"] = _model_scores("rf")
+REGISTRY["gbt_scores"] = _model_scores("xgb")
+
+
+@query("logreg_metrics")
+def q_logreg_metrics(spark, sf_dir):
+    """F5 -> G6/G7: validation-chosen threshold and frozen test metrics."""
+    scored = _model_scores("logreg")(spark, sf_dir)
+    return ev.frozen_test_metrics(scored)
+
+
+@query("fitted_linear_importance")
+def q_fitted_linear_importance(spark, sf_dir):
+    """H1 with the fitted logistic regression's coefficients."""
+    prepared, d, model = _fitted(spark, sf_dir, "logreg")
+    coefs = ml.coefficients(model, ml.feature_names(model, d))
+    return xp.linear_importance(coefs, xp.column_summary(train_only(prepared), d))
+
+
+@query("tree_importance")
+def q_tree_importance(spark, sf_dir):
+    """H2: forest feature importances, top 40."""
+    _, d, model = _fitted(spark, sf_dir, "rf")
+    imp = ml.importances(model, ml.feature_names(model, d))
+    return imp.select("feature", F.col("coef").alias("importance")).orderBy(
+        F.desc("importance"), "feature").limit(xp.TOP_IMPORTANCE)
+
+
+@query("isotonic_scores")
+def q_isotonic_scores(spark, sf_dir):
+    """isotonic calibration fitted on validation scores, applied to test."""
+    scored = _model_scores("logreg")(spark, sf_dir)
+    iso = ml.fit_isotonic(scored.where(F.col("split") == "val"))
+    return ml.apply_isotonic(iso, scored.where(F.col("split") == "test"))
+
+
+@query("calibrated_metrics")
+def q_calibrated_metrics(spark, sf_dir):
+    """calibrated test metrics at the uncalibrated model's frozen threshold."""
+    scored = _model_scores("logreg")(spark, sf_dir)
+    chosen = ev.chosen_val_metrics(scored)
+    iso = ml.fit_isotonic(scored.where(F.col("split") == "val"))
+    calibrated = ml.apply_isotonic(iso, scored.where(F.col("split") == "test"))
+    thr = chosen.select("model", F.col("chosen_threshold").alias("used_threshold"))
+    test = calibrated.join(F.broadcast(thr), "model")
+    conf = ev.rates(ev.confusion(test, F.col("used_threshold"), ["model", "split", "used_threshold"]))
+    return conf.join(ev.roc_auc(calibrated), ev.KEYS, "left")
+
+
+# ---- streaming --------------------------------------------------------------
+
+@query("stream_scoring")
+def q_stream_scoring(spark, sf_dir):
+    """I8: the retention list computed by a Structured Streaming query.
+
+    The derived subscriber rows are written as parquet files into the shared
+    folder and consumed as a file stream; the result equals the batch
+    retention list."""
+    import os
+    import uuid
+    from churnscope.session import ensure_checkpoint_dir
+    from churnscope.streaming.scoring import run_retention_stream
+    stats, edges, model, thr = _serving_context(spark, sf_dir)
+    src = os.path.join(ensure_checkpoint_dir(spark), "stream", f"source-{uuid.uuid4().hex}")
+    _raw(spark, sf_dir).write.parquet(src)
+    return run_retention_stream(spark, src, stats, model, thr, edges)
