@@ -46,8 +46,7 @@ def preprocessor(d: Design) -> list:
         cat_out.append(c)
     if cat_out:
         stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in cat_out],
-                                    outputCols=[f"cat__{c}" for c in cat_out], dropLast=True,
-                                    handleInvalid="keep"))
+                                    outputCols=[f"cat__{c}" for c in cat_out], dropLast=True))
     stages.append(VectorAssembler(inputCols=[n for n, *_ in scaled] + [f"cat__{c}" for c in cat_out],
                                   outputCol="features", handleInvalid="keep"))
     return scaled, stages
@@ -141,6 +140,7 @@ def apply_isotonic(iso_model, scored: DataFrame) -> DataFrame:
 def coefficients(model: PipelineModel, names: list[str]) -> DataFrame:
     """Linear coefficients as a (feature, coef) table."""
     lr = model.stages[-1]
+    _check_length(lr.coefficients.size, names)
     spark = SparkSessionFrom(model)
     return spark.createDataFrame([(n, float(c)) for n, c in zip(names, lr.coefficients.toArray())],
                                  "feature string, coef double")
@@ -149,12 +149,18 @@ def coefficients(model: PipelineModel, names: list[str]) -> DataFrame:
 def importances(model: PipelineModel, names: list[str]) -> DataFrame:
     """H2 input: tree feature importances as a (feature, coef) table."""
     tree = model.stages[-1]
+    _check_length(tree.featureImportances.size, names)
     spark = SparkSessionFrom(model)
     return spark.createDataFrame(
         [(n, float(c)) for n, c in zip(names, tree.featureImportances.toArray())],
         "feature string, coef double")
 
 
+def _check_length(n_weights: int, names: list[str]) -> None:
+    if n_weights != len(names):
+        raise ValueError(f"Mismatch: {n_weights} weights vs {len(names)} feature names")
+
+
 def SparkSessionFrom(_model):  # noqa: N802
     from pyspark.sql import SparkSession
     return SparkSession.getActiveSession()
