@@ -179,9 +179,10 @@ def q_churn_by_quartile(spark, sf_dir):
 
 @query("quartile_edges")
 def q_quartile_edges(spark, sf_dir):
-    edges = exact_quantiles(_train(spark, sf_dir), "CLV", [0.25, 0.5, 0.75])
+    train = _train(spark, sf_dir)
+    edges = exact_quantiles(train, "CLV", [0.25, 0.5, 0.75])
     # Carried by a one-row aggregate of the split so the result stays a plan.
-    return _train(spark, sf_dir).agg(F.count(F.lit(1)).alias("_n")).select(
+    return train.agg(F.count(F.lit(1)).alias("_n")).select(
         *[F.lit(e).cast("double").alias(n) for e, n in zip(edges, ("q1", "q2", "q3"))])
 
 
