@@ -98,11 +98,9 @@ def threshold_sweep(scored: DataFrame, keys=KEYS) -> DataFrame:
             .select(*keys, F.explode(F.sequence(F.lit(0), F.lit(GRID_STEPS - 1))).alias("j")))
     per = grid.join(g.withColumn("j", F.col("g") - 1), [*keys, "j"], "left").fillna(0, ["pos", "neg"])
     # rows at or above threshold j have index g >= j + 1, i.e. the entries j' >= j
+    # one window group per key holds exactly 51 rows
     w = Window.partitionBy(*keys).orderBy(F.desc("j")).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(*keys)
-    above = per.select(
-        *keys, "j", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
-        F.sum("pos").over(tot).alias("_pos_ge0"), F.sum("neg").over(tot).alias("_neg_ge0"))
+    above = per.select(*keys, "j", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
     totals = g.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     out = above.join(totals, keys).select(
         *keys, ((F.lit(GRID_START) + F.col("j")) / F.lit(100.0)).alias("threshold"),
@@ -121,21 +119,22 @@ def recall_first_threshold(sweep: DataFrame, keys=KEYS, recall_min: float = RECA
             .drop("_rn").withColumnRenamed("threshold", "chosen_threshold"))
 
 
-def chosen_val_metrics(scored: DataFrame) -> DataFrame:
+def chosen_val_metrics(scored: DataFrame, with_auc: bool = True) -> DataFrame:
     """Validation record per model: chosen threshold, its metrics and AUC."""
     val = scored.where(F.col("split") == "val")
     chosen = recall_first_threshold(threshold_sweep(val))
-    return chosen.join(roc_auc(val), KEYS, "left")
+    return chosen.join(roc_auc(val), KEYS, "left") if with_auc else chosen
 
 
 def frozen_test_metrics(scored: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Each model's validation threshold applied to its test rows."""
     if chosen is None:
-        chosen = chosen_val_metrics(scored)
+        chosen = chosen_val_metrics(scored, with_auc=False)
     thr = chosen.select("model", F.col("chosen_threshold").alias("used_threshold"))
-    test = scored.where(F.col("split") == "test").join(F.broadcast(thr), "model")
+    test_rows = scored.where(F.col("split") == "test")
+    test = test_rows.join(F.broadcast(thr), "model")
     conf = rates(confusion(test, F.col("used_threshold"), ["model", "split", "used_threshold"]))
-    return conf.join(roc_auc(test), KEYS, "left")
+    return conf.join(roc_auc(test_rows), KEYS, "left")
 
 
 def roc_points(scored: DataFrame, keys=KEYS, buckets: int | None = None) -> DataFrame:

@@ -38,13 +38,12 @@ def preprocessor(d: Design) -> list:
     for c, (mean, std) in d.numeric.items():
         scaled.append((f"num__{c}", c, mean, std if std and not math.isnan(std) else 1.0))
     stages = []
-    cat_out = []
-    for c, levels in d.levels.items():
-        idx = StringIndexer(inputCol=f"_s_{c}", outputCol=f"_i_{c}",
-                            stringOrderType="alphabetAsc", handleInvalid="keep")
-        stages.append(idx)
-        cat_out.append(c)
+    cat_out = list(d.levels)
     if cat_out:
+        # one multi-column indexer: a single pass finds every column's labels
+        stages.append(StringIndexer(inputCols=[f"_s_{c}" for c in cat_out],
+                                    outputCols=[f"_i_{c}" for c in cat_out],
+                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in cat_out],
                                     outputCols=[f"cat__{c}" for c in cat_out], dropLast=True))
     stages.append(VectorAssembler(inputCols=[n for n, *_ in scaled] + [f"cat__{c}" for c in cat_out],
@@ -67,9 +66,9 @@ def feature_names(model: PipelineModel, d: Design) -> list[str]:
     """``num__X`` then ``cat__X_level`` in vector order (indexer labels)."""
     names = [f"num__{c}" for c in d.numeric]
     for stage in model.stages:
-        if hasattr(stage, "labels") and stage.getOutputCol().startswith("_i_"):
-            c = stage.getOutputCol()[3:]
-            names += [f"cat__{c}_{lv}" for lv in stage.labels]
+        if hasattr(stage, "labelsArray") and stage.isSet("outputCols"):
+            for out, labels in zip(stage.getOutputCols(), stage.labelsArray):
+                names += [f"cat__{out[3:]}_{lv}" for lv in labels]
     return names
 
 
@@ -80,7 +79,7 @@ def _estimator(kind: str, n_train: int):
         # balanced weights sum to n.
         return LogisticRegression(featuresCol="features", labelCol=TARGET, weightCol="weight",
                                   maxIter=LOGREG["max_iter"], regParam=1.0 / (LOGREG["C"] * n_train),
-                                  elasticNetParam=0.0, standardization=False, tol=1e-10)
+                                  elasticNetParam=0.0, standardization=False, tol=1e-6)
     if kind == "rf":
         return RandomForestClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight",
                                       numTrees=FOREST["num_trees"], maxDepth=FOREST["max_depth"],

@@ -19,7 +19,7 @@ from churnscope.operators import split as sp
 from churnscope.operators.clean import clean_total_charges
 from churnscope.operators.features import add_clv
 from churnscope.operators.stats import exact_median, exact_quantiles, fit_feature_stats
-from churnscope.plans.prep import feature_table, model_table, train_only
+from churnscope.plans.prep import prepared_tables, train_only
 from churnscope.sources.subscribers import load_subscribers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,15 +34,15 @@ def query(name: str):
 
 
 def _raw(spark, sf_dir):
-    return load_subscribers(spark, sf_dir)
+    return prepared_tables(spark, sf_dir)["raw"]
 
 
 def _features(spark, sf_dir):
-    return feature_table(_raw(spark, sf_dir))
+    return prepared_tables(spark, sf_dir)["features"]
 
 
 def _prepared(spark, sf_dir):
-    return model_table(_raw(spark, sf_dir))
+    return prepared_tables(spark, sf_dir)["splits"]
 
 
 def _train(spark, sf_dir):
@@ -297,7 +297,7 @@ def q_roc_points(spark, sf_dir):
 
 @query("winner")
 def q_winner(spark, sf_dir):
-    return ev.winner(ev.chosen_val_metrics(_scored(spark, sf_dir))).select(
+    return ev.winner(ev.chosen_val_metrics(_scored(spark, sf_dir), with_auc=False)).select(
         "model", "chosen_threshold", "f1")
 
 
@@ -343,19 +343,23 @@ from churnscope.sources.scored import scorer_column  # noqa: E402
 
 
 def _serving_context(spark, sf_dir):
-    """Train-fitted serving stats, train CLV edges, winner and its threshold."""
+    """Train-fitted serving stats, train CLV edges, winner and its threshold.
+
+    Two scalar jobs for the three train statistics and one for the winner:
+    the winner's frozen test threshold is its validation choice, so the
+    A10 fallback chain (test, validation, default) needs no test pass.
+    """
+    from churnscope.operators.stats import FeatureStats, exact_quantiles_multi
     prepared = _prepared(spark, sf_dir)
     train = train_only(prepared)
-    stats = fit_feature_stats(train)
-    edges = exact_quantiles(train, "CLV", [0.25, 0.5, 0.75])
-    scored = fixture_scores(prepared)
-    val = ev.chosen_val_metrics(scored)
-    test = ev.frozen_test_metrics(scored, val)
-    best = ev.winner(val).select("model", "chosen_threshold").first()
-    used = test.where(F.col("model") == best["model"]).select("used_threshold").first()
-    thr = used["used_threshold"] if used and used["used_threshold"] is not None else (
-        best["chosen_threshold"] if best["chosen_threshold"] is not None else ev.DEFAULT_THRESHOLD)
-    return stats, edges, best["model"], thr
+    ratio = F.col("MonthlyCharges") / F.when(F.col("CLV") == 0, F.lit(1)).otherwise(F.col("CLV"))
+    q = exact_quantiles_multi(train.select(ratio.alias("ratio"), "MonthlyCharges", "CLV"),
+                              {"ratio": [0.5], "MonthlyCharges": [0.5], "CLV": [0.25, 0.5, 0.75]})
+    stats = FeatureStats(q["ratio"][0], q["MonthlyCharges"][0])
+    best = ev.winner(ev.chosen_val_metrics(fixture_scores(prepared), with_auc=False)).select(
+        "model", "chosen_threshold").first()
+    thr = best["chosen_threshold"] if best["chosen_threshold"] is not None else ev.DEFAULT_THRESHOLD
+    return stats, q["CLV"], best["model"], thr
 
 
 def score_serving(raw: DataFrame, stats, model: str) -> DataFrame:

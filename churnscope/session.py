@@ -54,8 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def stash(df, name: str, partition_by: str | None = None):
-    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+def write_stash(df, name: str, partition_by: str | None = None) -> str:
+    """Write ``df`` as parquet under the shared checkpoint folder; return the path.
 
     Cuts the lineage (a lost executor recomputes from the written files, not
     from the source tables) and lets later jobs prune columns and, with
@@ -63,11 +63,15 @@ def stash(df, name: str, partition_by: str | None = None):
     ``spark.checkpoint.dir``; a scratch folder is used only where unset.
     """
     import uuid
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
+    base = ensure_checkpoint_dir(df.sparkSession)
     path = os.path.join(base, "stash", f"{name}-{uuid.uuid4().hex}")
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def stash(df, name: str, partition_by: str | None = None):
+    """``write_stash`` and read the written table back."""
+    return df.sparkSession.read.parquet(write_stash(df, name, partition_by))
