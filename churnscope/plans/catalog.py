@@ -580,3 +580,12 @@ def q_stream_scoring(spark, sf_dir):
     src = os.path.join(ensure_checkpoint_dir(spark), "stream", f"source-{uuid.uuid4().hex}")
     _raw(spark, sf_dir).write.parquet(src)
     return run_retention_stream(spark, src, stats, model, thr, edges)
+
+
+@query("model_selection")
+def q_model_selection(spark, sf_dir):
+    """Lifecycle (b): all three fitted models, validation choice and frozen test
+    metrics in one table, with the winner flagged (F5-F10, G4-G7)."""
+    from churnscope.plans.train import metrics_table, train_and_evaluate
+    result = train_and_evaluate(_prepared(spark, sf_dir))
+    return metrics_table(result).withColumn("is_winner", F.col("model") == F.lit(result.winner))

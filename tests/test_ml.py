@@ -37,3 +37,23 @@ def test_logreg_fit_names_and_scores(spark):
     rows = scored.collect()
     assert rows and all(0.0 <= r["prob"] <= 1.0 for r in rows)
     assert ev.frozen_test_metrics(scored).count() == 1
+
+
+def test_train_and_evaluate_writes_artifacts(spark):
+    import os
+    import tempfile
+    from churnscope.plans.train import train_and_evaluate
+    from churnscope.sources import artifacts as art
+    prepared = model_table(load_subscribers(spark, SF_SMALL))
+    out = tempfile.mkdtemp(prefix="train-", dir="/tmp")
+    res = train_and_evaluate(prepared, kinds=("logreg",), out_dir=out)
+    assert res.winner == "logreg"
+    metrics = art.read_metrics(spark, os.path.join(out, "metrics_all"))
+    assert metrics.count() == 2
+    thr = art.operating_threshold(art.read_metrics(spark, os.path.join(out, "best_metrics"))).first()
+    assert 0.3 <= thr["operating_threshold"] <= 0.8
+    assert art.read_importance(spark, os.path.join(out, "importance"), "logreg").count() == 40
+    assert art.read_drivers_csv(spark, os.path.join(out, "drivers_full")).count() >= 30
+    model = art.load_pipeline(os.path.join(out, "pipelines", "best"))
+    assert len(model.stages) >= 3
+    assert art.read_roc(spark, os.path.join(out, "roc_test"), "logreg").count() >= 2
