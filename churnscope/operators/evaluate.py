@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.operators.ranking import running_sums
+from churnscope.session import stash
 
 KEYS = ["model", "split"]
 # Threshold grid 0.30..0.80 step 0.01, recall floor, fallback.
@@ -44,10 +45,16 @@ def confusion(scored: DataFrame, threshold, keys=KEYS) -> DataFrame:
         F.count_if(y & ~pred).alias("fn"), F.count_if(y & pred).alias("tp"))
 
 
-def score_counts(scored: DataFrame, keys=KEYS) -> DataFrame:
-    """Distinct scores per key with positive / negative counts."""
-    return scored.groupBy(*keys, "prob").agg(
+def score_counts(scored: DataFrame, keys=KEYS, materialize: bool = False) -> DataFrame:
+    """Distinct scores per key with positive / negative counts.
+
+    With ``materialize`` the table is written once to the shared folder, so
+    the several branches of a running-sum plan read it instead of scanning
+    the scored rows again (Spark does not reuse those exchanges).
+    """
+    counts = scored.groupBy(*keys, "prob").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+    return stash(counts, "score_counts") if materialize else counts
 
 
 def roc_auc(scored: DataFrame, keys=KEYS, buckets: int | None = None) -> DataFrame:
@@ -56,7 +63,7 @@ def roc_auc(scored: DataFrame, keys=KEYS, buckets: int | None = None) -> DataFra
     Null when a key has only one class.  Ties count one half, as the
     trapezoid rule does.
     """
-    counts = score_counts(scored, keys)
+    counts = score_counts(scored, keys, materialize=True)
     cum = running_sums(counts, keys, "prob", ["neg"], buckets=buckets)
     terms = cum.select(*keys, "pos", "neg",
                        (F.col("pos").cast("double")
@@ -146,7 +153,7 @@ def roc_points(scored: DataFrame, keys=KEYS, buckets: int | None = None) -> Data
     with a null threshold.  The next score is found by an equi-join on the
     global position, which the running count provides.
     """
-    counts = score_counts(scored, keys).withColumn("one", F.lit(1))
+    counts = score_counts(scored, keys, materialize=True).withColumn("one", F.lit(1))
     cum = running_sums(counts, keys, "prob", ["one", "pos", "neg"], descending=True,
                        buckets=buckets)
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
