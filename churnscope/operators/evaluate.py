@@ -101,6 +101,9 @@ def threshold_sweep(scored: DataFrame, keys=KEYS) -> DataFrame:
     """
     g = scored.groupBy(*keys, _grid_index(F.col("prob")).alias("g")).agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+    # at most 52 rows per key: written once so the three branches below do not
+    # rescan the scored rows
+    g = stash(g, "grid_counts")
     grid = (g.select(*keys).distinct()
             .select(*keys, F.explode(F.sequence(F.lit(0), F.lit(GRID_STEPS - 1))).alias("j")))
     per = grid.join(g.withColumn("j", F.col("g") - 1), [*keys, "j"], "left").fillna(0, ["pos", "neg"])
