@@ -22,7 +22,7 @@ DEFAULT_ROWS_PER_BUCKET = 2_000_000
 
 def row_hash(id_col="customerID", salt: int = 42) -> Column:
     """Deterministic pseudo-random order key in [0, 2^31 - 1)."""
-    k = F.col(id_col) if isinstance(id_col, str) else id_col
+    k = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("bigint")
     h = F.pmod(F.pmod(k + F.lit(salt), F.lit(HASH_MODULUS)) * HASH_MULTIPLIER, F.lit(HASH_MODULUS))
     return F.pmod(h * HASH_MULTIPLIER, F.lit(HASH_MODULUS))
 
@@ -64,8 +64,9 @@ def hash_split(df: DataFrame, id_col: str = "customerID", salt: int = 42) -> Dat
     u = row_hash(id_col, salt)
     tr, va, _ = SPLIT_WEIGHTS
     total = sum(SPLIT_WEIGHTS)
-    split = (F.when(u * total < F.lit(HASH_MODULUS) * tr, SPLIT_NAMES[0])
-             .when(u * total < F.lit(HASH_MODULUS) * (tr + va), SPLIT_NAMES[1])
+    # thresholds as bigint literals: the modulus times a weight exceeds int range
+    split = (F.when(u * total < F.lit(HASH_MODULUS * tr), SPLIT_NAMES[0])
+             .when(u * total < F.lit(HASH_MODULUS * (tr + va)), SPLIT_NAMES[1])
              .otherwise(SPLIT_NAMES[2]))
     return df.withColumn("split", split)
 
