@@ -4,19 +4,20 @@ Exact quantiles at scale
 ------------------------
 ``percentile`` keeps a map of every distinct value in one final task, which
 does not survive a column with billions of distinct doubles.
-``exact_quantiles`` instead narrows a bracket around each wanted rank:
-
-1. one pass: ``count`` and ``percentile_approx`` at ``p -/+ margin``; the
-   approximate answer is an actual value whose rank error is at most
-   ``n / accuracy``, so the bracket ``[lo, hi]`` surely holds the two ranks
-   the linear interpolation needs;
-2. one pass: rows below ``lo`` are counted and the rows inside the bracket
-   are reduced to ``(value, count)`` with a distributed ``groupBy`` (ties,
-   even a value holding a third of all rows, collapse to one row);
-3. if the bracket still has more distinct values than ``max_exact`` the
+``exact_quantiles`` instead counts the values first; when they are few
+(at most ``max_exact``) one ranking pass over the distinct values picks the
+order statistics.  Otherwise it narrows a bracket around each wanted rank:
+
+1. ``percentile_approx`` at ``p -/+ 2 / accuracy`` returns data values
+   whose rank error is at most ``n / accuracy``, so the bracket
+   ``[lo, hi]`` surely holds the two ranks the interpolation needs;
+2. rows below ``lo`` are counted, and the rows inside the bracket are
+   reduced to ``(value, count)`` with a distributed ``groupBy`` (ties, even
+   a value holding a third of all rows, collapse to one row);
+3. if the bracket still has more than ``max_exact`` distinct values the
    same step repeats on the bracket only (each round shrinks it by about
-   ``accuracy / 4``); otherwise a running count over the bracket's sorted
-   distinct values picks the two order statistics.
+   ``accuracy / 4``); otherwise a running count over its sorted distinct
+   values picks the order statistics.
 
 Only scalars (counts, bracket edges, two order statistics) reach the driver.
 Interpolation is ``a + (b - a) * t`` on positions ``(n - 1) * p`` (the
