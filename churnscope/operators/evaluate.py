@@ -208,7 +208,7 @@ def model_comparison(test_metrics: DataFrame) -> DataFrame:
         model_ordinal(F.col("model")).alias("model_ord"),
         F.round("precision", 3).alias("precision"), F.round("recall", 3).alias("recall"),
         F.round("f1", 3).alias("f1"), F.round("auc", 3).alias("auc"),
-        F.round("used_threshold", 2).alias("threshold")).orderBy("model_ord")
+        F.round("used_threshold", 2).alias("threshold")).coalesce(1).sortWithinPartitions("model_ord")
 
 
 def confusion_long(test_metrics: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def train_only(df: DataFrame) -> DataFrame:
 # fingerprint) under the shared checkpoint folder and read back by every
 # query.  A changed input file changes the fingerprint and rebuilds.
 
-_MEMO: dict[tuple, dict[str, str]] = {}
+_MEMO: dict[tuple, dict] = {}
 
 
 def _fingerprint(sf_dir: str, names=("customer", "orders")) -> tuple:
@@ -111,5 +111,8 @@ def prepared_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         feats = spark.read.parquet(paths["features"])
         split = stratified_split(select_model_columns(feats))
         paths["splits"] = write_stash(split, "splits", partition_by="split")
-        _MEMO[key] = paths
-    return {name: spark.read.parquet(p) for name, p in paths.items()}
+        # keep each schema so later reads skip the footer-inference job
+        entry = {name: (p, spark.read.parquet(p).schema) for name, p in paths.items()}
+        _MEMO[key] = entry
+        paths = entry
+    return {name: spark.read.schema(schema).parquet(p) for name, (p, schema) in paths.items()}
