@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnscope.functions.text import flag, ne_lower, eq_lower
+from churnscope.functions.text import eq_lower, ne_lower
 from churnscope.operators.stats import exact_quantiles
 
 # Value tiers in ascending order.

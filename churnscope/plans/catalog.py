@@ -20,7 +20,6 @@ from churnscope.operators.clean import clean_total_charges
 from churnscope.operators.features import add_clv
 from churnscope.operators.stats import exact_median, exact_quantiles, fit_feature_stats
 from churnscope.plans.prep import prepared_tables, train_only
-from churnscope.sources.subscribers import load_subscribers
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}

@@ -51,10 +51,6 @@ def model_table(raw: DataFrame, stats: FeatureStats | None = None, materialize:
     return stash(split, "splits", partition_by="split") if materialize else split
 
 
-def subscribers_model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model_table(load_subscribers(spark, sf_dir))
-
-
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A2: one parquet dataset partitioned by ``split``."""
     df.write.mode(mode).partitionBy("split").parquet(path)
