@@ -469,8 +469,10 @@ def q_top_drivers(spark, sf_dir):
 
 @query("linear_importance")
 def q_linear_importance(spark, sf_dir):
-    _, train, d, coefs = _coefs(spark, sf_dir)
-    return xp.linear_importance(coefs, xp.column_summary(train, d))
+    _, train, d = _design(spark, sf_dir)
+    profile = xp.design_profile(train, d, materialize=True)   # one aggregate feeds both tables
+    return xp.linear_importance(xp.mean_difference_coefficients(train, d, profile),
+                                xp.column_summary(train, d, profile))
 
 
 @query("local_explanation")
