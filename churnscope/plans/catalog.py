@@ -590,3 +590,13 @@ def q_model_selection(spark, sf_dir):
     from churnscope.plans.train import metrics_table, train_and_evaluate
     result = train_and_evaluate(_prepared(spark, sf_dir))
     return metrics_table(result).withColumn("is_winner", F.col("model") == F.lit(result.winner))
+
+
+@query("fitted_retention_list")
+def q_fitted_retention_list(spark, sf_dir):
+    """I7 as the scoring page does it: serving features scored by a fitted
+    pipeline (the logistic regression), its validation threshold, actions."""
+    from churnscope.plans.train import retention_with_model, train_and_evaluate
+    prepared = _prepared(spark, sf_dir)
+    result = train_and_evaluate(prepared, kinds=("logreg",))
+    return retention_with_model(_raw(spark, sf_dir), train_only(prepared), result)

@@ -57,3 +57,9 @@ def test_train_and_evaluate_writes_artifacts(spark):
     model = art.load_pipeline(os.path.join(out, "pipelines", "best"))
     assert len(model.stages) >= 3
     assert art.read_roc(spark, os.path.join(out, "roc_test"), "logreg").count() >= 2
+    from churnscope.plans.train import retention_with_model
+    from churnscope.sources.subscribers import load_subscribers as _load
+    ret = retention_with_model(_load(spark, SF_SMALL), prepared.where(F.col("split") == "train"), res)
+    rows = ret.collect()
+    assert len(rows) == prepared.count()
+    assert all(0.0 <= r["prob"] <= 1.0 and r["risk"] in ("High", "Medium", "Low") for r in rows)
