@@ -40,13 +40,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (local tests, the bench) a fresh scratch folder is created and set.
+    and Spark runs in local mode (tests, the bench) a fresh scratch folder is
+    created and set; on a cluster an unset folder is an error.
     """
     current = spark.conf.get(CHECKPOINT_KEY, None)
     if not current:
         current = spark.sparkContext.getCheckpointDir() if hasattr(
             spark.sparkContext, "getCheckpointDir") else None
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is not shared by executors: require the setting
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by the cluster "
+                               "(HDFS, S3, ...) before running churnscope jobs")
         current = tempfile.mkdtemp(prefix="churnscope-ckpt-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, current)
     if not spark.sparkContext.getCheckpointDir():
