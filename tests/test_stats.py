@@ -67,3 +67,22 @@ def test_running_sums_match_cumsum(spark):
         exp["cum_v"] = exp.groupby("k")["v"].cumsum()
         m = exp.merge(got, on=["k", "x"], suffixes=("", "_s"))
         assert len(m) == len(pdf) and (m["cum_v"] == m["cum_v_s"]).all()
+
+
+def test_bracket_path_recurses(spark, monkeypatch):
+    """The bracketed path runs (and recurses) when values outnumber max_exact."""
+    import churnscope.operators.stats as st
+    calls = {"bracket": 0}
+    real = st._bracket
+
+    def counting(values, p, accuracy):
+        calls["bracket"] += 1
+        return real(values, p, accuracy)
+
+    monkeypatch.setattr(st, "_bracket", counting)
+    rng = np.random.default_rng(21)
+    vals = rng.random(20000)
+    df = spark.createDataFrame(pd.DataFrame({"x": vals}))
+    got = st.exact_quantiles(df, "x", [0.5, 0.9], accuracy=50, max_exact=100)
+    assert np.allclose(got, np.quantile(vals, [0.5, 0.9]), rtol=0, atol=1e-15)
+    assert calls["bracket"] >= 4      # one bracket per quantile, then at least one narrowing each
