@@ -6,10 +6,13 @@ table; ``QUERIES`` and ``ORACLE`` are merged into the driver's registry.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import sharding, url_filter, warc
+from churnscope.llm import sharding, topk, url_filter, warc
+from churnscope.llm.shipping import ship
 from churnscope.sources.tables import read_table
 
 
@@ -21,15 +24,77 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"),
+                      F.col("vec_id") % topk.EVERY == 0)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {
+def _shipped(query: Callable) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {name: _shipped(query) for name, query in {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
+    "op8_topk": op8_topk,
     "op10_warc": op10_warc,
-}
+}.items()}
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op2_url_filter"] = """
+WITH rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://')
+      THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS r
+  FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         substr(r, length(regexp_extract(r, '^[^/]*')) + 1) AS path
+  FROM rest),
+rules(verdict, rhost, rpath) AS (VALUES
+  ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+  ('block', 'net', '/es/'), ('block', 'net', '/fr/'))
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN LATERAL (
+  SELECT rhost || rpath AS rule, verdict FROM rules
+  WHERE (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)
+  ORDER BY length(rhost || rpath) DESC LIMIT 1) m ON true
+"""
+
+ORACLE["op8_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5
+"""
+
+ORACLE["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY hex) AS first,
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(hex, (i // 8 * 10 + 1)::BIGINT, 10))::BIGINT) >> (35 - 5 * (i % 8))::BIGINT) & 31)::BIGINT
+      + 1, 1)),
+      'string_agg', '') AS payload_digest
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
