@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import sharding, topk, url_filter, warc
+from churnscope.llm import decontaminate, sharding, topk, url_filter, warc
 from churnscope.llm.shipping import ship
 from churnscope.sources.tables import read_table
 
@@ -24,6 +24,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                             read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"),
                       F.col("vec_id") % topk.EVERY == 0)
@@ -44,6 +52,7 @@ def _shipped(query: Callable) -> Callable:
 QUERIES = {name: _shipped(query) for name, query in {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
+    "op6_decontamination": op6_decontamination,
     "op8_topk": op8_topk,
     "op10_warc": op10_warc,
 }.items()}
@@ -70,6 +79,33 @@ FROM parts p LEFT JOIN LATERAL (
   ORDER BY length(rhost || rpath) DESC LIMIT 1) m ON true
 """
 
+ORACLE["op6_decontamination"] = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dn AS (SELECT doc_id, w, coalesce(len(w), 0) AS n FROM dw),
+iwin AS (
+  SELECT item_id, array_to_string(w[i:i + 9], ' ') AS win, least(len(w), 10) AS k
+  FROM iw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT k FROM iwin),
+dwin AS (
+  SELECT doc_id, i AS pos, k, array_to_string(w[i:i + k - 1], ' ') AS win
+  FROM dn JOIN sizes ON n >= k, unnest(range(1, n - k + 2)) AS t(i)),
+occ AS (SELECT d.doc_id, d.pos, d.k, b.item_id FROM dwin d JOIN iwin b ON d.win = b.win AND d.k = b.k),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+         FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS p FROM (SELECT DISTINCT doc_id, pos, k FROM occ))
+         GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM dn d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
 ORACLE["op8_topk"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
