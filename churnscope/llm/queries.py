@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import decontaminate, sharding, topk, url_filter, warc
+from churnscope.llm import decontaminate, near_dedup, sharding, topk, url_filter, warc
 from churnscope.llm.shipping import ship
 from churnscope.sources.tables import read_table
 
@@ -37,6 +37,10 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("vec_id") % topk.EVERY == 0)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=2)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -54,6 +58,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op2_url_filter": op2_url_filter,
     "op6_decontamination": op6_decontamination,
     "op8_topk": op8_topk,
+    "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
 }.items()}
 
@@ -119,6 +124,27 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 WHERE rank <= 5
 """
 
+ORACLE["op9_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:least(i + 1, len(w))], ' ') AS s
+  FROM w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_have AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+              FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT x, y FROM both_have JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+         WHERE 100 * k >= 80 * (p.n + q.n - k)),
+links AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other),
+least_id AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN least_id USING (doc_id)
+"""
+
 ORACLE["op10_warc"] = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
