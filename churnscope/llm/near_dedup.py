@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.llm.components import components
-from churnscope.llm.textblock import SPACED, blocks, split_words
+from churnscope.llm.textblock import SPACED, blocks, buffer_of, split_words
 from churnscope.session import stash
 
 SHINGLE = 5
@@ -51,6 +51,8 @@ SIMILARITY = (80, 100)  # intersection * 100 >= 80 * union
 COORDINATES = 64
 MATCHES = 32
 SEED = 20_011
+#: Ids (8 bytes each) of candidates that are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,7 +102,7 @@ def _digest(values: np.ndarray) -> bytes | None:
 
 
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set, null if empty) and signature."""
+    """doc_id, n_shingles, key (digest of the set, null if empty), signature, its low bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, limit=2 << 20):
@@ -110,10 +112,11 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * sig.shape[1]),
                                             pa.array(sig.ravel().view(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), flat],
-                ["doc_id", "n_shingles", "key", "sig"])
+                [block.column(0), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), flat,
+                 pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())],
+                ["doc_id", "n_shingles", "key", "sig", "low"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, sig array<int>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, sig array<int>, low binary")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -130,25 +133,35 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "key binary, values array<long>").where(F.col("key").isNotNull())
 
 
-def _agreeing(pairs: DataFrame, matches: int) -> DataFrame:
-    """Pairs (a, b) whose signatures (sig_a, sig_b) agree on enough coordinates."""
+def _agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+    """Distinct pairs (a, b) whose signatures agree on enough coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two = (batch.column(i).flatten().to_numpy().reshape(batch.num_rows, -1) for i in (2, 3))
+            one, two = (buffer_of(batch.column(i))[1].reshape(batch.num_rows, COORDINATES) for i in (2, 3))
             hit = pa.array((one == two).sum(axis=1) >= matches)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)],
                                              ["a", "b"])
 
-    return (pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "sig_a", "sig_b")
-            .mapInArrow(run, "a binary, b binary").distinct())
+    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return (both.join(classes.select(F.col("cls").alias("a"), F.col("low").alias("low_a")), "a")
+            .join(classes.select(F.col("cls").alias("b"), F.col("low").alias("low_b")), "b")
+            .select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int,
+               similarity: tuple[int, int]) -> DataFrame:
+    """The pairs whose full sets are similar enough, as a written table."""
     part, whole = similarity
+    pairs = stash(pairs, "near-candidates")
+    used = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    used = stash(classes.join(used, "cls", "left_semi").select("cls", "key", "least"), "near-used")
+    ids = used.select(F.col("least").alias("_id")).distinct()
+    if used.count() <= BROADCAST_ROWS:  # else the texts are shuffled by id
+        ids = F.broadcast(ids)
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = stash(_sets(texts, shingle).join(used.select("key", "cls"), "key")
+                 .dropDuplicates(["cls"]).select("cls", "values"), "near-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,9 +174,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)],
                                              ["a", "b"])
 
-    return (pairs.join(sets.select(F.col("key").alias("a"), F.col("values").alias("one")), "a")
-            .join(sets.select(F.col("key").alias("b"), F.col("values").alias("two")), "b")
-            .select("a", "b", "one", "two").mapInArrow(run, "a binary, b binary"))
+    joined = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("values").alias("one")), "a")
+              .join(sets.select(F.col("cls").alias("b"), F.col("values").alias("two")), "b"))
+    return stash(joined.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "near-links")
 
 
 def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -176,60 +189,51 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"),
                      F.col(text_column).cast("string").alias("text"))
     rows = stash(sketch(docs, shingle), "sketches")
+    # classes of equal sets; their numbers are drawn once, when the table is written
     classes = stash(rows.where(F.col("key").isNotNull()).groupBy("key")
                     .agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"),
-                         F.first("sig").alias("sig")), "classes")
+                         F.first("sig").alias("sig"), F.first("low").alias("low"))
+                    .withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     # posting pairs that several classes have, and each class's prefix of them
-    tokens = classes.select("key", F.posexplode("sig").alias("c", "v")).select(
-        "key", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long")).alias("token"))
+    tokens = classes.select("cls", F.posexplode("sig").alias("c", "v")).select(
+        "cls", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long")).alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n_token")).where("n_token > 1")
     prefix = COORDINATES - matches + 1
-    ranked = F.sort_array(F.collect_list(F.struct("n_token", "token")))
-    chosen = (tokens.join(shared, "token").groupBy("key").agg(ranked.alias("some"))
-              .withColumn("room", F.size("some") - (COORDINATES - prefix))
-              .where("room > 0")
-              .select("key", F.expr("transform(slice(some, 1, room), x -> x.token)").alias("tokens")))
-    posts = stash(chosen.join(classes.select("key", "n", "sig"), "key"), "posts")
-    posted = posts.select("key", "n", "sig", F.explode("tokens").alias("token"))
-
-    wanted = posts.select("key")
-    ids = (rows.select("doc_id", "key").join(wanted, "key", "left_semi")
-           .groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
-    sets = stash(_sets(docs.join(ids.withColumnRenamed("doc_id", "_id"),
-                                 F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), shingle)
-                 .join(wanted, "key", "left_semi").groupBy("key").agg(F.first("values").alias("values")),
-                 "sets")
+    chosen = (tokens.join(shared, "token").groupBy("cls")
+              .agg(F.sort_array(F.collect_list(F.struct("n_token", "token"))).alias("some"))
+              .withColumn("room", F.size("some") - (COORDINATES - prefix)).where("room > 0")
+              .select("cls", F.expr("transform(slice(some, 1, room), x -> x.token)").alias("tokens")))
+    posts = stash(chosen.join(classes.select("cls", "n"), "cls"), "posts")
 
     def close(a: str, b: str) -> F.Column:
         return (F.col(a) * whole >= F.col(b) * part) & (F.col(b) * whole >= F.col(a) * part)
 
-    hubs = stash(posted.groupBy("token").agg(F.min(F.struct("key", "n", "sig")).alias("hub"),
-                                             F.count("*").alias("k")).where("k > 1"), "hubs")
-    star = (posted.join(hubs, "token").where((F.col("key") != F.col("hub.key")) & close("n", "hub.n"))
-            .select(F.col("key").alias("a"), F.col("hub.key").alias("b"), F.col("sig").alias("sig_a"),
-                    F.col("hub.sig").alias("sig_b")))
-    links = stash(_confirmed(_agreeing(star, matches), sets, similarity), "near-links")
+    # every class of a posting list against one hub of it
+    posted = posts.select("cls", "n", F.explode("tokens").alias("token"))
+    hubs = stash(posted.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("k"))
+                 .where("k > 1").select("token", F.col("hub.cls").alias("b"), F.col("hub.n").alias("n_b")), "hubs")
+    star = posted.join(hubs, "token").where((F.col("cls") != F.col("b")) & close("n", "n_b"))
+    links = _confirmed(_agreeing(star.select(F.col("cls").alias("a"), "b"), classes, matches),
+                       classes, docs, shingle, similarity)
     roots = stash(components(links), "near-roots")
 
-    named = posts.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn(
-        "root", F.coalesce("root", "key"))
-    named = stash(named.select("key", "n", "sig", "root", F.explode("tokens").alias("token")), "named-posts")
+    # lists within one component are skipped; in the others, pairs of two components
+    named = posts.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "cls", "n", F.coalesce("root", "cls").alias("root"), F.explode("tokens").alias("token"))
     mixed = stash(named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
                   .where("low <> high").select("token"), "mixed")
     left = stash(named.join(mixed, "token"), "mixed-posts")
-    one = left.select("token", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "sig", "root")))
-    two = left.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "sig", "root")))
-    cross = (one.join(two, "token").where((F.col("key_a") < F.col("key_b"))
-                                          & (F.col("root_a") != F.col("root_b")) & close("n_a", "n_b"))
-             .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "sig_a", "sig_b"))
-    more = _confirmed(_agreeing(cross, matches), sets, similarity)
+    one, two = (left.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "root"))) for x in "ab")
+    cross = one.join(two, "token").where((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b"))
+                                         & close("n_a", "n_b"))
+    more = _confirmed(_agreeing(cross.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")),
+                                classes, matches), classes, docs, shingle, similarity)
     roots = stash(components(links.union(more)), "near-roots")
 
     # components are named by the smallest id of their classes
-    owned = classes.select("key", "least").join(
-        roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn(
-        "root", F.coalesce("root", "key"))
+    owned = classes.select("key", "cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left") \
+        .select("key", "least", F.coalesce("root", "cls").alias("root"))
     least = stash(owned.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
     named = stash(owned.join(least, "root").select("key", "component_id"), "class-components")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

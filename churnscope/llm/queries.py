@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import decontaminate, near_dedup, sharding, topk, url_filter, warc
+from churnscope.llm import decontaminate, langid, near_dedup, sharding, topk, toxicity, url_filter, warc
 from churnscope.llm.shipping import ship
 from churnscope.sources.tables import read_table
 
@@ -24,6 +24,15 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.fit(docs, labels, _remainder("doc_id", 5) != 0)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+                         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents", "doc_id", "text"),
                                              read_table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -32,6 +41,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _remainder(column: str, divisor: int) -> F.Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = langid.identify(docs, F.coalesce(_remainder("doc_id", 3) != 1, F.lit(False)))
+    return found.select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+                        "lang_pred", "score")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"),
                       F.col("vec_id") % topk.EVERY == 0)
@@ -56,7 +76,9 @@ def _shipped(query: Callable) -> Callable:
 QUERIES = {name: _shipped(query) for name, query in {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
+    "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_langid": op7_langid,
     "op8_topk": op8_topk,
     "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
