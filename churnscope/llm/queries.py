@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import decontaminate, langid, near_dedup, sentencepieces, sharding, topk, toxicity, url_filter, warc
+from churnscope.llm import decontaminate, langid, near_dedup, repeats, sentencepieces, sharding, topk, toxicity, url_filter, warc
 from churnscope.llm.shipping import ship
 from churnscope.sources.tables import read_table
 
@@ -24,6 +24,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.dedup(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"),
                                      sentencepieces.read_model())
@@ -81,6 +86,7 @@ def _shipped(query: Callable) -> Callable:
 QUERIES = {name: _shipped(query) for name, query in {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
