@@ -79,4 +79,23 @@ def write_stash(df, name: str, partition_by: str | None = None) -> str:
 
 def stash(df, name: str, partition_by: str | None = None):
     """``write_stash`` and read the written table back."""
-    return df.sparkSession.read.parquet(write_stash(df, name, partition_by))
+    path = write_stash(df, name, partition_by)
+    out = df.sparkSession.read.parquet(path)
+    out._stash_path = path
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark can reach."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*frames) -> None:
+    """Delete the tables behind frames that ``stash`` returned.
+
+    Only for tables that no frame still in use reads: what was derived from
+    them must itself have been written.
+    """
+    for df in frames:
+        delete_path(df.sparkSession, df._stash_path)
