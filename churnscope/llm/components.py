@@ -10,20 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.session import stash
+from churnscope.session import release, stash
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Links (a, b), a > b, moved to the smallest neighbour of their node."""
+    """Links (a, b), a > b, moved to the smallest neighbour of their node; ``links`` is used up."""
     if large:  # each node tells its larger neighbours its smallest one (or itself)
         sides = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stash(sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "star-min")
-        return (sides.where("b > a").join(least, "a")
-                .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-    # each node tells its smaller neighbours, and itself, its smallest one
-    least = stash(links.groupBy("a").agg(F.min("b").alias("m")), "star-min")
-    moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+        moved = (sides.where("b > a").join(least, "a")
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+    else:  # each node tells its smaller neighbours, and itself, its smallest one
+        least = stash(links.groupBy("a").agg(F.min("b").alias("m")), "star-min")
+        moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    out = stash(moved, "links")
+    release(links, least)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
 
     seen = shape(now)
     while seen[0]:
-        now = stash(_star(_star(now, True), False), "links")
+        now = _star(_star(now, True), False)
         found = shape(now)
         if found == seen:
             break

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from churnscope.llm.components import components
 from churnscope.llm.textblock import SPACED, blocks, buffer_of, split_words
-from churnscope.session import stash
+from churnscope.session import release, stash
 
 SHINGLE = 5
 SIMILARITY = (80, 100)  # intersection * 100 >= 80 * union
@@ -113,10 +113,12 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                                             pa.array(sig.ravel().view(np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [block.column(0), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), flat,
-                 pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())],
-                ["doc_id", "n_shingles", "key", "sig", "low"])
+                 pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()), *block.columns[2:]],
+                ["doc_id", "n_shingles", "key", "sig", "low", *kept])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, sig array<int>, low binary")
+    kept = docs.columns[2:]
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    return docs.mapInArrow(run, f"doc_id long, n_shingles long, key binary, sig array<int>, low binary{more}")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -159,7 +161,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
     ids = used.select(F.col("least").alias("_id")).distinct()
     if used.count() <= BROADCAST_ROWS:  # else the texts are shuffled by id
         ids = F.broadcast(ids)
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = stash(_sets(texts, shingle).join(used.select("key", "cls"), "key")
                  .dropDuplicates(["cls"]).select("cls", "values"), "near-sets")
 
@@ -176,18 +178,20 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
 
     joined = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("values").alias("one")), "a")
               .join(sets.select(F.col("cls").alias("b"), F.col("values").alias("two")), "b"))
-    return stash(joined.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "near-links")
+    out = stash(joined.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "near-links")
+    release(pairs, used, sets)
+    return out
 
 
 def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY,
-                matches: int = MATCHES) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_shingles, component_id, kept."""
+                matches: int = MATCHES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``df``: doc_id, n_shingles, component_id, kept, and columns ``carry``."""
     if not 0 < matches <= COORDINATES:
         raise ValueError(f"matches must be 1 to {COORDINATES}")
     part, whole = similarity
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"),
-                     F.col(text_column).cast("string").alias("text"))
+                     F.col(text_column).cast("string").alias("text"), *carry)
     rows = stash(sketch(docs, shingle), "sketches")
     # classes of equal sets; their numbers are drawn once, when the table is written
     classes = stash(rows.where(F.col("key").isNotNull()).groupBy("key")
@@ -229,14 +233,15 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
                                          & close("n_a", "n_b"))
     more = _confirmed(_agreeing(cross.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")),
                                 classes, matches), classes, docs, shingle, similarity)
-    roots = stash(components(links.union(more)), "near-roots")
+    all_roots = stash(components(links.union(more)), "near-roots")
 
     # components are named by the smallest id of their classes
-    owned = classes.select("key", "cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left") \
+    owned = classes.select("key", "cls", "least").join(all_roots.withColumnRenamed("node", "cls"), "cls", "left") \
         .select("key", "least", F.coalesce("root", "cls").alias("root"))
     least = stash(owned.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
     named = stash(owned.join(least, "root").select("key", "component_id"), "class-components")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return (rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")
+    release(classes, posts, hubs, links, roots, more, all_roots, mixed, left, least)
+    return (rows.select("doc_id", "n_shingles", "key", *carry).join(named, "key", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"),
-                    F.col("doc_id").eqNullSafe(component).alias("kept")))
+                    F.col("doc_id").eqNullSafe(component).alias("kept"), *carry))

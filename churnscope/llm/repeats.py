@@ -24,7 +24,7 @@ Edge cases: a null text counts as empty; texts shorter than ``LENGTH`` lose
 nothing; repeated rows are copies and lose all their strings; rows are told
 apart by id and content, so a null id or one with several texts is fine; an
 empty table gives an empty result.  The kept text can be cut within a
-character: ``kept`` is bytes, and ``text`` drops the broken characters.
+character: ``kept`` is bytes, and ``kept_text`` drops the broken characters.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from churnscope.llm.anchors import anchor_runs
 from churnscope.llm.suffix_sort import sort_suffixes
 from churnscope.llm.textblock import blocks, buffer_of
-from churnscope.session import stash
+from churnscope.session import release, stash
 
 LENGTH = 200
 #: Differing runs of one anchor that a task sorts together.
@@ -167,7 +167,10 @@ def _kept(data: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, split: int = SPLIT) -> DataFrame:
-    """(id0, sum0, begin, end): stretches that repeats cover; ``docs`` has id0, sum0 and text."""
+    """Stretches that repeats cover, as a written table of (id0, sum0, spans).
+
+    ``docs`` has id0, sum0 and text.
+    """
     long = docs.where(F.octet_length("text") >= length)
     runs = _runs(long, length)
     states = stash(runs.groupBy("mark").agg(F.count("*").alias("n"), F.min("all").alias("one"),
@@ -203,7 +206,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, split: int = SPLIT) ->
     several = (mixed.join(kinds.where("n > 1").select("mark", "all"), ["mark", "all"])
                .select(*DOC, "first", "last"))
     whole = equal.select(*DOC, "first", "last").union(several)
-    return whole.select(*DOC, F.col("first").alias("begin"), (F.col("last") + length).alias("end")).union(ends)
+    spans = whole.select(*DOC, F.col("first").alias("begin"), (F.col("last") + length).alias("end")).union(ends)
+    out = stash(spans.groupBy(*DOC).agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "removed-spans")
+    release(states, hit, kinds, sizes, listed, found, twice, ends)
+    return out
 
 
 def _of_these(docs: DataFrame, listed: DataFrame) -> DataFrame:
@@ -214,14 +220,12 @@ def _of_these(docs: DataFrame, listed: DataFrame) -> DataFrame:
 
 def dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH,
           split: int = SPLIT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``df``: id, columns ``keep``, n_bytes, n_removed, n_spans and kept (bytes)."""
+    """One row per row of ``df``: id, columns ``keep``, n_bytes, n_removed, n_spans, kept and kept_text."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     docs = df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("id0"),
                      F.xxhash64(text).alias("sum0"), text.alias("text"),
                      F.struct(F.col(id_column), *keep).alias("row"))
-    spans = removed_spans(docs, length, split)
-    per_doc = stash(spans.groupBy(*DOC).agg(F.collect_list(F.struct("begin", "end")).alias("spans")),
-                    "removed-spans")
+    per_doc = removed_spans(docs, length, split)
     some = per_doc.select(*DOC)
     few = some.count() <= BROADCAST_ROWS
     hit = docs.join(F.broadcast(some) if few else some, DOC, "left_semi").join(per_doc, DOC)
@@ -237,13 +241,14 @@ def dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
                 out.append(_kept(raw[offsets[i]:offsets[i + 1]], pairs))
             yield pa.RecordBatch.from_arrays(
                 [block.column(2), pa.array(np.diff(offsets)), pa.array([x[1] for x in out], pa.int64()),
-                 pa.array([x[2] for x in out], pa.int64()), pa.array([x[0] for x in out], pa.binary())],
-                ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+                 pa.array([x[2] for x in out], pa.int64()), pa.array([x[0] for x in out], pa.binary()),
+                 pa.array([x[0].decode("utf-8", "ignore") for x in out], pa.string())],
+                ["row", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
 
     kind = docs.schema["row"].dataType.simpleString()
     changed = hit.select("text", "spans", "row").mapInArrow(
-        cut, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+        cut, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
     same = rest.select("row", F.octet_length("text").cast("long").alias("n_bytes"),
                        F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-                       F.col("text").cast("binary").alias("kept"))
-    return changed.union(same).select("row.*", "n_bytes", "n_removed", "n_spans", "kept")
+                       F.col("text").cast("binary").alias("kept"), F.col("text").alias("kept_text"))
+    return changed.union(same).select("row.*", "n_bytes", "n_removed", "n_spans", "kept", "kept_text")

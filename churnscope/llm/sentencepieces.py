@@ -323,17 +323,19 @@ def encode(df: DataFrame, model: bytes, text_column: str = "text", ids_column: s
             .mapInArrow(run, ", ".join([*schema, f"`{ids_column}` array<int>"])))
 
 
-def round_trip(df: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, ids, n_tokens, n_bytes (tokens of byte fallback) and whether decoding gives the text back."""
+def round_trip(df: DataFrame, model: bytes, text_column: str = "text",
+               keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, ids, n_tokens, n_bytes (tokens of byte fallback) and whether decoding
+    gives the text back."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    text, kind = F.col(text_column).cast("string"), df.schema[id_column].dataType.simpleString()
+    text = F.col(text_column).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(shared.value, ())
         is_byte = np.zeros(len(machine.spellings), np.int64)
         is_byte[list(machine.bytes.values())] = 1
-        for block in blocks(batches, limit=BLOCK):
-            raw = block.column(1)
+        for block in blocks(batches, column=0, limit=BLOCK):
+            raw = block.column(0)
             ids, offsets = machine.encode_column(raw)
             decoded = machine.decode_column(ids, offsets)
             skip = len(machine.prefix)
@@ -342,14 +344,15 @@ def round_trip(df: DataFrame, model: bytes, id_column: str = "doc_id", text_colu
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()),
                                              mask=raw.is_null() if raw.null_count else None)
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), lists, pa.array(np.diff(offsets)), pa.array(sums(is_byte[ids], offsets)),
+                [*block.columns[1:], lists, pa.array(np.diff(offsets)), pa.array(sums(is_byte[ids], offsets)),
                  pa.array(same, pa.bool_())], names)
 
-    names = [id_column, "ids", "n_tokens", "n_bytes", "round_trip"]
+    names = [*keep, "ids", "n_tokens", "n_bytes", "round_trip"]
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
     if compiled(model, ()).prefix:
         text = F.when(text == "", text).otherwise(F.concat(F.lit(" "), text))
-    return df.select(F.col(id_column), text.alias("_text")).mapInArrow(
-        run, f"`{id_column}` {kind}, ids array<int>, n_tokens long, n_bytes long, round_trip boolean")
+    return df.select(text.alias("_text"), *keep).mapInArrow(run, ", ".join(
+        [*kinds, "ids array<int>", "n_tokens long", "n_bytes long", "round_trip boolean"]))
 
 
 def decode(df: DataFrame, model: bytes, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:

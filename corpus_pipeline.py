@@ -1,10 +1,96 @@
-"""Training-corpus pipeline over ``documents``."""
+"""Training-corpus pipeline over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it keeps
+is written as Parquet and read again as the next stage's docs.  All stages but
+the last return the columns of ``documents``.
+
+1. toxicity: documents that the classifier rejects go.
+2. near_dedup: of each group of near-duplicates (five-word shingles, similarity
+   0.8 or more) the document with the smallest id stays.
+3. suffix_dedup: bytes that a repeated 200-byte string covers are cut out of
+   every document; the documents stay, with the rest of their text.
+4. decontamination: documents that hold a window of a benchmark item go.
+5. sentencepiece: token ids of every document, and whether they decode to it.
+
+Rows are told apart by id and text, so rows with equal or null ids are each
+judged by their own text; of identical rows one stays in stage 2.  Nulls in
+other columns pass through; an empty table gives empty results.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from churnscope.llm import decontaminate, near_dedup, repeats, sentencepieces, toxicity
+from churnscope.llm.shipping import ship
+from churnscope.session import stash
+from churnscope.sources.tables import read_table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents left out of the fit of the classifier: the share that can measure it.
+HELD_OUT = 5
+
+
+def _tag() -> F.Column:
+    """A row's identity: its id and its text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT != 0
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"), learn)
+    scored = toxicity.score(docs.select(*COLUMNS), model, keep=COLUMNS[1:])
+    return scored.where(F.col("score") < 0.5).select(*COLUMNS)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    tagged = docs.select(*COLUMNS).withColumn("tag", _tag())
+    groups = near_dedup.near_groups(tagged, carry=("tag",))
+    kept = stash(groups.where("kept").select("tag").distinct(), "kept-tags")
+    return tagged.dropDuplicates(["tag"]).join(kept, "tag", "left_semi").select(*COLUMNS)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    cut = repeats.dedup(docs.select(*COLUMNS), keep=("lang", "source", "n_chars"))
+    text = F.col("kept_text")
+    same = F.col("n_removed") == 0
+    return cut.select("doc_id", text.alias("text"), "lang", "source",
+                      F.when(same, F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    tagged = docs.select(*COLUMNS).withColumn("tag", _tag())
+    found = decontaminate.find_contamination(tagged.select(F.col("tag").alias("doc_id"), "text"),
+                                             read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+    hit = stash(found.where("n_hit > 0").select(F.col("doc_id").alias("tag")).distinct(), "hit-tags")
+    return tagged.join(hit, "tag", "left_anti").select(*COLUMNS)
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return sentencepieces.round_trip(docs, sentencepieces.read_model(),
+                                     keep=("doc_id", "lang", "source", "n_chars"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("suffix_dedup", suffix_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
