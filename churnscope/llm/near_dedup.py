@@ -12,11 +12,14 @@ probability below 1e-8; pairs below that count are no candidates.
   alone has cannot collide, so a class with that many of them posts nothing,
   and the others post only the rest of their prefix.
 * Skip: in each posting list every class is first compared with one hub (the
-  smallest), which is linear in the list.  Confirmed links are merged into
-  components; then lists whose classes are all connected are skipped, and in
-  the others only classes of different components are paired.  A family of
-  thousands of near copies therefore costs its size, not its square, while
-  every link that could join two components is looked at.
+  one whose pairs are most common), which is linear in the list.  Confirmed
+  links are merged into components; then lists whose classes are all connected
+  are skipped.  In the other lists, classes of different components are paired,
+  unless too many shingles are one class's own: shingles that no other of these
+  classes has are in no intersection, and with what remains many a pair cannot
+  reach the similarity.  A family of thousands of near
+  copies therefore costs its size, not its square, while every link that could
+  join two components is looked at.
 * Candidates whose signatures agree on ``MATCHES`` coordinates are confirmed on
   their full sets, and components follow from confirmed links alone.
 
@@ -151,12 +154,8 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
             .select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long"))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int,
-               similarity: tuple[int, int]) -> DataFrame:
-    """The pairs whose full sets are similar enough, as a written table."""
-    part, whole = similarity
-    pairs = stash(pairs, "near-candidates")
-    used = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+def _sets_of(used: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(cls, values): the full set of each class in ``used``, read from one document of it."""
     used = stash(classes.join(used, "cls", "left_semi").select("cls", "key", "least"), "near-used")
     ids = used.select(F.col("least").alias("_id")).distinct()
     if used.count() <= BROADCAST_ROWS:  # else the texts are shuffled by id
@@ -164,6 +163,26 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = stash(_sets(texts, shingle).join(used.select("key", "cls"), "key")
                  .dropDuplicates(["cls"]).select("cls", "values"), "near-sets")
+    release(used)
+    return sets
+
+
+def _shareable(sets: DataFrame) -> DataFrame:
+    """(cls, share): how many of its shingles a class of ``sets`` has in common with any other.
+
+    A shingle that only one class has is in no intersection, so ``share`` bounds the
+    intersection of the class with each other one.
+    """
+    shingles = sets.select("cls", F.explode("values").alias("value"))
+    single = shingles.groupBy("value").agg(F.count("*").alias("k"), F.min("cls").alias("cls")).where("k = 1")
+    own = single.groupBy("cls").agg(F.count("*").alias("own"))
+    return (sets.select("cls", F.size("values").alias("n")).join(own, "cls", "left")
+            .select("cls", (F.col("n") - F.coalesce("own", F.lit(0))).alias("share")))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs whose full sets are similar enough, as a written table."""
+    part, whole = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,10 +198,16 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
     joined = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("values").alias("one")), "a")
               .join(sets.select(F.col("cls").alias("b"), F.col("values").alias("two")), "b"))
     out = stash(joined.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "near-links")
-    release(pairs, used, sets)
+    release(pairs)
     return out
 
 
+def _mixed(posts: DataFrame) -> DataFrame:
+    """The postings (token, cls, n, root) of lists that hold more than one component."""
+    lists = posts.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return posts.join(stash(lists.where("low <> high").select("token"), "mixed"), "token")
+
+
 def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY,
                 matches: int = MATCHES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -207,32 +232,40 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     chosen = (tokens.join(shared, "token").groupBy("cls")
               .agg(F.sort_array(F.collect_list(F.struct("n_token", "token"))).alias("some"))
               .withColumn("room", F.size("some") - (COORDINATES - prefix)).where("room > 0")
-              .select("cls", F.expr("transform(slice(some, 1, room), x -> x.token)").alias("tokens")))
+              .select("cls", F.expr("transform(slice(some, 1, room), x -> x.token)").alias("tokens"),
+                      F.expr("aggregate(some, 0L, (s, x) -> s + x.n_token)").alias("weight")))
     posts = stash(chosen.join(classes.select("cls", "n"), "cls"), "posts")
 
     def close(a: str, b: str) -> F.Column:
         return (F.col(a) * whole >= F.col(b) * part) & (F.col(b) * whole >= F.col(a) * part)
 
-    # every class of a posting list against one hub of it
-    posted = posts.select("cls", "n", F.explode("tokens").alias("token"))
-    hubs = stash(posted.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("k"))
+    # every class of a posting list against one hub of it, the one that shares most
+    posted = posts.select("cls", "n", "weight", F.explode("tokens").alias("token"))
+    hubs = stash(posted.groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("hub"),
+                                             F.count("*").alias("k"))
                  .where("k > 1").select("token", F.col("hub.cls").alias("b"), F.col("hub.n").alias("n_b")), "hubs")
     star = posted.join(hubs, "token").where((F.col("cls") != F.col("b")) & close("n", "n_b"))
-    links = _confirmed(_agreeing(star.select(F.col("cls").alias("a"), "b"), classes, matches),
-                       classes, docs, shingle, similarity)
+    pairs = stash(_agreeing(star.select(F.col("cls").alias("a"), "b"), classes, matches), "near-candidates")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, docs, shingle)
+    links = _confirmed(pairs, sets, similarity)
+    release(sets)
     roots = stash(components(links), "near-roots")
 
     # lists within one component are skipped; in the others, pairs of two components
     named = posts.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "n", F.coalesce("root", "cls").alias("root"), F.explode("tokens").alias("token"))
-    mixed = stash(named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                  .where("low <> high").select("token"), "mixed")
-    left = stash(named.join(mixed, "token"), "mixed-posts")
-    one, two = (left.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "root"))) for x in "ab")
-    cross = one.join(two, "token").where((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b"))
-                                         & close("n_a", "n_b"))
-    more = _confirmed(_agreeing(cross.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")),
-                                classes, matches), classes, docs, shingle, similarity)
+    mixed = stash(_mixed(named), "mixed-posts")
+    sets = _sets_of(mixed.select("cls").distinct(), classes, docs, shingle)
+    # similar sets have at least (n_a + n_b) * part / (part + whole) shingles in common
+    left = _mixed(mixed.join(_shareable(sets), "cls").where(F.col("share") * whole >= F.col("n") * part))
+    one, two = (left.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "root", "share")))
+                for x in "ab")
+    cross = one.join(two, "token").where(
+        (F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & close("n_a", "n_b")
+        & (F.least("share_a", "share_b") * (part + whole) >= (F.col("n_a") + F.col("n_b")) * part))
+    pairs = stash(_agreeing(cross.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")),
+                            classes, matches), "near-candidates")
+    more = _confirmed(pairs, sets, similarity)
     all_roots = stash(components(links.union(more)), "near-roots")
 
     # components are named by the smallest id of their classes
@@ -241,7 +274,7 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     least = stash(owned.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
     named = stash(owned.join(least, "root").select("key", "component_id"), "class-components")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    release(classes, posts, hubs, links, roots, more, all_roots, mixed, left, least)
+    release(classes, posts, hubs, links, roots, more, all_roots, mixed, sets, least)
     return (rows.select("doc_id", "n_shingles", "key", *carry).join(named, "key", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"),
                     F.col("doc_id").eqNullSafe(component).alias("kept"), *carry))
