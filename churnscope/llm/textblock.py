@@ -61,9 +61,10 @@ def split_words(column: pa.Array, table: bytes) -> Words:
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
     first[heads] = inside[heads]  # a text never continues the word before it
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
     starts = np.flatnonzero(first)
-    kept = np.concatenate(([0], np.cumsum(inside)))
-    ends = kept[np.concatenate((starts, [len(data)]))]
+    ends = np.concatenate(([0], np.cumsum(np.flatnonzero(last) - starts + 1)))
     packed = data[inside]
     words = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(starts),
