@@ -58,7 +58,7 @@ class LanguageModel:
                 for n in range(1, MAX_NGRAM + 1):
                     found.update(ngrams(word.decode("utf-8", "replace"), n))
             grams[lang] = dict(found.most_common(MAX_GRAMS))
-        return cls(languages, _log_table(kept, languages, 3), _log_table(grams, languages, 3))
+        return cls(languages, _log_table(kept, languages, 3), _log_table(grams, languages, 1))
 
     def word(self, word: bytes) -> np.ndarray:
         """Log score of a word for each language."""
