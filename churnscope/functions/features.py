@@ -193,6 +193,19 @@ def serving_inputs() -> list[tuple[str, Column]]:
     ]
 
 
+def serving_payload() -> list[tuple[str, Column]]:
+    """The categorical columns as the form sends them, from the form fields."""
+    toggles = {"Partner": "f_partner", "Dependents": "f_dependents", "PhoneService": "f_phone",
+               "OnlineSecurity": "f_onsec", "OnlineBackup": "f_onbak", "DeviceProtection": "f_devprot",
+               "TechSupport": "f_techsup", "StreamingTV": "f_stv", "StreamingMovies": "f_smov",
+               "PaperlessBilling": "f_paperless"}
+    chosen = {"MultipleLines": "f_multiline", "InternetService": "f_internet", "Contract": "f_contract",
+              "PaymentMethod": "f_payment"}
+    return ([(name, F.when(F.col(f), "Yes").otherwise("No")) for name, f in toggles.items()]
+            + [(name, F.col(f)) for name, f in chosen.items()]
+            + [("SeniorCitizen", flag(F.col("f_senior")))])
+
+
 def serving_stage1() -> list[tuple[str, Column]]:
     t, m = F.col("tenure"), F.col("MonthlyCharges")
     services = (flag(F.col("f_phone")) + flag(F.col("f_internet") != "No")

@@ -20,7 +20,7 @@ GRID_START, GRID_STEPS = 30, 51          # thresholds (30 + j) / 100, j = 0..50
 RECALL_MIN = 0.60
 DEFAULT_THRESHOLD = 0.60
 MODEL_ORDER = ["logreg", "rf", "xgb"]
-MODEL_LABELS = {"logreg": "LOGREG", "rf": "RANDOM FOREST", "xgb": "XGBOOST"}
+MODEL_LABELS = {"logreg": "LOGREG", "rf": "RANDOM FOREST", "xgb": "XGBOOST"}  # the report's titles
 
 
 def _div(num: Column, den: Column) -> Column:
@@ -39,19 +39,21 @@ def confusion(scored: DataFrame, threshold, keys=KEYS) -> DataFrame:
     """G1: tn, fp, fn, tp with pred = prob >= threshold (a number or a column)."""
     thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     pred = F.col("prob") >= thr
-    y = F.col("y") == 1
-    return scored.groupBy(*keys).agg(
-        F.count_if(~y & ~pred).alias("tn"), F.count_if(~y & pred).alias("fp"),
-        F.count_if(y & ~pred).alias("fn"), F.count_if(y & pred).alias("tp"))
+    count = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("bigint")
+    return score_counts(scored, keys).groupBy(*keys).agg(
+        count("neg", ~pred).alias("tn"), count("neg", pred).alias("fp"),
+        count("pos", ~pred).alias("fn"), count("pos", pred).alias("tp"))
 
 
 def score_counts(scored: DataFrame, keys=KEYS, materialize: bool = False) -> DataFrame:
-    """Distinct scores per key with positive / negative counts.
+    """One row per (keys, prob) with the number of positives and negatives.
 
-    With ``materialize`` the table is written once to the shared folder, so
-    the several branches of a running-sum plan read it instead of scanning
-    the scored rows again (Spark does not reuse those exchanges).
+    Every evaluation operator takes either scored rows or this table, so a
+    caller with several of them writes it once (``materialize``) and no model
+    scores its rows twice.
     """
+    if {"pos", "neg"} <= set(scored.columns):
+        return scored
     counts = scored.groupBy(*keys, "prob").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
     return stash(counts, "score_counts") if materialize else counts
@@ -77,9 +79,10 @@ def roc_auc(scored: DataFrame, keys=KEYS, buckets: int | None = None) -> DataFra
 def bin_metrics(scored: DataFrame, threshold, keys=KEYS) -> DataFrame:
     """Precision, recall, f1, auc, tn, fp, fn, tp, used_threshold."""
     thr_col = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    conf = rates(confusion(scored, thr_col, keys))
-    auc = roc_auc(scored, keys)
-    out = conf.join(auc, keys, "left")
+    more = [k for k in scored.columns if k not in (*keys, "prob", "y", "pos", "neg")] \
+        if isinstance(threshold, Column) else []
+    counts = score_counts(scored, [*keys, *more], materialize=True)
+    out = rates(confusion(counts, thr_col, keys)).join(roc_auc(counts, keys), keys, "left")
     if not isinstance(threshold, Column):
         out = out.withColumn("used_threshold", F.lit(float(threshold)))
     return out
@@ -99,8 +102,8 @@ def threshold_sweep(scored: DataFrame, keys=KEYS) -> DataFrame:
     Each row gets its grid index; a grouped count per (key, index) has at
     most 52 rows per key; suffix sums over those give tp/fp per threshold.
     """
-    g = scored.groupBy(*keys, _grid_index(F.col("prob")).alias("g")).agg(
-        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+    g = score_counts(scored, keys).groupBy(*keys, _grid_index(F.col("prob")).alias("g")).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # at most 52 rows per key: written once so the three branches below do not
     # rescan the scored rows
     g = stash(g, "grid_counts")
@@ -131,20 +134,20 @@ def recall_first_threshold(sweep: DataFrame, keys=KEYS, recall_min: float = RECA
 
 def chosen_val_metrics(scored: DataFrame, with_auc: bool = True) -> DataFrame:
     """Validation record per model: chosen threshold, its metrics and AUC."""
-    val = scored.where(F.col("split") == "val")
+    val = score_counts(scored.where(F.col("split") == "val"), materialize=with_auc)
     chosen = recall_first_threshold(threshold_sweep(val))
     return chosen.join(roc_auc(val), KEYS, "left") if with_auc else chosen
 
 
 def frozen_test_metrics(scored: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Each model's validation threshold applied to its test rows."""
+    counts = score_counts(scored, materialize=True)
     if chosen is None:
-        chosen = chosen_val_metrics(scored, with_auc=False)
-    thr = chosen.select("model", F.col("chosen_threshold").alias("used_threshold"))
-    test_rows = scored.where(F.col("split") == "test")
-    test = test_rows.join(F.broadcast(thr), "model")
-    conf = rates(confusion(test, F.col("used_threshold"), ["model", "split", "used_threshold"]))
-    return conf.join(roc_auc(test_rows), KEYS, "left")
+        chosen = chosen_val_metrics(counts, with_auc=False)
+    thr = chosen.select("model", F.col("chosen_threshold").alias("used_threshold"))  # a row per model
+    test = counts.where(F.col("split") == "test")
+    conf = rates(confusion(test.join(thr, "model"), F.col("used_threshold"), [*KEYS, "used_threshold"]))
+    return conf.join(roc_auc(test), KEYS, "left")
 
 
 def roc_points(scored: DataFrame, keys=KEYS, buckets: int | None = None) -> DataFrame:
@@ -153,20 +156,16 @@ def roc_points(scored: DataFrame, keys=KEYS, buckets: int | None = None) -> Data
     A point is kept when it is the first or last distinct score, or when its
     (pos, neg) increments differ from the next score's (the second
     difference of the cumulative curve is non-zero).  The origin is added
-    with a null threshold.  The next score is found by an equi-join on the
-    global position, which the running count provides.
+    with a null threshold.  The next score's increments come with the running
+    sums: from the next row, or from the first row of the next range.
     """
     counts = score_counts(scored, keys, materialize=True).withColumn("one", F.lit(1))
     cum = running_sums(counts, keys, "prob", ["one", "pos", "neg"], descending=True,
-                       buckets=buckets)
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                                       F.count(F.lit(1)).alias("L"))
-    nxt = cum.select(*keys, (F.col("cum_one") - 1).alias("cum_one"),
-                     F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg"))
-    j = cum.join(nxt, [*keys, "cum_one"], "left").join(F.broadcast(totals), keys)
-    keep = ((F.col("cum_one") == 1) | (F.col("cum_one") == F.col("L"))
+                       buckets=buckets, following=("pos", "neg"))
+    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    keep = ((F.col("cum_one") == 1) | F.col("next_pos").isNull()
             | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
-    pts = j.where(keep).select(
+    pts = cum.where(keep).join(totals, keys).select(
         *keys, F.col("prob").alias("threshold"),
         F.when(F.col("N") > 0, F.col("cum_neg") / F.col("N")).alias("fpr"),
         F.when(F.col("P") > 0, F.col("cum_pos") / F.col("P")).alias("tpr"))

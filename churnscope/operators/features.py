@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from churnscope.functions import features as fx
 from churnscope.operators.stats import FeatureStats, fit_feature_stats
-from churnscope.sources.subscribers import require_columns
+from churnscope.sources.subscribers import RAW_COLUMNS, require_columns
 
 
 def _apply(df: DataFrame, pairs) -> DataFrame:
@@ -48,7 +48,11 @@ def select_model_columns(df: DataFrame, id_col: str | None = "customerID") -> Da
 
 
 def serving_features(df: DataFrame, stats: FeatureStats) -> DataFrame:
-    """The scoring form's feature definition applied to raw subscriber rows."""
+    """The scoring form's feature definition applied to raw subscriber rows.
+
+    The categorical columns are what the form sends: its toggles know Yes and
+    No only, so values like 'No internet service' become No.
+    """
     raw = df.drop("TotalCharges")
     staged = _apply(raw, fx.serving_inputs())
     staged = _apply(staged, fx.serving_stage1())
@@ -57,4 +61,14 @@ def serving_features(df: DataFrame, stats: FeatureStats) -> DataFrame:
     staged = _apply(staged, fx.serving_stage3(_lit(stats.ratio_median)))
     staged = _apply(staged, [("remaining_value_ratio",
                               F.col("remaining_value") / F.greatest(F.col("CLV"), F.lit(1.0)))])
+    staged = _apply(staged, fx.serving_payload())
     return staged.drop(*[n for n, _ in fx.serving_inputs()])
+
+
+def paired_features(table: DataFrame, stats: FeatureStats, columns) -> DataFrame:
+    """Training values (``t_`` + name) and serving values of the same rows, side by side.
+
+    ``table`` has the raw columns and the training features of each row."""
+    raw = [c for c in RAW_COLUMNS if c != "TotalCharges"]
+    both = table.select(*raw, *[F.col(c).alias(f"t_{c}") for c in columns])
+    return serving_features(both, stats)

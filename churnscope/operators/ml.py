@@ -1,28 +1,29 @@
 """Model preprocessing, fitting, scoring and calibration with MLlib.
 
-The feature vector is assembled from the same fitted ``Design`` the
-explanation operators use: standardised numerics (population std, as the
-reference's scaler) and one-hot indicators in alphabetical level order
-(``StringIndexer(alphabetAsc, keep)`` + ``OneHotEncoder(dropLast)`` drops
-only the 'unknown' slot, so unseen and null levels are all-zero).
-Fitting is MLlib's distributed training; nothing is collected.
+The feature vector follows the fitted ``Design`` of the explanation operators:
+standardised numerics (population std, as the reference's scaler) and one-hot
+indicators of the levels seen in training (null is a level; unseen levels are
+all-zero).  The indexers are made from the design's levels, so fitting them
+takes no pass and validation rows add no feature.  Fitting is MLlib's
+distributed training; level lists, class counts, coefficients and importances
+(one entry per design column) are what reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.features import TARGET
-from churnscope.operators.explain import Design
+from churnscope.operators.evaluate import score_counts
+from churnscope.operators.explain import Design, level_text, scaled
 
 # The reference's model settings.
 LOGREG = dict(C=1.0, max_iter=1000)
@@ -33,42 +34,31 @@ SEED = 42
 
 
 def preprocessor(d: Design) -> list:
-    """scaled numerics + one-hot stages + assembler (remainder dropped)."""
-    scaled = []
-    for c, (mean, std) in d.numeric.items():
-        scaled.append((f"num__{c}", c, mean, std if std and not math.isnan(std) else 1.0))
-    stages = []
-    cat_out = list(d.levels)
-    if cat_out:
-        # one multi-column indexer: a single pass finds every column's labels
-        stages.append(StringIndexer(inputCols=[f"_s_{c}" for c in cat_out],
-                                    outputCols=[f"_i_{c}" for c in cat_out],
-                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in cat_out],
-                                    outputCols=[f"cat__{c}" for c in cat_out], dropLast=True))
-    stages.append(VectorAssembler(inputCols=[n for n, *_ in scaled] + [f"cat__{c}" for c in cat_out],
+    """indexers and one-hot stages of the design's levels + assembler (remainder dropped)."""
+    labels = {c: lv for c, lv in d.labels().items() if lv}
+    # one indexer for each column: the call for several columns takes lists of one length only
+    stages = [StringIndexerModel.from_labels(lv, inputCol=f"_s_{c}", outputCol=f"_i_{c}", handleInvalid="keep")
+              for c, lv in labels.items()]
+    if labels:
+        stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in labels],
+                                    outputCols=[f"cat__{c}" for c in labels], dropLast=True))
+    stages.append(VectorAssembler(inputCols=[f"num__{c}" for c in d.numeric] + [f"cat__{c}" for c in labels],
                                   outputCol="features", handleInvalid="keep"))
-    return scaled, stages
+    return stages
 
 
 def with_inputs(df: DataFrame, d: Design) -> DataFrame:
     """Scaled numeric columns and string copies of categoricals for the indexers."""
-    cols = []
-    for c, (mean, std) in d.numeric.items():
-        scale = std if std and not math.isnan(std) else 1.0
-        cols.append(((F.col(c).cast("double") - F.lit(mean)) / F.lit(scale)).alias(f"num__{c}"))
-    for c in d.levels:
-        cols.append(F.col(c).cast("string").alias(f"_s_{c}"))
-    return df.select("*", *cols)
+    return df.select("*", *[scaled(d, c).alias(f"num__{c}") for c in d.numeric],
+                     *[level_text(c).alias(f"_s_{c}") for c in d.categorical])
 
 
 def feature_names(model: PipelineModel, d: Design) -> list[str]:
     """``num__X`` then ``cat__X_level`` in vector order (indexer labels)."""
     names = [f"num__{c}" for c in d.numeric]
     for stage in model.stages:
-        if hasattr(stage, "labelsArray") and stage.isSet("outputCols"):
-            for out, labels in zip(stage.getOutputCols(), stage.labelsArray):
-                names += [f"cat__{out[3:]}_{lv}" for lv in labels]
+        if isinstance(stage, StringIndexerModel):
+            names += [f"cat__{stage.getOutputCol().removeprefix('_i_')}_{lv}" for lv in stage.labels]
     return names
 
 
@@ -96,24 +86,24 @@ def _estimator(kind: str, n_train: int):
     raise ValueError(kind)
 
 
+def class_weights(kind: str, d: Design) -> tuple[float, float]:
+    """(weight of a churner, weight of the rest): balanced n / (2 n_class) for the linear model and
+    the forest; for boosting churners get neg / max(1, pos)."""
+    pos, neg = d.n1, d.n - d.n1
+    if kind == "xgb":
+        return neg / max(1, pos), 1.0
+    return d.n / (2.0 * max(pos, 1)), d.n / (2.0 * max(neg, 1))
+
+
 def fit_model(kind: str, train: DataFrame, d: Design, val: DataFrame | None = None) -> PipelineModel:
     """F5/F6/F7 (+F8 early stop on the validation rows for boosting)."""
-    _, stages = preprocessor(d)
     data = with_inputs(train, d).withColumn("is_val", F.lit(False))
     if kind == "xgb" and val is not None:
         data = data.unionByName(with_inputs(val, d).withColumn("is_val", F.lit(True)))
-    n_train = train.count()
-    # class weights: balanced n / (2 n_class) for linear and forest, for boosting
-    # the positive class gets neg / max(1, pos) (scale_pos_weight)
-    counts = {r[TARGET]: r["n"] for r in train.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = counts.get(1, 0), counts.get(0, 0)
-    if kind == "xgb":
-        w = F.when(F.col(TARGET) == 1, F.lit(neg / max(1, pos))).otherwise(F.lit(1.0))
-    else:
-        w = (F.when(F.col(TARGET) == 1, F.lit(n_train / (2.0 * max(pos, 1))))
-             .otherwise(F.lit(n_train / (2.0 * max(neg, 1)))))
-    data = data.withColumn("weight", w).withColumn(TARGET, F.col(TARGET).cast("double"))
-    return Pipeline(stages=stages + [_estimator(kind, n_train)]).fit(data)
+    heavy, light = class_weights(kind, d)
+    data = data.withColumn("weight", F.when(F.col(TARGET) == 1, F.lit(heavy)).otherwise(F.lit(light)))
+    data = data.withColumn(TARGET, F.col(TARGET).cast("double"))
+    return Pipeline(stages=[*preprocessor(d), _estimator(kind, d.n)]).fit(data)
 
 
 def score(model: PipelineModel, df: DataFrame, d: Design, name: str) -> DataFrame:
@@ -125,9 +115,15 @@ def score(model: PipelineModel, df: DataFrame, d: Design, name: str) -> DataFram
 
 
 def fit_isotonic(scored_val: DataFrame):
-    """monotone map from score to churn frequency, fitted on validation rows."""
-    data = scored_val.select(F.col("prob").alias("features"), F.col("y").cast("double").alias("label"))
-    return IsotonicRegression(featuresCol="features", labelCol="label", isotonic=True).fit(data)
+    """monotone map from score to churn frequency, fitted on validation rows.
+
+    Rows are reduced to one weighted row per distinct score first, so what MLlib
+    pools on the driver at the end is bounded by the distinct scores."""
+    n = F.col("pos") + F.col("neg")
+    data = score_counts(scored_val, ["model", "split"]).groupBy("prob").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).select(
+        F.col("prob").alias("features"), (F.col("pos") / n).alias("label"), n.cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight", isotonic=True).fit(data)
 
 
 def apply_isotonic(iso_model, scored: DataFrame) -> DataFrame:
@@ -136,30 +132,37 @@ def apply_isotonic(iso_model, scored: DataFrame) -> DataFrame:
                       F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0)).alias("prob"))
 
 
-def coefficients(model: PipelineModel, names: list[str]) -> DataFrame:
+def coefficients(model: PipelineModel, names: list[str], spark) -> DataFrame:
     """Linear coefficients as a (feature, coef) table."""
-    lr = model.stages[-1]
-    _check_length(lr.coefficients.size, names)
-    spark = SparkSessionFrom(model)
-    return spark.createDataFrame([(n, float(c)) for n, c in zip(names, lr.coefficients.toArray())],
-                                 "feature string, coef double")
+    return _table(model.stages[-1].coefficients, names, spark)
 
 
-def importances(model: PipelineModel, names: list[str]) -> DataFrame:
+def importances(model: PipelineModel, names: list[str], spark) -> DataFrame:
     """H2 input: tree feature importances as a (feature, coef) table."""
-    tree = model.stages[-1]
-    _check_length(tree.featureImportances.size, names)
-    spark = SparkSessionFrom(model)
-    return spark.createDataFrame(
-        [(n, float(c)) for n, c in zip(names, tree.featureImportances.toArray())],
-        "feature string, coef double")
+    return _table(model.stages[-1].featureImportances, names, spark)
 
 
-def _check_length(n_weights: int, names: list[str]) -> None:
-    if n_weights != len(names):
-        raise ValueError(f"Mismatch: {n_weights} weights vs {len(names)} feature names")
+def _table(weights, names: list[str], spark) -> DataFrame:
+    if weights.size != len(names):
+        raise ValueError(f"Mismatch: {weights.size} weights vs {len(names)} feature names")
+    return spark.createDataFrame([(n, float(c)) for n, c in zip(names, weights.toArray())],
+                                 "feature string, coef double")
 
 
-def SparkSessionFrom(_model):  # noqa: N802
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()
+def gradient_table(model: PipelineModel, train: DataFrame, d: Design) -> DataFrame:
+    """F5 certificate: per design column the gradient of the penalised objective at the fitted
+    coefficients, divided by the rows (0 at the optimum)."""
+    lr = model.stages[-1]
+    heavy, light = class_weights("logreg", d)
+    y = F.col(TARGET).cast("double")
+    slope = (F.when(y == 1, F.lit(heavy)).otherwise(F.lit(light))
+             * (vector_to_array("probability")[1] - y))
+    rows = model.transform(with_inputs(train, d)).select("features", slope.alias("r"))
+    signs = {"up": F.greatest(F.col("r"), F.lit(0.0)), "down": F.greatest(-F.col("r"), F.lit(0.0))}
+    parts = rows.select(  # weights are not negative: each sign of the slope on its own
+        *[Summarizer.mean(F.col("features"), w).alias(n) for n, w in signs.items()],
+        *[F.sum(w).alias(f"w_{n}") for n, w in signs.items()]).first()
+    up, down = (parts[n].toArray() * parts[f"w_{n}"] for n in signs)
+    grad = (up - down + lr.coefficients.toArray() / LOGREG["C"]) / d.n
+    return train.sparkSession.createDataFrame(
+        [(n, float(g)) for n, g in zip(feature_names(model, d), grad)], "feature string, gradient double")

@@ -78,7 +78,7 @@ def churn_rate_by_quartile(df: DataFrame, y_col: str = "ChurnFlag",
            .agg(F.count(y_col).alias("size"), F.avg(F.col(y_col)).alias("churn_rate")))
     if keep_empty:
         tiers = tier_table(df.sparkSession)
-        out = F.broadcast(tiers).join(agg, "CLV_quartile", "left").select(
+        out = tiers.join(agg, "CLV_quartile", "left").select(
             "CLV_quartile", "tier_ord", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"),
             "churn_rate")
     else:
@@ -174,9 +174,9 @@ def segment_share(summary: DataFrame) -> DataFrame:
         (F.col("churn_rate") * 100).alias("churn_pct"))
 
 
-def describe_column(df: DataFrame, column: str = "CLV") -> DataFrame:
-    """Count, mean, std (ddof 1), min, quartiles, max."""
-    q = exact_quantiles(df, column, [0.25, 0.5, 0.75])
+def describe_column(df: DataFrame, column: str = "CLV", quartiles=None) -> DataFrame:
+    """Count, mean, std (ddof 1), min, quartiles (fitted here unless given), max."""
+    q = exact_quantiles(df, column, [0.25, 0.5, 0.75]) if quartiles is None else quartiles
     x = F.col(column)
     return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
                   F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
@@ -206,27 +206,25 @@ def histogram(df: DataFrame, column: str = "CLV", bins: int = HIST_BINS) -> Data
         b = F.least(F.floor((x - F.lit(lo)) * bins / F.lit(hi - lo)), F.lit(bins - 1)).cast("int")
     counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("customers"))
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (F.broadcast(grid).join(counts, "bin", "left")
+    return (grid.join(counts, "bin", "left")
             .select("bin",
                     (F.lit(lo) + F.col("bin") * F.lit(hi - lo) / bins).alias("bin_lo"),
                     (F.lit(lo) + (F.col("bin") + 1) * F.lit(hi - lo) / bins).alias("bin_hi"),
                     F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers")))
 
 
-def skew_report(training: DataFrame, serving: DataFrame, columns, id_col: str = "customerID") -> DataFrame:
+def skew_report(both: DataFrame, columns) -> DataFrame:
     """Per feature, subscribers whose training and serving values differ.
 
-    Both inputs are projections of the same rows; they are joined on the id
-    (co-partitioned shuffle join) and compared null-safely in one aggregate.
+    ``both`` holds the two definitions of each row side by side
+    (``features.paired_features``), so they are compared null-safely in one
+    aggregate, whatever the ids are.
     """
-    a = training.select(id_col, *[F.col(c).alias(f"t_{c}") for c in columns])
-    b = serving.select(id_col, *[F.col(c).alias(f"s_{c}") for c in columns])
-    j = a.join(b, id_col, "inner")
-    counts = j.agg(F.count(F.lit(1)).alias("_rows"), *[
-        F.count_if(~F.col(f"t_{c}").cast("double").eqNullSafe(F.col(f"s_{c}").cast("double"))
-                   if _numeric(training, c) else ~F.col(f"t_{c}").eqNullSafe(F.col(f"s_{c}")))
-        .alias(c) for c in columns])
-    stack = ", ".join(f"'{c}', `{c}`" for c in columns)
+    differ = [~F.col(f"t_{c}").cast("double").eqNullSafe(F.col(c).cast("double")) if _numeric(both, c)
+              else ~F.col(f"t_{c}").cast("string").eqNullSafe(F.col(c).cast("string")) for c in columns]
+    counts = both.agg(F.count(F.lit(1)).alias("_rows"), *[
+        F.count_if(d).alias(f"d_{c}") for c, d in zip(columns, differ)])
+    stack = ", ".join(f"'{c}', `d_{c}`" for c in columns)
     return counts.selectExpr(f"stack({len(columns)}, {stack}) as (feature, rows_differ)",
                              "_rows as rows_compared")
 

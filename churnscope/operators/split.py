@@ -1,62 +1,59 @@
 """Splits and sampling.
 
-Row order comes from an arithmetic hash of the row id that Spark and plain
-SQL compute identically (two Lehmer steps modulo the prime 2^31 - 1), so a
-split is reproducible anywhere and stable per subscriber.
+Row order comes from an md5 hash of the row id, which Spark and plain SQL
+compute identically, so a split is reproducible anywhere and stable per
+subscriber.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed values of the split: Lehmer multiplier and modulus, 60/20/20 shares.
-HASH_MULTIPLIER = 48271
+# Fixed values of the split: hash range and 60/20/20 shares.
 HASH_MODULUS = 2147483647
 SPLIT_WEIGHTS = (3, 1, 1)  # train, val, test out of 5
 SPLIT_NAMES = ("train", "val", "test")
-DEFAULT_ROWS_PER_BUCKET = 2_000_000
 
 
 def row_hash(id_col="customerID", salt: int = 42) -> Column:
-    """Deterministic pseudo-random order key in [0, 2^31 - 1)."""
-    k = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("bigint")
-    h = F.pmod(F.pmod(k + F.lit(salt), F.lit(HASH_MODULUS)) * HASH_MULTIPLIER, F.lit(HASH_MODULUS))
-    return F.pmod(h * HASH_MULTIPLIER, F.lit(HASH_MODULUS))
-
-
-def split_buckets(n_rows: int, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> int:
-    """Window groups per class: keeps every ranking window near ``rows_per_bucket``."""
-    return max(1, math.ceil(n_rows / rows_per_bucket))
+    """Deterministic pseudo-random order key in [0, 2^31 - 1) of a text id."""
+    k = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")
+    digest = F.substring(F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(k, F.lit("")))), 1, 12)
+    return F.pmod(F.conv(digest, 16, 10).cast("bigint"), F.lit(HASH_MODULUS))
 
 
 def stratified_split(df: DataFrame, label: str = "ChurnFlag", id_col: str = "customerID",
-                     salt: int = 42, buckets: int | None = None,
-                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                     salt: int = 42, buckets: int | None = None) -> DataFrame:
     """60/20/20 per class, adds ``split``.
 
-    Rows of one class are ranked by the hash inside ``(label, bucket)`` groups
-    with ``bucket = hash % buckets``; rank r of n goes to train when
-    5r < 3n, to val when 5r < 4n, else to test.  ``buckets`` grows with the
-    input (one cheap count) so no ranking window exceeds ``rows_per_bucket``
-    rows; at test sizes it is 1 and the split is exactly stratified.
+    Rows of one class are ranked by the hash; rank r of n goes to train when
+    5r < 3n, to val when 5r < 4n, else to test.  The rank is computed in
+    ranges of the hash: ``row_number`` inside (label, range) plus the rows of
+    the class in earlier ranges, from a table of labels x ranges rows.  The
+    number of ranges (by default that of shuffle partitions) only spreads the
+    work; the split is the same for every number.
     """
     if buckets is None:
-        buckets = split_buckets(df.count(), rows_per_bucket)
-    h = row_hash(id_col, salt)
-    keyed = df.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
-    part = Window.partitionBy(label, "_b")
-    ranked = (keyed
-              .withColumn("_r", F.row_number().over(part.orderBy("_h", id_col)) - 1)
-              .withColumn("_n", F.count(F.lit(1)).over(part)))
+        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    keyed = df.withColumn("_h", row_hash(id_col, salt)).withColumn(
+        "_b", F.floor(F.col("_h") * F.lit(buckets).cast("bigint") / F.lit(HASH_MODULUS)).cast("int"))
+    counts = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col(label).alias("_l"), F.col("_b").alias("_ob"),
+        F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_c").over(Window.partitionBy(label)).alias("_n"))
+    inside = Window.partitionBy(label, "_b").orderBy("_h", id_col)
+    ranked = (keyed.withColumn("_r", F.row_number().over(inside) - 1)
+              .join(offsets, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_ob")))
+              .withColumn("_r", F.col("_r") + F.col("_before")))
     tr, va, _ = SPLIT_WEIGHTS
     total = sum(SPLIT_WEIGHTS)
     split = (F.when(F.col("_r") * total < F.col("_n") * tr, SPLIT_NAMES[0])
              .when(F.col("_r") * total < F.col("_n") * (tr + va), SPLIT_NAMES[1])
              .otherwise(SPLIT_NAMES[2]))
-    return ranked.withColumn("split", split).drop("_h", "_b", "_r", "_n")
+    return ranked.withColumn("split", split).select(*[c for c in df.columns if c != "split"], "split")
 
 
 def hash_split(df: DataFrame, id_col: str = "customerID", salt: int = 42) -> DataFrame:
@@ -105,9 +102,3 @@ def balanced_weights(df: DataFrame, label: str = "ChurnFlag") -> DataFrame:
     return counts.select(
         label, "n_class",
         (F.sum("n_class").over(total) / (n_classes * F.col("n_class"))).alias("class_weight"))
-
-
-def with_class_weight(df: DataFrame, label: str = "ChurnFlag", weight_col: str = "weight") -> DataFrame:
-    """Attach D4 weights to every row (the weight table has one row per class)."""
-    w = balanced_weights(df, label).select(label, F.col("class_weight").alias(weight_col))
-    return df.join(F.broadcast(w), label, "left")

@@ -1,25 +1,18 @@
 """Dataset-level statistics: exact quantiles, medians, feature stats.
 
-Exact quantiles at scale
-------------------------
-``percentile`` keeps a map of every distinct value in one final task, which
-does not survive a column with billions of distinct doubles.
-``exact_quantiles`` instead counts the values first; when they are few
-(at most ``max_exact``) one ranking pass over the distinct values picks the
-order statistics.  Otherwise it narrows a bracket around each wanted rank:
-
-1. ``percentile_approx`` at ``p -/+ 2 / accuracy`` returns data values
-   whose rank error is at most ``n / accuracy``, so the bracket
-   ``[lo, hi]`` surely holds the two ranks the interpolation needs;
-2. rows below ``lo`` are counted, and the rows inside the bracket are
-   reduced to ``(value, count)`` with a distributed ``groupBy`` (ties, even
-   a value holding a third of all rows, collapse to one row);
-3. if the bracket still has more than ``max_exact`` distinct values the
-   same step repeats on the bracket only (each round shrinks it by about
-   ``accuracy / 4``); otherwise a running count over its sorted distinct
-   values picks the order statistics.
-
-Only scalars (counts, bracket edges, two order statistics) reach the driver.
+Exact quantiles of any columns and probabilities take three passes over the
+data, whatever its size:
+
+1. the number of values of each column;
+2. ``percentile_approx`` at every probability, moved down and up by more than
+   its rank error: these data values surely enclose the two values between
+   which the quantile is interpolated;
+3. one grouped count of all brackets: values inside a bracket by value (ties,
+   even one value holding a third of all rows, are one row), values below it
+   in one row.
+
+Running counts over the bracketed values (``ranking.running_sums``, spread
+over ranges) then pick the order statistics.  Only scalars reach the driver.
 Interpolation is ``a + (b - a) * t`` on positions ``(n - 1) * p`` (the
 ``quantile_cont`` / NumPy linear rule).
 """
@@ -29,158 +22,85 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 10000
-DEFAULT_MAX_EXACT = 1_000_000
-
-
-def _order_stats(values: DataFrame, ranks: list[int], below: int, lo, hi,
-                 accuracy: int, max_exact: int, small: bool = False) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the column ``x`` of ``values``.
-
-    ``values`` holds non-null ``x``; ``below`` rows lie under ``lo``; all
-    wanted ranks fall inside ``[lo, hi]`` (no bracket when ``lo`` is None).
-    """
-    inside = values if lo is None else values.where((F.col("x") >= lo) & (F.col("x") <= hi))
-    distinct = inside.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    if not small and distinct.count() > max_exact:
-        # Narrow again with approximate quantiles of the bracket itself.
-        n_inside = inside.count()
-        out = {}
-        for r in ranks:
-            sub_lo, sub_hi = _bracket(inside, (r - below) / max(n_inside - 1, 1), accuracy)
-            sub_below = below + inside.where(F.col("x") < sub_lo).count()
-            out.update(_order_stats(inside, [r], sub_below, sub_lo, sub_hi,
-                                    accuracy, max_exact))
-        return out
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = distinct.withColumn("upto", F.sum("c").over(w) + F.lit(below))
-    conds = None
-    for r in ranks:
-        cond = (F.col("upto") - F.col("c") <= r) & (F.col("upto") > r)
-        conds = cond if conds is None else conds | cond
-    rows = cum.where(conds).select("x", "c", "upto").collect()
-    out = {}
-    for r in ranks:
-        for row in rows:
-            if row["upto"] - row["c"] <= r < row["upto"]:
-                out[r] = row["x"]
-    return out
+from churnscope.operators.ranking import running_sums
+from churnscope.session import stash
 
+DEFAULT_ACCURACY = 10000
 
-def _bracket(values: DataFrame, p: float, accuracy: int):
-    """Data values whose ranks surely enclose rank position ``p``.
 
-    Valid when the row count is at least ``2 * accuracy`` (then the margin of
-    ``2 / accuracy`` exceeds the approximation's rank error plus one row).
-    """
-    margin = 2.0 / accuracy
-    probs = [max(0.0, p - margin), min(1.0, p + margin)]
-    e = values.agg(F.percentile_approx("x", probs, accuracy).alias("e")).first()["e"]
-    return e[0], e[1]
+def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]],
+                          accuracy: int = DEFAULT_ACCURACY,
+                          buckets: int | None = None) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of several numeric columns (nulls and NaN skipped)."""
+    names = list(spec)
+    values = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"c{i}")
+                         for i, c in enumerate(names)])
+    counts = values.agg(*[F.count(f"c{i}").alias(f"c{i}") for i in range(len(names))]).first()
+    # (column, bracket) -> wanted 0-based ranks
+    wanted: dict[tuple[int, int], list[int]] = {}
+    probs: dict[int, list[float]] = {}
+    for i, c in enumerate(names):
+        n = counts[i]
+        for j, p in enumerate(spec[c] if n else ()):
+            r = math.floor((n - 1) * p)
+            wanted[i, j] = sorted({r, min(r + 1, n - 1)})
+            margin = 2.0 / accuracy + 2.0 / n
+            probs.setdefault(i, []).extend([max(0.0, p - margin), min(1.0, p + margin)])
+    if not wanted:
+        return {c: [None for _ in spec[c]] for c in names}
+    edges = values.agg(*[F.percentile_approx(f"c{i}", ps, accuracy).alias(f"c{i}")
+                         for i, ps in probs.items()]).first()
+    brackets = {(i, j): (edges[f"c{i}"][2 * j], edges[f"c{i}"][2 * j + 1]) for i, j in wanted}
+    # a value inside the bracket counts for itself, one below it as a null
+    hits = [F.when(F.col(f"c{i}") <= hi, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                                                 F.when(F.col(f"c{i}") >= lo, F.col(f"c{i}")).alias("x")))
+            for (i, j), (lo, hi) in brackets.items()]
+    grouped = stash(values.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).select("h.*")
+                    .groupBy("i", "j", "x").agg(F.count(F.lit(1)).alias("c")), "quantile-counts")
+    below = {(r["i"], r["j"]): r["c"] for r in grouped.where("x IS NULL").collect()}
+    cum = running_sums(grouped.where("x IS NOT NULL"), ["i", "j"], "x", ["c"], buckets=buckets)
+    picked = None
+    for (i, j), ranks in wanted.items():
+        base = below.get((i, j), 0)
+        for r in ranks:
+            one = ((F.col("i") == i) & (F.col("j") == j) & (F.col("cum_c") > r - base)
+                   & (F.col("cum_c") - F.col("c") <= r - base))
+            picked = one if picked is None else picked | one
+    found: dict[tuple[int, int, int], float] = {}
+    for row in cum.where(picked).collect():  # two rows for each quantile at most
+        key = row["i"], row["j"]
+        upto = row["cum_c"] + below.get(key, 0)
+        for r in wanted[key]:
+            if upto - row["c"] <= r < upto:
+                found[(*key, r)] = row["x"]
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(names):
+        out[c] = []
+        for j, p in enumerate(spec[c]):
+            if (i, j) not in wanted:
+                out[c].append(None)
+                continue
+            position = (counts[i] - 1) * p
+            ranks = wanted[i, j]
+            a, b, t = found[i, j, ranks[0]], found[i, j, ranks[-1]], position - ranks[0]
+            out[c].append(a if t == 0 or a == b else a + (b - a) * t)
+    return out
 
 
 def exact_quantiles(df: DataFrame, column, probs, accuracy: int = DEFAULT_ACCURACY,
-                    max_exact: int = DEFAULT_MAX_EXACT) -> list[float | None]:
-    """Exact linear-interpolated quantiles of a numeric column (nulls skipped)."""
-    probs = list(probs)
-    max_exact = max(max_exact, 2 * accuracy)
-    values = df.select(F.col(column).cast("double").alias("x")).where(
-        F.col("x").isNotNull() & ~F.isnan("x"))
-    n = values.count()
-    if n == 0:
-        return [None for _ in probs]
-    positions = [(n - 1) * p for p in probs]
-    wanted = sorted({r for pos in positions
-                     for r in (int(math.floor(pos)), min(int(math.floor(pos)) + 1, n - 1))})
-    if n <= max_exact:
-        stats = _order_stats(values, wanted, 0, None, None, accuracy, max_exact, small=True)
-    else:
-        stats = {}
-        for pos, p in zip(positions, probs):
-            lo, hi = _bracket(values, p, accuracy)
-            below = values.where(F.col("x") < lo).count()
-            r0 = int(math.floor(pos))
-            stats.update(_order_stats(values, sorted({r0, min(r0 + 1, n - 1)}), below,
-                                      lo, hi, accuracy, max_exact))
-    result = []
-    for pos in positions:
-        r0 = int(math.floor(pos))
-        a, b = stats[r0], stats[min(r0 + 1, n - 1)]
-        t = pos - r0
-        result.append(a if t == 0 or a == b else a + (b - a) * t)
-    return result
+                    buckets: int | None = None) -> list[float | None]:
+    """Exact quantiles of one column."""
+    values = df.select(F.col(column).alias("x")) if isinstance(column, str) else df.select(column.alias("x"))
+    return exact_quantiles_multi(values, {"x": list(probs)}, accuracy, buckets)["x"]
 
 
 def exact_median(df: DataFrame, column) -> float | None:
     return exact_quantiles(df, column, [0.5])[0]
 
 
-def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]],
-                          accuracy: int = DEFAULT_ACCURACY,
-                          max_exact: int = DEFAULT_MAX_EXACT) -> dict[str, list[float | None]]:
-    """Quantiles of several columns with two jobs when every column is small.
-
-    The columns are unpivoted to ``(name, x)``; one aggregate counts the
-    non-null values per column, one ranking pass per column name (window
-    partitioned by the name, at most ``max_exact`` rows each) picks the
-    order statistics.  Columns with more rows fall back to the bracketed
-    ``exact_quantiles`` path one by one.
-    """
-    names = list(spec)
-    counts_row = df.agg(*[F.count(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)))
-                          .alias(c) for c in names]).first()
-    out: dict[str, list[float | None]] = {}
-    small = []
-    for c in names:
-        n = counts_row[c]
-        if n == 0:
-            out[c] = [None for _ in spec[c]]
-        elif n > max(max_exact, 2 * accuracy):
-            out[c] = exact_quantiles(df, c, spec[c], accuracy, max_exact)
-        else:
-            small.append((c, n))
-    if not small:
-        return out
-    wanted = {}
-    for c, n in small:
-        ranks = set()
-        for p in spec[c]:
-            r0 = int(math.floor((n - 1) * p))
-            ranks.update({r0, min(r0 + 1, n - 1)})
-        wanted[c] = sorted(ranks)
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c, _ in small]))
-        .alias("s")).select("s.name", "s.x").where(F.col("x").isNotNull() & ~F.isnan("x"))
-    distinct = stacked.groupBy("name", "x").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("name").orderBy("x").rowsBetween(Window.unboundedPreceding,
-                                                            Window.currentRow)
-    cum = distinct.withColumn("upto", F.sum("c").over(w))
-    cond = None
-    for c, _ in small:
-        for r in wanted[c]:
-            one = (F.col("name") == c) & (F.col("upto") - F.col("c") <= r) & (F.col("upto") > r)
-            cond = one if cond is None else cond | one
-    rows = cum.where(cond).collect()
-    for c, n in small:
-        found = {}
-        for r in wanted[c]:
-            for row in rows:
-                if row["name"] == c and row["upto"] - row["c"] <= r < row["upto"]:
-                    found[r] = row["x"]
-        vals = []
-        for p in spec[c]:
-            pos = (n - 1) * p
-            r0 = int(math.floor(pos))
-            a, b = found[r0], found[min(r0 + 1, n - 1)]
-            t = pos - r0
-            vals.append(a if t == 0 or a == b else a + (b - a) * t)
-        out[c] = vals
-    return out
-
-
 @dataclass(frozen=True)
 class FeatureStats:
     """Dataset medians that the two median flags compare against."""
@@ -199,19 +119,28 @@ class FeatureStats:
         return FeatureStats(row["ratio_median"], row["monthly_median"])
 
 
+def charge_ratio():
+    """MonthlyCharges / CLV, a zero CLV read as 1."""
+    return F.col("MonthlyCharges") / F.when(F.col("CLV") == 0, F.lit(1)).otherwise(F.col("CLV"))
+
+
 def fit_feature_stats(df: DataFrame) -> FeatureStats:
-    """Medians of MonthlyCharges / CLV (zero CLV -> 1) and of MonthlyCharges."""
-    ratio = F.col("MonthlyCharges") / F.when(F.col("CLV") == 0, F.lit(1)).otherwise(F.col("CLV"))
-    base = df.select(ratio.alias("ratio"), F.col("MonthlyCharges").alias("monthly"))
+    """Medians of MonthlyCharges / CLV and of MonthlyCharges."""
+    base = df.select(charge_ratio().alias("ratio"), F.col("MonthlyCharges").alias("monthly"))
     med = exact_quantiles_multi(base, {"ratio": [0.5], "monthly": [0.5]})
     return FeatureStats(med["ratio"][0], med["monthly"][0])
 
 
-def quartile_edges(df: DataFrame, column: str = "CLV") -> list[float]:
-    """``[q1, q2, q3]`` of a column."""
-    return exact_quantiles(df, column, [0.25, 0.5, 0.75])
+@dataclass(frozen=True)
+class TrainStats:
+    """What later steps need to know about the training split: medians and CLV edges."""
+
+    medians: FeatureStats
+    clv_edges: tuple[float | None, ...]
 
 
-def edges_frame(spark, edges, names=("q1", "q2", "q3")) -> DataFrame:
-    return spark.createDataFrame([tuple(float(e) for e in edges)],
-                                 ", ".join(f"{n} double" for n in names))
+def fit_train_stats(train: DataFrame) -> TrainStats:
+    """All of them in one set of passes."""
+    q = exact_quantiles_multi(train.select(charge_ratio().alias("ratio"), "MonthlyCharges", "CLV"),
+                              {"ratio": [0.5], "MonthlyCharges": [0.5], "CLV": [0.25, 0.5, 0.75]})
+    return TrainStats(FeatureStats(q["ratio"][0], q["MonthlyCharges"][0]), tuple(q["CLV"]))

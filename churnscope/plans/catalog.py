@@ -1,9 +1,9 @@
 """Named queries: ``(spark, sf_dir) -> DataFrame`` for every operator row.
 
 Each query starts from the given tables (``customer`` + ``orders`` derive
-the subscriber rows) so its work grows with the data.  Queries on the
-training split reuse ``_prepared``; everything stays lazy except the small
-scalar jobs (medians, quartile edges, split bucket count).
+the subscriber rows) so its work grows with the data.  All queries read the
+prepared table and the training statistics kept with it; rounding for
+comparison with other engines happens here, not in the operators.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from churnscope.operators import reports as rp
 from churnscope.operators import split as sp
 from churnscope.operators.clean import clean_total_charges
 from churnscope.operators.features import add_clv
-from churnscope.operators.stats import exact_median, exact_quantiles, fit_feature_stats
-from churnscope.plans.prep import prepared_tables, train_only
+from churnscope.operators.stats import exact_median, fit_feature_stats
+from churnscope.plans.prep import prepared, train_only
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -33,15 +33,20 @@ def query(name: str):
 
 
 def _raw(spark, sf_dir):
-    return prepared_tables(spark, sf_dir)["raw"]
+    return prepared(spark, sf_dir).raw(spark)
 
 
 def _features(spark, sf_dir):
-    return prepared_tables(spark, sf_dir)["features"]
+    return prepared(spark, sf_dir).table(spark)
 
 
 def _prepared(spark, sf_dir):
-    return prepared_tables(spark, sf_dir)["splits"]
+    return prepared(spark, sf_dir).splits(spark)
+
+
+def _stats(spark, sf_dir):
+    """Medians and CLV edges of the training split, fitted by the preparation."""
+    return prepared(spark, sf_dir).stats
 
 
 def _train(spark, sf_dir):
@@ -49,9 +54,7 @@ def _train(spark, sf_dir):
 
 
 def _quartiled(spark, sf_dir):
-    train = _train(spark, sf_dir)
-    edges = exact_quantiles(train, "CLV", [0.25, 0.5, 0.75])
-    return rp.add_clv_quartile(train, edges=edges), edges
+    return rp.add_clv_quartile(_train(spark, sf_dir), edges=_stats(spark, sf_dir).clv_edges)
 
 
 # ---- clean -----------------------------------------------------------------
@@ -162,13 +165,11 @@ def q_bounded_sample(spark, sf_dir):
 
 @query("clv_quartile")
 def q_clv_quartile(spark, sf_dir):
-    q, _ = _quartiled(spark, sf_dir)
-    return q.select("customerID", "CLV", "CLV_quartile")
+    return _quartiled(spark, sf_dir).select("customerID", "CLV", "CLV_quartile")
 
 
 def _summary(spark, sf_dir):
-    q, _ = _quartiled(spark, sf_dir)
-    return rp.churn_rate_by_quartile(q)
+    return rp.churn_rate_by_quartile(_quartiled(spark, sf_dir))
 
 
 @query("churn_by_quartile")
@@ -178,18 +179,13 @@ def q_churn_by_quartile(spark, sf_dir):
 
 @query("quartile_edges")
 def q_quartile_edges(spark, sf_dir):
-    train = _train(spark, sf_dir)
-    edges = exact_quantiles(train, "CLV", [0.25, 0.5, 0.75])
-    # Carried by a one-row aggregate of the split so the result stays a plan.
-    return train.agg(F.count(F.lit(1)).alias("_n")).select(
-        *[F.lit(e).cast("double").alias(n) for e, n in zip(edges, ("q1", "q2", "q3"))])
+    return spark.createDataFrame([_stats(spark, sf_dir).clv_edges], "q1 double, q2 double, q3 double")
 
 
 @query("clv_segment")
 def q_clv_segment(spark, sf_dir):
-    prepared = _prepared(spark, sf_dir)
-    edges = exact_quantiles(train_only(prepared), "CLV", [0.25, 0.5, 0.75])
-    return rp.clv_segment(prepared, edges).select("customerID", "CLV", "clv_segment")
+    return rp.clv_segment(_prepared(spark, sf_dir), _stats(spark, sf_dir).clv_edges).select(
+        "customerID", "CLV", "clv_segment")
 
 
 @query("churn_by_contract")
@@ -214,8 +210,7 @@ def q_churn_by_support(spark, sf_dir):
 
 @query("business_insights")
 def q_business_insights(spark, sf_dir):
-    train = _train(spark, sf_dir)
-    return rp.business_insights(train)
+    return rp.business_insights(_train(spark, sf_dir), _stats(spark, sf_dir).clv_edges)
 
 
 @query("quartile_gap")
@@ -240,7 +235,7 @@ def q_segment_share(spark, sf_dir):
 
 @query("clv_describe")
 def q_clv_describe(spark, sf_dir):
-    d = rp.describe_column(_train(spark, sf_dir), "CLV")
+    d = rp.describe_column(_train(spark, sf_dir), "CLV", _stats(spark, sf_dir).clv_edges)
     return d.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 
 
@@ -311,10 +306,10 @@ def q_confusion_long(spark, sf_dir):
 
 
 def _winner_records(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
-    val = ev.chosen_val_metrics(scored)
-    test = ev.frozen_test_metrics(scored, val)
-    best = F.broadcast(ev.winner(val).select("model"))
+    counts = ev.score_counts(_scored(spark, sf_dir), materialize=True)
+    val = ev.chosen_val_metrics(counts)
+    test = ev.frozen_test_metrics(counts, val)
+    best = ev.winner(val).select("model")
     return val.join(best, "model"), test.join(best, "model")
 
 
@@ -327,38 +322,32 @@ def q_metrics_rows(spark, sf_dir):
 
 @query("operating_threshold")
 def q_operating_threshold(spark, sf_dir):
+    from churnscope.sources.artifacts import operating_threshold
     val, test = _winner_records(spark, sf_dir)
-    j = val.select("model", "chosen_threshold").join(
-        test.select("model", "used_threshold"), "model", "left")
-    return j.select("model", F.coalesce("used_threshold", "chosen_threshold",
-                                        F.lit(ev.DEFAULT_THRESHOLD)).alias("operating_threshold"))
+    records = val.select("model", "split", "chosen_threshold", F.lit(None).cast("double").alias("used_threshold"))
+    return operating_threshold(records.unionByName(test.select(
+        "model", "split", F.lit(None).cast("double").alias("chosen_threshold"), "used_threshold")),
+        ev.DEFAULT_THRESHOLD)
 
 
 # ---- actions: serving features, scoring, retention list --------------------
 
 from churnscope.operators import actions as ac  # noqa: E402
-from churnscope.operators.features import serving_features  # noqa: E402
+from churnscope.operators.features import paired_features, serving_features  # noqa: E402
 from churnscope.sources.scored import scorer_column  # noqa: E402
 
 
 def _serving_context(spark, sf_dir):
     """Train-fitted serving stats, train CLV edges, winner and its threshold.
 
-    Two scalar jobs for the three train statistics and one for the winner:
-    the winner's frozen test threshold is its validation choice, so the
-    A10 fallback chain (test, validation, default) needs no test pass.
+    The winner's frozen test threshold is its validation choice, so the A10
+    fallback chain (test, validation, default) needs no test pass.
     """
-    from churnscope.operators.stats import FeatureStats, exact_quantiles_multi
-    prepared = _prepared(spark, sf_dir)
-    train = train_only(prepared)
-    ratio = F.col("MonthlyCharges") / F.when(F.col("CLV") == 0, F.lit(1)).otherwise(F.col("CLV"))
-    q = exact_quantiles_multi(train.select(ratio.alias("ratio"), "MonthlyCharges", "CLV"),
-                              {"ratio": [0.5], "MonthlyCharges": [0.5], "CLV": [0.25, 0.5, 0.75]})
-    stats = FeatureStats(q["ratio"][0], q["MonthlyCharges"][0])
-    best = ev.winner(ev.chosen_val_metrics(fixture_scores(prepared), with_auc=False)).select(
+    stats = _stats(spark, sf_dir)
+    best = ev.winner(ev.chosen_val_metrics(fixture_scores(_prepared(spark, sf_dir)), with_auc=False)).select(
         "model", "chosen_threshold").first()
     thr = best["chosen_threshold"] if best["chosen_threshold"] is not None else ev.DEFAULT_THRESHOLD
-    return stats, q["CLV"], best["model"], thr
+    return stats.medians, stats.clv_edges, best["model"], thr
 
 
 def score_serving(raw: DataFrame, stats, model: str) -> DataFrame:
@@ -375,21 +364,17 @@ def _retention(spark, sf_dir):
 
 @query("serving_features")
 def q_serving_features(spark, sf_dir):
-    train = _train(spark, sf_dir)
-    stats = fit_feature_stats(train)
-    from churnscope.functions.features import NUMERIC_FEATURES
-    return serving_features(_raw(spark, sf_dir), stats).select(
-        "customerID", *NUMERIC_FEATURES, "tenure_bucket")
+    from churnscope.functions.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+    return serving_features(_raw(spark, sf_dir), _stats(spark, sf_dir).medians).select(
+        "customerID", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES)
 
 
 @query("skew_report")
 def q_skew_report(spark, sf_dir):
-    from churnscope.functions.features import NUMERIC_FEATURES
-    train = _train(spark, sf_dir)
-    stats = fit_feature_stats(train)
-    training = _features(spark, sf_dir)
-    serving = serving_features(_raw(spark, sf_dir), stats)
-    return rp.skew_report(training, serving, NUMERIC_FEATURES + ["tenure_bucket"])
+    from churnscope.functions.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+    columns = NUMERIC_FEATURES + CATEGORICAL_FEATURES
+    both = paired_features(_features(spark, sf_dir), _stats(spark, sf_dir).medians, columns)
+    return rp.skew_report(both, columns)
 
 
 @query("retention_list")
@@ -428,89 +413,119 @@ def q_risk_value_crosstab(spark, sf_dir):
 from churnscope.operators import explain as xp  # noqa: E402
 
 
+DIGITS = 9  # both engines' results are compared (and tied ranks decided) at so many digits
+
+
+def _round(c):
+    return F.round(c, DIGITS)
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: _round(F.col(c)) for c in columns})
+
+
+_DESIGNS: dict[str, xp.Design] = {}
+
+
 def _design(spark, sf_dir):
-    prepared = _prepared(spark, sf_dir)
-    train = train_only(prepared)
-    return prepared, train, xp.fit_design(train)
+    """The splits, the training split and its design (fitted once per prepared table)."""
+    splits, path = _prepared(spark, sf_dir), prepared(spark, sf_dir).path
+    if path not in _DESIGNS:
+        _DESIGNS[path] = xp.fit_design(train_only(splits))
+    return splits, train_only(splits), _DESIGNS[path]
 
 
 def _coefs(spark, sf_dir):
-    prepared, train, d = _design(spark, sf_dir)
-    return prepared, train, d, xp.mean_difference_coefficients(train, d)
+    _, train, d = _design(spark, sf_dir)
+    return xp.mean_difference_coefficients(train, d)
 
 
 @query("standardised_columns")
 def q_standardised_columns(spark, sf_dir):
-    prepared, _, d = _design(spark, sf_dir)
-    return xp.standardised_columns(prepared, d)
+    splits, _, d = _design(spark, sf_dir)
+    return _rounded(xp.standardised_columns(splits, d), *[f"num__{c}" for c in d.numeric])
 
 
 @query("one_hot_columns")
 def q_one_hot_columns(spark, sf_dir):
-    prepared, _, d = _design(spark, sf_dir)
-    return xp.one_hot_columns(prepared, d)
+    splits, _, d = _design(spark, sf_dir)
+    return xp.one_hot_columns(splits, d)
 
 
 @query("feature_summary")
 def q_feature_summary(spark, sf_dir):
     _, train, d = _design(spark, sf_dir)
-    return xp.column_summary(train, d)
+    return _rounded(xp.column_summary(train, d), "mean", "std")
+
+
+def _drivers(spark, sf_dir):
+    return _rounded(xp.driver_table(_coefs(spark, sf_dir)), "value", "odds_ratio", "abs_value")
 
 
 @query("driver_table")
 def q_driver_table(spark, sf_dir):
-    return xp.driver_table(_coefs(spark, sf_dir)[3])
+    return _drivers(spark, sf_dir)
 
 
 @query("top_drivers")
 def q_top_drivers(spark, sf_dir):
-    return xp.top_drivers(xp.driver_table(_coefs(spark, sf_dir)[3]))
+    return xp.top_drivers(_drivers(spark, sf_dir))
 
 
 @query("linear_importance")
 def q_linear_importance(spark, sf_dir):
+    from churnscope.session import stash
     _, train, d = _design(spark, sf_dir)
-    profile = xp.design_profile(train, d, materialize=True)   # one aggregate feeds both tables
-    return xp.linear_importance(xp.mean_difference_coefficients(train, d, profile),
-                                xp.column_summary(train, d, profile))
+    profile = stash(xp.design_profile(train, d), "design-profile")  # one row per design column, read twice
+    out = xp.linear_importance(xp.mean_difference_coefficients(train, d, profile),
+                               xp.column_summary(train, d, profile), rank_key=_round)
+    return _rounded(out, "importance", "signed")
 
 
 @query("local_explanation")
 def q_local_explanation(spark, sf_dir):
-    prepared, _, d, coefs = _coefs(spark, sf_dir)
-    table = {r["feature"]: r["coef"] for r in coefs.collect()}  # one row per design column
-    return xp.local_explanation(prepared.where(F.col("split") == "test"), d, table)
+    splits, train, d = _design(spark, sf_dir)
+    out = xp.local_explanation(splits.where(F.col("split") == "test"), d, _coefs(spark, sf_dir), rank_key=_round)
+    return _rounded(out, "contrib", "value", "coef", "odds_ratio_contrib")
 
 
 @query("pretty_names")
 def q_pretty_names(spark, sf_dir):
-    return _coefs(spark, sf_dir)[3].select("feature", xp.pretty_feature(F.col("feature")).alias("pretty"))
+    return _coefs(spark, sf_dir).select("feature", xp.pretty_feature(F.col("feature")).alias("pretty"))
 
 
 @query("odds_text")
 def q_odds_text(spark, sf_dir):
-    return xp.driver_table(_coefs(spark, sf_dir)[3]).select(
-        "feature", xp.odds_text(F.col("odds_ratio")).alias("odds_text"))
+    return _drivers(spark, sf_dir).select("feature", xp.odds_text(F.col("odds_ratio")).alias("odds_text"))
 
 
-# ---- fitted MLlib models (rows-only checks) --------------------------------
+# ---- fitted MLlib models ------------------------------------------------------
 
 from churnscope.operators import ml  # noqa: E402
+from churnscope.plans import train as tr  # noqa: E402
+
+_MODELS: dict[tuple[str, str], object] = {}
 
 
 def _fitted(spark, sf_dir, kind):
-    prepared = _prepared(spark, sf_dir)
-    train = train_only(prepared)
-    val = prepared.where(F.col("split") == "val")
-    d = xp.fit_design(train)
-    model = ml.fit_model(kind, train, d, val)
-    return prepared, d, model
+    """(splits, design, model); a model is fitted once per prepared table."""
+    splits, train, d = _design(spark, sf_dir)
+    key = prepared(spark, sf_dir).path, kind
+    if key not in _MODELS:
+        _MODELS[key] = ml.fit_model(kind, train, d, splits.where(F.col("split") == "val"))
+    return splits, d, _MODELS[key]
+
+
+def _result(spark, sf_dir, kinds=tr.KINDS):
+    models = {kind: _fitted(spark, sf_dir, kind)[2] for kind in kinds}
+    splits, _, d = _design(spark, sf_dir)
+    return tr.train_and_evaluate(splits, models=models, design=d)
 
 
 def _model_scores(kind):
     def run(spark, sf_dir):
-        prepared, d, model = _fitted(spark, sf_dir, kind)
-        return ml.score(model, prepared.where(F.col("split") != "train"), d, kind)
+        splits, d, model = _fitted(spark, sf_dir, kind)
+        return ml.score(model, splits.where(F.col("split") != "train"), d, kind)
     return run
 
 
@@ -519,6 +534,34 @@ REGISTRY["forest_scores"] = _model_scores("rf")
 REGISTRY["gbt_scores"] = _model_scores("xgb")
 
 
+@query("logreg_certificate")
+def q_logreg_certificate(spark, sf_dir):
+    """The design columns in the fitted model, and whether the penalised gradient vanishes at each."""
+    splits, d, model = _fitted(spark, sf_dir, "logreg")
+    return ml.gradient_table(model, train_only(splits), d).select(
+        "feature", (F.abs("gradient") < 1e-4).alias("stationary"))
+
+
+def _certificate(kind):
+    """Class totals recovered from the confusion at 0.5, score range, importances' sum."""
+    def run(spark, sf_dir):
+        splits, d, model = _fitted(spark, sf_dir, kind)
+        counts = ev.score_counts(_model_scores(kind)(spark, sf_dir), materialize=True)
+        totals = counts.groupBy("split").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
+                                             ((F.min("prob") >= 0) & (F.max("prob") <= 1)).alias("prob_in_range"))
+        conf = ev.confusion(counts, 0.5).select("split", (F.col("tp") + F.col("fn")).alias("tp_fn"),
+                                                (F.col("tn") + F.col("fp")).alias("tn_fp"))
+        total = sum(model.stages[-1].featureImportances.toArray())
+        return totals.join(conf, "split").select(
+            "split", "positives", "negatives", "tp_fn", "tn_fp", "prob_in_range",
+            F.round(F.lit(float(total)), 6).alias("importance_sum"))
+    return run
+
+
+REGISTRY["forest_certificate"] = _certificate("rf")
+REGISTRY["gbt_certificate"] = _certificate("xgb")
+
+
 @query("logreg_metrics")
 def q_logreg_metrics(spark, sf_dir):
     """F5 -> G6/G7: validation-chosen threshold and frozen test metrics."""
@@ -529,39 +572,36 @@ def q_logreg_metrics(spark, sf_dir):
 @query("fitted_linear_importance")
 def q_fitted_linear_importance(spark, sf_dir):
     """H1 with the fitted logistic regression's coefficients."""
-    prepared, d, model = _fitted(spark, sf_dir, "logreg")
-    coefs = ml.coefficients(model, ml.feature_names(model, d))
-    return xp.linear_importance(coefs, xp.column_summary(train_only(prepared), d))
+    splits, d, model = _fitted(spark, sf_dir, "logreg")
+    coefs = ml.coefficients(model, ml.feature_names(model, d), spark)
+    return xp.linear_importance(coefs, xp.column_summary(train_only(splits), d))
 
 
 @query("tree_importance")
 def q_tree_importance(spark, sf_dir):
     """H2: forest feature importances, top 40."""
     _, d, model = _fitted(spark, sf_dir, "rf")
-    imp = ml.importances(model, ml.feature_names(model, d))
-    return imp.select("feature", F.col("coef").alias("importance")).orderBy(
-        F.desc("importance"), "feature").limit(xp.TOP_IMPORTANCE)
+    return xp.tree_importance(ml.importances(model, ml.feature_names(model, d), spark))
+
+
+def _calibrated(spark, sf_dir):
+    """F11 on the scored fixture: isotonic scores of the winner's test rows, and its validation record."""
+    scored = _scored(spark, sf_dir)
+    chosen = ev.winner(ev.chosen_val_metrics(scored, with_auc=False)).select("model", "chosen_threshold")
+    best = scored.where(F.col("model") == chosen.first()["model"])
+    iso = ml.fit_isotonic(best.where(F.col("split") == "val"))
+    return ml.apply_isotonic(iso, best.where(F.col("split") == "test")), chosen
 
 
 @query("isotonic_scores")
 def q_isotonic_scores(spark, sf_dir):
-    """isotonic calibration fitted on validation scores, applied to test."""
-    scored = _model_scores("logreg")(spark, sf_dir)
-    iso = ml.fit_isotonic(scored.where(F.col("split") == "val"))
-    return ml.apply_isotonic(iso, scored.where(F.col("split") == "test"))
+    return _rounded(_calibrated(spark, sf_dir)[0], "prob")
 
 
 @query("calibrated_metrics")
 def q_calibrated_metrics(spark, sf_dir):
-    """calibrated test metrics at the uncalibrated model's frozen threshold."""
-    scored = _model_scores("logreg")(spark, sf_dir)
-    chosen = ev.chosen_val_metrics(scored)
-    iso = ml.fit_isotonic(scored.where(F.col("split") == "val"))
-    calibrated = ml.apply_isotonic(iso, scored.where(F.col("split") == "test"))
-    thr = chosen.select("model", F.col("chosen_threshold").alias("used_threshold"))
-    test = calibrated.join(F.broadcast(thr), "model")
-    conf = ev.rates(ev.confusion(test, F.col("used_threshold"), ["model", "split", "used_threshold"]))
-    return conf.join(ev.roc_auc(calibrated), ev.KEYS, "left")
+    """calibrated test metrics at the uncalibrated winner's frozen threshold."""
+    return _rounded(tr.calibrated_metrics(*_calibrated(spark, sf_dir)), "precision", "recall", "f1", "auc")
 
 
 # ---- streaming --------------------------------------------------------------
@@ -570,33 +610,38 @@ def q_calibrated_metrics(spark, sf_dir):
 def q_stream_scoring(spark, sf_dir):
     """I8: the retention list computed by a Structured Streaming query.
 
-    The derived subscriber rows are written as parquet files into the shared
-    folder and consumed as a file stream; the result equals the batch
-    retention list."""
+    The prepared table is consumed as a file stream; the result equals the
+    batch retention list."""
     import os
     import uuid
     from churnscope.session import ensure_checkpoint_dir
     from churnscope.streaming.scoring import run_retention_stream
+    table = prepared(spark, sf_dir)
+    base = os.path.join(ensure_checkpoint_dir(spark), "stream", uuid.uuid4().hex)
+    return run_retention_stream(spark, table.path, *_stream_args(spark, sf_dir),
+                                sink_dir=os.path.join(base, "sink"), checkpoint_dir=os.path.join(base, "progress"),
+                                schema=table.schema)
+
+
+def _stream_args(spark, sf_dir):
     stats, edges, model, thr = _serving_context(spark, sf_dir)
-    src = os.path.join(ensure_checkpoint_dir(spark), "stream", f"source-{uuid.uuid4().hex}")
-    _raw(spark, sf_dir).write.parquet(src)
-    return run_retention_stream(spark, src, stats, model, thr, edges)
+    return stats, model, thr, edges
 
 
 @query("model_selection")
 def q_model_selection(spark, sf_dir):
-    """Lifecycle (b): all three fitted models, validation choice and frozen test
-    metrics in one table, with the winner flagged (F5-F10, G4-G7)."""
-    from churnscope.plans.train import metrics_table, train_and_evaluate
-    result = train_and_evaluate(_prepared(spark, sf_dir))
-    return metrics_table(result).withColumn("is_winner", F.col("model") == F.lit(result.winner))
+    """Lifecycle (b): all three fitted models, validation choice and frozen test metrics in one table, with
+    the winner flagged and its calibrated test record (F5-F12, G4-G7)."""
+    result = _result(spark, sf_dir)
+    table = tr.metrics_table(result).withColumn("calibrated", F.lit(False))
+    cal = tr.calibrated_metrics(result.calibrated(), result.val_metrics).withColumn("calibrated", F.lit(True))
+    both = table.unionByName(cal, allowMissingColumns=True)
+    return both.withColumn("is_winner", F.col("model") == F.lit(result.winner))
 
 
 @query("fitted_retention_list")
 def q_fitted_retention_list(spark, sf_dir):
     """I7 as the scoring page does it: serving features scored by a fitted
     pipeline (the logistic regression), its validation threshold, actions."""
-    from churnscope.plans.train import retention_with_model, train_and_evaluate
-    prepared = _prepared(spark, sf_dir)
-    result = train_and_evaluate(prepared, kinds=("logreg",))
-    return retention_with_model(_raw(spark, sf_dir), train_only(prepared), result)
+    result = _result(spark, sf_dir, ("logreg",))
+    return tr.retention_with_model(_raw(spark, sf_dir), _train(spark, sf_dir), result)

@@ -1,25 +1,30 @@
 """Preparation lifecycle: raw -> clean -> CLV -> features -> model columns -> split.
 
-Plan shape: the subscriber derivation (orders aggregate + customer join)
-runs once and its stage-1 features are written to the shared checkpoint
-folder; the scalar jobs (leftover probe, two medians, split size) then scan
-that parquet, and the split table is written again partitioned by
-``split`` so reports on one split prune the other partitions.
-``write_splits`` / ``read_splits`` are the A2/A3 sink and source.
+``prepared`` derives the subscribers once per input and writes one table,
+partitioned by ``split``: every raw column (the raw total as
+``TotalChargesText``), the features and the split.  The statistics of the
+training split that later steps need (medians, CLV edges) are fitted once and
+kept with it.  ``write_splits`` / ``read_splits`` are the A2/A3 sink and source.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from churnscope.functions import features as fx
 from churnscope.operators.clean import coerce_total_charges
 from churnscope.operators.features import _apply, add_clv, select_model_columns
 from churnscope.operators.split import stratified_split
-from churnscope.operators.stats import FeatureStats, exact_median, fit_feature_stats
-from churnscope.session import stash, write_stash
-from churnscope.sources.subscribers import load_subscribers
+from churnscope.operators.stats import (FeatureStats, TrainStats, exact_median, fit_feature_stats,
+                                        fit_train_stats)
+from churnscope.session import release, stash, write_stash
+from churnscope.sources.subscribers import RAW_COLUMNS, load_subscribers
+from churnscope.sources.tables import table_path
 
 
 def feature_table(raw: DataFrame, stats: FeatureStats | None = None,
@@ -58,10 +63,10 @@ def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """A3: read all splits or one (partition pruning on ``split``)."""
-    import os
-    if not os.path.exists(path) and "://" not in path:
-        raise FileNotFoundError(f"processed splits not found at {path}; run preparation first")
-    df = spark.read.parquet(path)
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"processed splits not found at {path}; run preparation first") from e
     if "split" not in df.columns:
         raise FileNotFoundError(f"{path} holds no split partitions")
     return df if split is None else df.where(F.col("split") == split)
@@ -71,44 +76,51 @@ def train_only(df: DataFrame) -> DataFrame:
     return df.where(F.col("split") == "train")
 
 
-# ---- prepared tables, materialized once per input --------------------------
+# ---- the prepared table, written once per input -----------------------------
 #
 # The reference prepares once and every later stage reads the processed
-# splits.  ``prepared_tables`` does the same: the derivation, the feature
-# table and the split table are written once per (application, input
-# fingerprint) under the shared checkpoint folder and read back by every
-# query.  A changed input file changes the fingerprint and rebuilds.
+# splits.  ``prepared`` does the same, once per (application, input files).
+
+@dataclass(frozen=True)
+class Prepared:
+    path: str
+    schema: StructType
+    stats: TrainStats
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """Every column of every subscriber, partitioned by ``split``."""
+        return spark.read.schema(self.schema).parquet(self.path)
+
+    def raw(self, spark: SparkSession) -> DataFrame:
+        return self.table(spark).withColumn("TotalCharges", F.col("TotalChargesText")).select(*RAW_COLUMNS)
+
+    def splits(self, spark: SparkSession) -> DataFrame:
+        return self.table(spark).select(*select_model_columns(self.table(spark)).columns, "split")
+
 
-_MEMO: dict[tuple, dict] = {}
+_MEMO: dict[tuple, Prepared] = {}
 
 
-def _fingerprint(sf_dir: str, names=("customer", "orders")) -> tuple:
-    import os
-    from churnscope.sources.tables import table_path
+def _fingerprint(spark: SparkSession, sf_dir: str, names=("customer", "orders")) -> tuple:
+    """Path, size and time of every input file, in whatever store they are."""
     out = []
-    for n in names:
-        p = table_path(sf_dir, n)
-        try:
-            st = os.stat(p)
-            out.append((p, st.st_size, st.st_mtime_ns))
-        except OSError:
-            out.append((p, None, None))
-    return tuple(out)
-
-
-def prepared_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """``raw``, ``features`` (all rows, all columns) and ``splits`` for an input."""
-    key = (spark.sparkContext.applicationId, sf_dir, _fingerprint(sf_dir))
-    paths = _MEMO.get(key)
-    if paths is None:
-        paths = {"raw": write_stash(load_subscribers(spark, sf_dir), "raw")}
-        raw = spark.read.parquet(paths["raw"])
-        paths["features"] = write_stash(feature_table(raw, materialize=False), "features")
-        feats = spark.read.parquet(paths["features"])
-        split = stratified_split(select_model_columns(feats))
-        paths["splits"] = write_stash(split, "splits", partition_by="split")
-        # keep each schema so later reads skip the footer-inference job
-        entry = {name: (p, spark.read.parquet(p).schema) for name, p in paths.items()}
-        _MEMO[key] = entry
-        paths = entry
-    return {name: spark.read.schema(schema).parquet(p) for name, (p, schema) in paths.items()}
+    for name in names:
+        where = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
+    key = (spark.sparkContext.applicationId, sf_dir, _fingerprint(spark, sf_dir))
+    if key not in _MEMO:
+        raw = load_subscribers(spark, sf_dir).withColumn("TotalChargesText", F.col("TotalCharges"))
+        staged = stash(raw, "subscribers-raw")
+        feats = feature_table(staged, materialize=False)
+        path = write_stash(stratified_split(feats), "subscribers", partition_by="split")
+        release(staged)
+        table = spark.read.parquet(path)
+        _MEMO[key] = Prepared(path, table.schema, fit_train_stats(train_only(table)))
+    return _MEMO[key]

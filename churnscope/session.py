@@ -59,7 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def write_stash(df, name: str, partition_by: str | None = None) -> str:
+def write_stash(df, name: str, partition_by: str | list[str] | None = None) -> str:
     """Write ``df`` as parquet under the shared checkpoint folder; return the path.
 
     Cuts the lineage (a lost executor recomputes from the written files, not
@@ -72,12 +72,12 @@ def write_stash(df, name: str, partition_by: str | None = None) -> str:
     path = os.path.join(base, "stash", f"{name}-{uuid.uuid4().hex}")
     writer = df.write.mode("overwrite")
     if partition_by:
-        writer = writer.partitionBy(partition_by)
+        writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     writer.parquet(path)
     return path
 
 
-def stash(df, name: str, partition_by: str | None = None):
+def stash(df, name: str, partition_by: str | list[str] | None = None):
     """``write_stash`` and read the written table back."""
     path = write_stash(df, name, partition_by)
     out = df.sparkSession.read.parquet(path)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from churnscope.sources.tables import read_table
 
 RAW_SCHEMA = T.StructType([
-    T.StructField("customerID", T.LongType()),
+    T.StructField("customerID", T.StringType()),
     T.StructField("gender", T.StringType()),
     T.StructField("SeniorCitizen", T.IntegerType()),
     T.StructField("Partner", T.StringType()),
@@ -53,10 +53,29 @@ MONTHLY_SEGMENTS = ["BUILDING", "AUTOMOBILE", "MACHINERY"]
 LAST_MONTH = 2001 * 12 + 8
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A1: scan a subscriber CSV with a header and the explicit schema."""
-    return (spark.read.schema(RAW_SCHEMA).option("header", True)
-            .option("mode", "PERMISSIVE").csv(path))
+MALFORMED = "_malformed"
+
+
+def read_raw_csv(spark: SparkSession, path: str, keep_malformed: bool = False) -> DataFrame:
+    """A1: scan a subscriber CSV with a header and the explicit schema.
+
+    Ids are text.  Rows that do not fit the schema have nulls where they do
+    not; ``keep_malformed`` adds a column with the text of such a row, for
+    ``count_malformed``.
+    """
+    schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(MALFORMED, T.StringType())])
+    return (spark.read.schema(schema if keep_malformed else RAW_SCHEMA).option("header", True)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).csv(path))
+
+
+def count_malformed(df: DataFrame) -> DataFrame:
+    """Rows, rows with any value and malformed rows of a CSV read with ``keep_malformed``.
+
+    Every column is referenced: a column that is pruned is not parsed either.
+    """
+    anything = F.coalesce(*[F.col(c).cast("string") for c in RAW_COLUMNS])
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(anything).alias("n_with_values"),
+                  F.count(MALFORMED).alias("n_malformed"))
 
 
 def require_columns(df: DataFrame, needed, stage: str) -> DataFrame:
@@ -116,7 +135,7 @@ def derive_subscribers(customer: DataFrame, orders: DataFrame) -> DataFrame:
         k, nk, "c_mktsegment", tenure.alias("tenure"), monthly.alias("MonthlyCharges"),
         *[cnt[n].alias(n) for n in cnt])
     out = base.select(
-        k.alias("customerID"),
+        k.cast("string").alias("customerID"),
         F.when(k % 4 < 2, "Female").otherwise("Male").alias("gender"),
         _flag(k % 6 == 0).cast("int").alias("SeniorCitizen"),
         F.when(k % 2 == 0, "Yes").otherwise("No").alias("Partner"),

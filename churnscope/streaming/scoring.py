@@ -11,17 +11,14 @@ exactly-once after a failure.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnscope.operators import actions as ac
 from churnscope.operators.features import serving_features
 from churnscope.operators.stats import FeatureStats
-from churnscope.session import ensure_checkpoint_dir
 from churnscope.sources.scored import scorer_column
-from churnscope.sources.subscribers import RAW_SCHEMA
+from churnscope.sources.subscribers import RAW_COLUMNS, RAW_SCHEMA
 
 
 def retention_stream(stream: DataFrame, stats: FeatureStats, model: str, threshold: float,
@@ -31,16 +28,25 @@ def retention_stream(stream: DataFrame, stats: FeatureStats, model: str, thresho
 
 
 def run_retention_stream(spark: SparkSession, source_dir: str, stats: FeatureStats, model: str,
-                         threshold: float, edges, sink_dir: str | None = None) -> DataFrame:
-    """Run the stream to completion over the files present; return the sink as a table."""
-    base = ensure_checkpoint_dir(spark)
-    run = uuid.uuid4().hex
-    sink_dir = sink_dir or os.path.join(base, "stream", f"sink-{run}")
-    ckpt = os.path.join(base, "stream", f"ckpt-{run}")
-    src = spark.readStream.schema(RAW_SCHEMA).parquet(source_dir)
-    q = (retention_stream(src, stats, model, threshold, edges)
+                         threshold: float, edges, sink_dir: str, checkpoint_dir: str, schema=RAW_SCHEMA,
+                         max_files: int | None = None) -> DataFrame:
+    """Run the stream over the files present; return the sink as a table.
+
+    ``checkpoint_dir`` keeps the progress: a later call with the same folders
+    takes only files that have come since, and a call after a failure goes on
+    where it stopped.  ``max_files`` bounds a micro-batch.  ``schema`` may hold
+    more columns than the raw ones (they are dropped), with the raw total as
+    ``TotalChargesText``.
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    src = reader.parquet(source_dir)
+    if "TotalChargesText" in src.columns:
+        src = src.withColumn("TotalCharges", F.col("TotalChargesText"))
+    q = (retention_stream(src.select(*RAW_COLUMNS), stats, model, threshold, edges)
          .writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", ckpt).outputMode("append")
+         .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:

@@ -26,7 +26,7 @@ def make_raw(spark, rows):
     """Raw subscriber rows from partial dicts (defaults for the rest)."""
     from churnscope.sources.subscribers import RAW_SCHEMA
     base = {
-        "customerID": 1, "gender": "Female", "SeniorCitizen": 0, "Partner": "No",
+        "customerID": "1", "gender": "Female", "SeniorCitizen": 0, "Partner": "No",
         "Dependents": "No", "tenure": 12, "PhoneService": "Yes", "MultipleLines": "No",
         "InternetService": "DSL", "OnlineSecurity": "No", "OnlineBackup": "No",
         "DeviceProtection": "No", "TechSupport": "No", "StreamingTV": "No",
@@ -36,7 +36,7 @@ def make_raw(spark, rows):
     }
     data = []
     for i, r in enumerate(rows):
-        d = dict(base, customerID=i + 1)
+        d = dict(base, customerID=str(i + 1))
         d.update(r)
         data.append(tuple(d[f.name] for f in RAW_SCHEMA.fields))
     return spark.createDataFrame(data, RAW_SCHEMA)

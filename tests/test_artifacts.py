@@ -5,9 +5,12 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from churnscope.operators import explain as xp
+from churnscope.operators import reports as rp
 from churnscope.operators.clean import clean_total_charges
 from churnscope.sources import artifacts as art
-from churnscope.sources.subscribers import load_subscribers, read_raw_csv
+from churnscope.sources.subscribers import (RAW_COLUMNS, count_malformed, load_subscribers,
+                                            read_raw_csv)
 from churnscope.plans.prep import read_splits, write_splits
 from tests.conftest import SF_SMALL
 
@@ -25,6 +28,33 @@ def test_raw_csv_roundtrip(spark):
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
 
 
+def test_text_ids_and_malformed_rows(spark, tmp_path):
+    head = ",".join(RAW_COLUMNS)
+    row = "7590-VHVEG,Female,0,Yes,No,1,No,No phone service,DSL,No,Yes,No,No,No,No,Month-to-month,Yes," \
+          "Electronic check,29.85,29.85,No"
+    (tmp_path / "a.csv").write_text("\n".join([head, row, row.replace("29.85,29.85", "many,29.85"), "short,row"]) + "\n")
+    path = str(tmp_path / "a.csv")
+    rows = read_raw_csv(spark, path).collect()
+    assert rows[0]["customerID"] == "7590-VHVEG" and rows[0]["MonthlyCharges"] == 29.85 and len(rows) == 3
+    counts = count_malformed(read_raw_csv(spark, path, keep_malformed=True)).first()
+    assert (counts["n_rows"], counts["n_malformed"]) == (3, 2)
+
+
+def test_default_threshold_without_metrics(spark):
+    empty = spark.createDataFrame([], art.METRICS_SCHEMA)
+    assert [r["operating_threshold"] for r in art.operating_threshold(empty).collect()] == [0.60]
+
+
+def test_quartile_and_top_driver_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(float(v), v % 2) for v in range(1, 9)], "CLV double, ChurnFlag int")
+    art.write_train_quartiles(rp.add_clv_quartile(df), str(tmp_path / "q"))
+    assert art.read_train_quartiles(spark, str(tmp_path / "q")).where("CLV_quartile = 'High'").count() == 2
+    drivers = xp.driver_table(spark.createDataFrame([("a", 1.0), ("b", -2.0), ("c", 0.5)], "feature string, coef double"))
+    art.write_top_drivers_csv(xp.top_drivers(drivers, 2), str(tmp_path / "d"))
+    top = spark.read.option("header", True).csv(str(tmp_path / "d" / "top_negative")).orderBy("rank").collect()
+    assert [r["feature"] for r in top] == ["b", "c"]
+
+
 def test_splits_and_metrics_roundtrip(spark):
     base = tempfile.mkdtemp(prefix="art-", dir="/tmp")
     df = spark.createDataFrame([(1, "train"), (2, "val"), (3, "test")], "customerID long, split string")

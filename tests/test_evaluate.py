@@ -37,10 +37,10 @@ def test_one_class_auc_null(spark):
     assert row["auc"] is None and row["tp"] == 2 and row["fn"] == 1 and row["fp"] == 0
 
 
-def test_golden_counts():
-    """Published counts: tp 307, fp 255, fn 67 -> precision .5463, recall .8209."""
-    tp, fp, fn = 307, 255, 67
-    assert round(tp / (tp + fp), 4) == 0.5463 and round(tp / (tp + fn), 4) == 0.8209
+def test_golden_counts(spark):
+    """Published counts: tp 307, fp 255, fn 67 -> precision .5463, recall .8209, F1 .6560."""
+    row = ev.rates(spark.createDataFrame([(307, 255, 67)], "tp long, fp long, fn long")).first()
+    assert [round(row[c], 4) for c in ("precision", "recall", "f1")] == [0.5463, 0.8209, 0.6560]
 
 
 def test_sweep_matches_brute_force_and_recall_first(spark):

@@ -19,7 +19,7 @@ def test_total_charges_coercion(spark):
         {"tenure": None, "TotalCharges": "abc"},      # leftover -> median
         {"tenure": 4, "TotalCharges": "100"},
     ])
-    out = {r["customerID"]: r["TotalCharges"] for r in clean_total_charges(raw).collect()}
+    out = {int(r["customerID"]): r["TotalCharges"] for r in clean_total_charges(raw).collect()}
     assert out[1] == 0.0
     assert out[2] == 100.0
     assert out[3] == 150.0  # tenure 3 x 50.0: '1d' is not accepted as a number
@@ -30,7 +30,7 @@ def test_total_charges_coercion(spark):
 
 
 def _feats(spark, rows, stats=FeatureStats(0.1, 50.0)):
-    return {r["customerID"]: r for r in
+    return {int(r["customerID"]): r for r in
             engineer_features(add_clv(clean_total_charges(make_raw(spark, rows))), stats).collect()}
 
 
@@ -79,7 +79,7 @@ def test_serving_presets(spark):
          "InternetService": "DSL", "PaymentMethod": "Bank transfer (automatic)",
          "TechSupport": "Yes", "OnlineSecurity": "Yes"},
     ])
-    out = {r["customerID"]: r for r in serving_features(raw, FeatureStats(0.1, 70.0)).collect()}
+    out = {int(r["customerID"]): r for r in serving_features(raw, FeatureStats(0.1, 70.0)).collect()}
     hi, lo = out[1], out[2]
     assert hi["TotalCharges"] == 210.0 and hi["CLV"] == 630.0 and hi["senior_fiber_optic"] == 1
     assert hi["services_count"] == 1 and hi["internet_no_tech_support"] == 1

@@ -11,7 +11,9 @@ from tests.conftest import SF_SMALL
 
 SAMPLE = ["clean_total_charges", "model_columns", "stratified_split", "churn_by_quartile",
           "business_insights", "clv_histogram", "threshold_sweep", "roc_points",
-          "frozen_test_metrics", "retention_list", "local_explanation", "skew_report"]
+          "frozen_test_metrics", "retention_list", "local_explanation", "skew_report",
+          "isotonic_scores", "calibrated_metrics", "logreg_certificate", "forest_certificate",
+          "gbt_certificate", "serving_features", "quartile_edges", "bounded_sample", "linear_importance"]
 
 
 @pytest.fixture(scope="module")

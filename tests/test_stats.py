@@ -1,5 +1,7 @@
 """Exact quantiles, quartile tiers, splits and running sums (property checks)."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -18,8 +20,8 @@ def test_exact_quantiles_small_and_bracketed(spark):
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
     expect = np.quantile(vals, probs)
     small = exact_quantiles(df, "x", probs)
-    # accuracy 100 and max_exact 200 force the bracket + recursion path
-    brack = exact_quantiles(df, "x", probs, accuracy=100, max_exact=200)
+    # a coarse approximation and many ranges
+    brack = exact_quantiles(df, "x", probs, accuracy=100, buckets=16)
     assert np.allclose(small, expect, rtol=0, atol=1e-12)
     assert np.allclose(brack, expect, rtol=0, atol=1e-12)
     multi = exact_quantiles_multi(df.withColumn("y", F.col("x") * 2), {"x": [0.5], "y": [0.25]})
@@ -50,9 +52,13 @@ def test_stratified_split_shares(spark):
     got = {(r["ChurnFlag"], r["split"]): r["count"] for r in out}
     assert got[(1, "train")] == 300 and got[(1, "val")] == 100 and got[(1, "test")] == 100
     assert got[(0, "train")] == 900 and got[(0, "val")] == 300 and got[(0, "test")] == 300
-    # bucketed ranking keeps shares per class within rounding of each bucket
-    b = stratified_split(df, buckets=4).where(F.col("split") == "train").count()
-    assert abs(b - 1200) <= 8
+
+
+def test_split_does_not_depend_on_the_number_of_ranges(spark):
+    rows = [(f"id-{i}", 1 if i % 3 == 0 else 0) for i in range(3000)] + [("twice", 1), ("twice", 1), (None, 0)]
+    df = spark.createDataFrame(rows, "customerID string, ChurnFlag int")
+    first, *others = [Counter(map(tuple, stratified_split(df, buckets=b).collect())) for b in (1, 8, 64)]
+    assert all(first == o for o in others) and sum(first.values()) == len(rows)
 
 
 def test_running_sums_match_cumsum(spark):
@@ -69,20 +75,24 @@ def test_running_sums_match_cumsum(spark):
         assert len(m) == len(pdf) and (m["cum_v"] == m["cum_v_s"]).all()
 
 
-def test_bracket_path_recurses(spark, monkeypatch):
-    """The bracketed path runs (and recurses) when values outnumber max_exact."""
-    import churnscope.operators.stats as st
-    calls = {"bracket": 0}
-    real = st._bracket
+@pytest.mark.parametrize("buckets", [2000, 10000])
+def test_running_sums_with_many_ranges(spark, buckets):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": np.repeat([0, 1], 3000), "x": np.concatenate([rng.random(3000), 0.5 + rng.random(3000) / 1e6]),
+                        "v": rng.integers(0, 5, 6000)}).drop_duplicates(["k", "x"])
+    df = spark.createDataFrame(pdf)
+    sums = [running_sums(df, ["k"], "x", ["v"], descending=True, buckets=b, following=("v",))
+            .orderBy("k", "x").toPandas() for b in (8, buckets)]
+    assert sums[0].equals(sums[1]) and len(sums[0]) == len(pdf)
+    for _, part in sums[0].groupby("k"):
+        assert part["v"].iloc[:-1].tolist() == part["next_v"].iloc[1:].astype(int).tolist()
+        assert np.isnan(part["next_v"].iloc[0])
 
-    def counting(values, p, accuracy):
-        calls["bracket"] += 1
-        return real(values, p, accuracy)
 
-    monkeypatch.setattr(st, "_bracket", counting)
+def test_quantiles_of_large_and_empty_columns(spark):
     rng = np.random.default_rng(21)
     vals = rng.random(20000)
-    df = spark.createDataFrame(pd.DataFrame({"x": vals}))
-    got = st.exact_quantiles(df, "x", [0.5, 0.9], accuracy=50, max_exact=100)
-    assert np.allclose(got, np.quantile(vals, [0.5, 0.9]), rtol=0, atol=1e-15)
-    assert calls["bracket"] >= 4      # one bracket per quantile, then at least one narrowing each
+    df = spark.createDataFrame(pd.DataFrame({"x": vals, "one": 3.0})).withColumn("none", F.lit(None).cast("double"))
+    got = exact_quantiles_multi(df, {"x": [0.5, 0.9], "one": [0.1], "none": [0.5]}, accuracy=50)
+    assert np.allclose(got["x"], np.quantile(vals, [0.5, 0.9]), rtol=0, atol=1e-15)
+    assert got["one"] == [3.0] and got["none"] == [None]

@@ -9,43 +9,41 @@ from churnscope.operators import actions as ac
 from churnscope.operators.features import serving_features
 from churnscope.operators.split import hash_split
 from churnscope.operators.stats import FeatureStats
-from churnscope.plans.prep import prepared_tables
+from churnscope.plans.prep import prepared
 from churnscope.sources.scored import scorer_column
-from churnscope.sources.subscribers import RAW_SCHEMA
-from churnscope.streaming.scoring import retention_stream
+from churnscope.sources.subscribers import load_subscribers
+from churnscope.streaming.scoring import run_retention_stream
 from tests.conftest import SF_SMALL
 
 
-def test_stream_equals_batch_and_restart_is_idempotent(spark):
-    raw = prepared_tables(spark, SF_SMALL)["raw"]
+def test_stream_equals_batch_and_goes_on_from_its_checkpoint(spark):
+    table = prepared(spark, SF_SMALL)
+    raw = table.raw(spark)
     base = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
     src, sink, ckpt = (os.path.join(base, n) for n in ("src", "sink", "ckpt"))
-    raw.write.parquet(src)
     stats, edges = FeatureStats(1 / 6, 70.0), [300.0, 500.0, 900.0]
+    halves = raw.randomSplit([0.5, 0.5], seed=1)
 
     def run():
-        q = (retention_stream(spark.readStream.schema(RAW_SCHEMA).parquet(src), stats, "logreg",
-                              0.5, edges)
-             .writeStream.format("parquet").option("path", sink)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-        q.awaitTermination()
-        return spark.read.parquet(sink)
+        return run_retention_stream(spark, src, stats, "logreg", 0.5, edges, sink, ckpt, max_files=2)
 
-    first = run()
+    halves[0].repartition(5).write.parquet(src)
+    assert run().count() == halves[0].count()          # several micro-batches
+    assert run().count() == halves[0].count()          # the files were already consumed
+    halves[1].write.mode("append").parquet(src)
+    out = run()                                         # only the new files
     batch = ac.retention_list(serving_features(raw, stats).withColumn("prob", scorer_column("logreg")),
                               0.5, edges)
-    assert first.count() == batch.count() == raw.count()
-    assert first.exceptAll(batch.select(first.columns)).count() == 0
-    again = run()                     # same checkpoint: the files were already consumed
-    assert again.count() == raw.count()
-
-
-def test_prepared_tables_memo(spark):
-    a = prepared_tables(spark, SF_SMALL)
-    b = prepared_tables(spark, SF_SMALL)
-    assert a["splits"].inputFiles() == b["splits"].inputFiles()
-    other = prepared_tables(spark, "/root/testdata/sf0.01")
-    assert other["raw"].count() > a["raw"].count()
+    assert out.count() == batch.count() == raw.count()
+    assert out.exceptAll(batch.select(out.columns)).count() == 0
+
+
+def test_prepared_is_written_once_per_input(spark):
+    a, b = prepared(spark, SF_SMALL), prepared(spark, SF_SMALL)
+    assert a is b
+    other = prepared(spark, "/root/testdata/sf0.01")
+    assert other.path != a.path and other.raw(spark).count() > a.raw(spark).count()
+    assert a.raw(spark).exceptAll(load_subscribers(spark, SF_SMALL)).count() == 0
 
 
 def test_hash_split_is_stable_and_shuffle_free(spark):
