@@ -37,7 +37,7 @@ ROWS_PER_LANGUAGE = 1500
 MAX_WORDS, MAX_GRAMS = 50_000, 50_000
 MAX_NGRAM = 5
 #: Words a task remembers the scores of.
-CACHE = 300_000
+CACHE = 150_000
 UNKNOWN = "und"
 
 

@@ -55,7 +55,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Units and pairs a task remembers; longer units than UNIT_CHARS are not kept.
-UNITS, PAIRS, UNIT_CHARS = 600_000, 2_000_000, 64
+UNITS, PAIRS, UNIT_CHARS = 250_000, 1_000_000, 64
 BLOCK = 4 << 20
 #: States: ids of pieces, the start, and characters outside the lexicon from OUTSIDE on.
 START, OUTSIDE = (1 << 20) - 1, 1 << 20

@@ -1,4 +1,5 @@
-"""Makes the package importable on executors that do not have it installed."""
+"""Readies a session: the package's sources on executors that do not have it
+installed, and Arrow batches of a size that keeps a task's memory small."""
 
 from __future__ import annotations
 
@@ -10,10 +11,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch to Python, in place of Spark's default.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources with the application, once."""
+    """Set the batch size unless the session has its own; send the sources, once an application."""
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
