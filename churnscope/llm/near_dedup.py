@@ -5,7 +5,7 @@ sets form one class, and only classes are compared.  Each class has a MinHash
 signature of ``COORDINATES`` values and is posted under its (coordinate,
 value) pairs.  At the production similarity 0.8 two sets agree on a
 coordinate with probability 0.8, so fewer than ``MATCHES`` of 64 agree with
-probability below 1e-8; pairs below that count are no candidates.
+probability 2e-8; pairs below that count are no candidates.
 
 * Prefix: two signatures that agree on ``MATCHES`` of 64 coordinates share one
   of the ``64 - MATCHES + 1`` rarest pairs of either.  Pairs that one class
@@ -13,13 +13,13 @@ probability below 1e-8; pairs below that count are no candidates.
   and the others post only the rest of their prefix.
 * Skip: in each posting list every class is first compared with one hub (the
   one whose pairs are most common), which is linear in the list.  Confirmed
-  links are merged into components; then lists whose classes are all connected
-  are skipped.  In the other lists, classes of different components are paired,
-  unless too many shingles are one class's own: shingles that no other of these
-  classes has are in no intersection, and with what remains many a pair cannot
-  reach the similarity.  A family of thousands of near
-  copies therefore costs its size, not its square, while every link that could
-  join two components is looked at.
+  links are merged into components, and pairs within one are skipped.  Pairs of
+  different components are looked at where one side does not agree with the
+  hub.  Where both do, their sets relative to the hub tell what they can share:
+  a pair is a candidate if both have enough of the hub's shingles, or if they
+  share a shingle the hub has not; only these shingles are posted.  A family of
+  thousands of near copies therefore costs its size, not its square, while
+  every link that could join two components is looked at.
 * Candidates whose signatures agree on ``MATCHES`` coordinates are confirmed on
   their full sets, and components follow from confirmed links alone.
 
@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,22 +125,36 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, n_shingles long, key binary, sig array<int>, low binary{more}")
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """key and sorted shingle hashes of each document that has words."""
+def _sets_of(used: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(cls, values): the full set of each class in ``used``, from one document of it."""
+    used = stash(classes.join(used, "cls", "left_semi").select(
+        "cls", "key", F.col("one.doc_id").alias("_id"), F.col("one.tag").alias("_tag")), "near-used")
+    rows = F.broadcast(used) if used.count() <= BROADCAST_ROWS else used  # else the texts are shuffled
+    texts = docs.select("doc_id", "text", _tag("text").alias("tag")).join(
+        rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select(
+        "cls", "text", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, limit=2 << 20):
             values, offsets = shingle_sets(block.column(1), shingle)
-            keys = [_digest(values[a:b]) for a, b in zip(offsets, offsets[1:])]
+            keys = pa.array([_digest(values[a:b]) for a, b in zip(offsets, offsets[1:])], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)),
                                              pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists], ["key", "values"])
+            same = pa.compute.equal(keys, block.column(2))
+            yield pa.RecordBatch.from_arrays([block.column(0).filter(same), lists.filter(same)],
+                                             ["cls", "values"])
+
+    sets = stash(texts.mapInArrow(run, "cls long, values array<long>"), "near-sets")
+    release(used)
+    return sets
 
-    return docs.mapInArrow(run, "key binary, values array<long>").where(F.col("key").isNotNull())
+
+def _tag(text: str) -> F.Column:
+    return F.xxhash64(text)
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """Distinct pairs (a, b) whose signatures agree on enough coordinates."""
+    """Distinct pairs (a, b) whose signatures agree on enough coordinates, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,64 +163,41 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)],
                                              ["a", "b"])
 
-    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return (both.join(classes.select(F.col("cls").alias("a"), F.col("low").alias("low_a")), "a")
-            .join(classes.select(F.col("cls").alias("b"), F.col("low").alias("low_b")), "b")
-            .select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long"))
-
+    both = (pairs.select("a", "b").distinct()
+            .join(classes.select(F.col("cls").alias("a"), F.col("low").alias("low_a")), "a")
+            .join(classes.select(F.col("cls").alias("b"), F.col("low").alias("low_b")), "b"))
+    return stash(both.select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long"), "near-pairs")
 
-def _sets_of(used: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(cls, values): the full set of each class in ``used``, read from one document of it."""
-    used = stash(classes.join(used, "cls", "left_semi").select("cls", "key", "least"), "near-used")
-    ids = used.select(F.col("least").alias("_id")).distinct()
-    if used.count() <= BROADCAST_ROWS:  # else the texts are shuffled by id
-        ids = F.broadcast(ids)
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = stash(_sets(texts, shingle).join(used.select("key", "cls"), "key")
-                 .dropDuplicates(["cls"]).select("cls", "values"), "near-sets")
-    release(used)
-    return sets
 
-
-def _shareable(sets: DataFrame) -> DataFrame:
-    """(cls, share): how many of its shingles a class of ``sets`` has in common with any other.
-
-    A shingle that only one class has is in no intersection, so ``share`` bounds the
-    intersection of the class with each other one.
-    """
-    shingles = sets.select("cls", F.explode("values").alias("value"))
-    single = shingles.groupBy("value").agg(F.count("*").alias("k"), F.min("cls").alias("cls")).where("k = 1")
-    own = single.groupBy("cls").agg(F.count("*").alias("own"))
-    return (sets.select("cls", F.size("values").alias("n")).join(own, "cls", "left")
-            .select("cls", (F.col("n") - F.coalesce("own", F.lit(0))).alias("share")))
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs whose full sets are similar enough, as a written table."""
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs with their full sets compared, as a written table: ``common`` shingles, whether they
+    are ``linked``, and the shingles ``own`` that a has and b has not."""
     part, whole = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = []
+            common, linked, own = [], [], []
             for one, two in zip(batch.column(2), batch.column(3)):
                 x, y = one.values.to_numpy(), two.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(whole * both >= part * (len(x) + len(y) - both))
-            keep = pa.array(hit, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)],
-                                             ["a", "b"])
+                shared = np.isin(x, y, assume_unique=True)
+                both = int(shared.sum())
+                common.append(both)
+                linked.append(whole * both >= part * (len(x) + len(y) - both))
+                own.append(x[~shared])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()),
+                 pa.array(own, pa.list_(pa.int64()))], ["a", "b", "common", "linked", "own"])
 
     joined = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("values").alias("one")), "a")
               .join(sets.select(F.col("cls").alias("b"), F.col("values").alias("two")), "b"))
-    out = stash(joined.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "near-links")
-    release(pairs)
-    return out
+    return stash(joined.select("a", "b", "one", "two").mapInArrow(
+        run, "a long, b long, common long, linked boolean, own array<long>"), "near-compared")
 
 
-def _mixed(posts: DataFrame) -> DataFrame:
-    """The postings (token, cls, n, root) of lists that hold more than one component."""
-    lists = posts.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return posts.join(stash(lists.where("low <> high").select("token"), "mixed"), "token")
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` has more than one ``root``."""
+    groups = rows.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return rows.join(stash(groups.where("low <> high").select(key), "mixed"), key)
 
 
 def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -217,11 +209,12 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     part, whole = similarity
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"),
                      F.col(text_column).cast("string").alias("text"), *carry)
-    rows = stash(sketch(docs, shingle), "sketches")
+    rows = stash(sketch(docs.select("doc_id", "text", _tag("text").alias("tag"),
+                                    *[F.col(c).alias(f"carry_{c}") for c in carry]), shingle), "sketches")
     # classes of equal sets; their numbers are drawn once, when the table is written
     classes = stash(rows.where(F.col("key").isNotNull()).groupBy("key")
-                    .agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"),
-                         F.first("sig").alias("sig"), F.first("low").alias("low"))
+                    .agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tag")).alias("one"),
+                         F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"))
                     .withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     # posting pairs that several classes have, and each class's prefix of them
@@ -236,37 +229,75 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
                       F.expr("aggregate(some, 0L, (s, x) -> s + x.n_token)").alias("weight")))
     posts = stash(chosen.join(classes.select("cls", "n"), "cls"), "posts")
 
-    def close(a: str, b: str) -> F.Column:
-        return (F.col(a) * whole >= F.col(b) * part) & (F.col(b) * whole >= F.col(a) * part)
-
     # every class of a posting list against one hub of it, the one that shares most
     posted = posts.select("cls", "n", "weight", F.explode("tokens").alias("token"))
     hubs = stash(posted.groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("hub"),
                                              F.count("*").alias("k"))
                  .where("k > 1").select("token", F.col("hub.cls").alias("b"), F.col("hub.n").alias("n_b")), "hubs")
-    star = posted.join(hubs, "token").where((F.col("cls") != F.col("b")) & close("n", "n_b"))
-    pairs = stash(_agreeing(star.select(F.col("cls").alias("a"), "b"), classes, matches), "near-candidates")
+    star = posted.join(hubs, "token").where(F.col("cls") != F.col("b"))
+    pairs = _agreeing(star.select(F.col("cls").alias("a"), "b"), classes, matches)
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, docs, shingle)
+    near = _compared(pairs, sets, similarity)
+    release(pairs, sets)
+    roots = stash(components(near.where("linked")), "near-roots")
+
+    # what is left are pairs of different components in one list
+    def named(df: DataFrame) -> DataFrame:
+        return df.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+            "root", F.coalesce("root", "cls"))
+
+    def sides(df: DataFrame, key: list[str], *columns: str) -> list[DataFrame]:
+        return [df.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "root", *columns)]) for x in "ab"]
+
+    apart = ((F.col("root_a") != F.col("root_b"))
+             & (F.col("n_a") * whole >= F.col("n_b") * part) & (F.col("n_b") * whole >= F.col("n_a") * part))
+    ordered = F.col("cls_a") < F.col("cls_b")
+
+    # of which one does not agree with the hub: collisions are counted as the pairs meet
+    known = near.select(F.col("a").alias("cls"), "b", F.lit(True).alias("known"))
+    lists = _mixed(named(posted.join(hubs, "token")), "token").join(known, ["cls", "b"], "left").withColumn(
+        "known", F.coalesce("known", F.col("cls") == F.col("b")))
+    lists = stash(lists.join(classes.select("cls", "sig"), "cls").select(
+        "token", "cls", "n", "root", "known", "sig"), "mixed-lists")
+    one, two = sides(lists, ["token"], "known", "sig")
+    same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    loose = one.where("NOT known_a").join(two, "token").where(
+        apart & (F.col("known_b") | ordered) & (same >= matches))
+
+    # or of which both do: similar sets share part / (part + whole) of their sizes, within the hub's
+    # set or in shingles outside it.  These are posted rarest first, and of two lists that must share
+    # t entries one is among the first of either, all but t - 1
+    family = near.select(F.col("a").alias("cls"), "b", "common", "own").join(classes.select("cls", "n"), "cls")
+    heads = family.select("b").distinct().join(classes.select(F.col("cls").alias("b"), "n"), "b").select(
+        F.col("b").alias("cls"), "b", F.col("n").alias("common"), F.array().cast("array<long>").alias("own"), "n")
+    family = stash(_mixed(named(family.unionByName(heads)), "b").withColumn("size", F.size("own")), "mixed-families")
+    needed = F.ceil((F.col("n_a") + F.col("n_b")) * part / (part + whole)) - F.least("common_a", "common_b")
+    one, two = sides(family.where(F.col("common") * whole >= F.col("n") * part), ["b"], "common")
+    inside = one.join(two, "b").where(apart & ordered & (needed <= 0))
+    own = family.select("b", "cls", "n", "root", "common", "size", F.explode("own").alias("value"))
+    often = own.groupBy("b", "value").agg(F.count("*").alias("k")).where("k > 1")
+    ranked = (own.join(often, ["b", "value"]).groupBy("b", "cls", "n", "root", "common", "size")
+              .agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("some"))
+              .select("b", "cls", "n", "root", "common", "size", F.size("some").alias("shared"),
+                      F.posexplode("some").alias("place", "entry"))
+              .select("b", "cls", "n", "root", "common", F.col("entry.value").alias("value"),
+                      # entries from this one to the end; those before it and those nobody shares are rarer
+                      (F.col("shared") - F.col("place")).alias("left")))
+    ranked = stash(ranked, "mixed-shingles")
+    one, two = sides(ranked, ["b", "value"], "common", "left")
+    outside = one.join(two, ["b", "value"]).where(
+        apart & ordered & (F.least("left_a", "left_b") >= needed))
+
+    cross = None
+    for some in (loose, inside, outside):
+        some = some.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+        cross = some if cross is None else cross.union(some)
+    pairs = _agreeing(cross, classes, matches)
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, docs, shingle)
-    links = _confirmed(pairs, sets, similarity)
-    release(sets)
-    roots = stash(components(links), "near-roots")
-
-    # lists within one component are skipped; in the others, pairs of two components
-    named = posts.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "n", F.coalesce("root", "cls").alias("root"), F.explode("tokens").alias("token"))
-    mixed = stash(_mixed(named), "mixed-posts")
-    sets = _sets_of(mixed.select("cls").distinct(), classes, docs, shingle)
-    # similar sets have at least (n_a + n_b) * part / (part + whole) shingles in common
-    left = _mixed(mixed.join(_shareable(sets), "cls").where(F.col("share") * whole >= F.col("n") * part))
-    one, two = (left.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "root", "share")))
-                for x in "ab")
-    cross = one.join(two, "token").where(
-        (F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & close("n_a", "n_b")
-        & (F.least("share_a", "share_b") * (part + whole) >= (F.col("n_a") + F.col("n_b")) * part))
-    pairs = stash(_agreeing(cross.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")),
-                            classes, matches), "near-candidates")
-    more = _confirmed(pairs, sets, similarity)
-    all_roots = stash(components(links.union(more)), "near-roots")
+    more = _compared(pairs, sets, similarity)
+    release(pairs, sets)
+    all_roots = stash(components(near.where("linked").select("a", "b").union(
+        more.where("linked").select("a", "b"))), "near-roots")
 
     # components are named by the smallest id of their classes
     owned = classes.select("key", "cls", "least").join(all_roots.withColumnRenamed("node", "cls"), "cls", "left") \
@@ -274,7 +305,7 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     least = stash(owned.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
     named = stash(owned.join(least, "root").select("key", "component_id"), "class-components")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    release(classes, posts, hubs, links, roots, more, all_roots, mixed, sets, least)
-    return (rows.select("doc_id", "n_shingles", "key", *carry).join(named, "key", "left")
+    release(classes, posts, hubs, near, roots, lists, family, ranked, more, all_roots, least)
+    return (rows.select("doc_id", "n_shingles", "key", *[F.col(f"carry_{c}").alias(c) for c in carry]).join(named, "key", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"),
                     F.col("doc_id").eqNullSafe(component).alias("kept"), *carry))
