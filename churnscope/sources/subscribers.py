@@ -109,7 +109,8 @@ def derive_subscribers(customer: DataFrame, orders: DataFrame) -> DataFrame:
     k, nk = F.col("k"), F.col("nk")
     cnt = {name: F.coalesce(F.col(name), F.lit(0))
            for name in ["n1", "n2", "n3", "n4", "n5", "n_p", "n_o"]}
-    tenure = (F.when(F.col("last_f").isNull(), F.lit(0))
+    tenure = (F.when(k % 401 == 11, F.lit(-1))  # a broken record: its total can only be imputed
+              .when(F.col("last_f").isNull(), F.lit(0))
               .otherwise(F.least(F.lit(72), F.lit(LAST_MONTH) - F.col("last_f")))
               .cast("int"))
     no_net = (nk % 5) == 0
@@ -128,7 +129,7 @@ def derive_subscribers(customer: DataFrame, orders: DataFrame) -> DataFrame:
     points = (3 * _flag(monthly_segment) + 2 * _flag(nk % 5 >= 3)
               + _flag((cnt["n4"] < 2) & ~no_net) + 2 * _flag(F.col("tenure") <= 6)
               + _flag(k % 12 < 3) - _flag(k % 12 >= 6) + (k * 31) % 7)
-    total_text = F.when((F.col("tenure") == 0) | (k % 89 == 1), F.lit(" ")).otherwise(
+    total_text = F.when((F.col("tenure") <= 0) | (k % 89 == 1), F.lit(" ")).otherwise(
         (F.col("tenure") * F.col("MonthlyCharges") + F.lit(0.25) * (k % 40)).cast("string"))
 
     base = j.select(
