@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.operators.ranking import running_sums
-from churnscope.session import stash
+from churnscope.session import release, stash
 
 DEFAULT_ACCURACY = 10000
 
@@ -76,6 +76,7 @@ def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]],
         for r in wanted[key]:
             if upto - row["c"] <= r < upto:
                 found[(*key, r)] = row["x"]
+    release(grouped)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(names):
         out[c] = []

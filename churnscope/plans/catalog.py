@@ -75,18 +75,15 @@ def q_text_normalise(spark, sf_dir):
 
 @query("median_impute")
 def q_median_impute(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
-    parsed = to_double("TotalCharges")
-    t = F.col("tenure")
-    counts = raw.agg(
+    from churnscope.operators.clean import coerce_total_charges
+    parsed, t = F.col("parsed"), F.col("tenure")
+    filled = coerce_total_charges(_raw(spark, sf_dir).withColumn("parsed", to_double("TotalCharges")))
+    return filled.agg(
         F.count_if(parsed.isNull()).alias("n_unparsed"),
         F.count_if(parsed.isNull() & (t == 0)).alias("n_zero_filled"),
-        F.count_if(parsed.isNull() & (t > 0)).alias("n_product_filled"))
-    from churnscope.operators.clean import coerce_total_charges
-    filled = coerce_total_charges(raw)
-    med = exact_median(filled, "TotalCharges")
-    left = filled.agg(F.count_if(F.col("TotalCharges").isNull()).alias("n_median_filled"))
-    return counts.crossJoin(left).withColumn("filled_median", F.lit(med).cast("double"))
+        F.count_if(parsed.isNull() & (t > 0)).alias("n_product_filled"),
+        F.count_if(F.col("TotalCharges").isNull()).alias("n_median_filled")).withColumn(
+        "filled_median", F.lit(exact_median(filled, "TotalCharges")).cast("double"))
 
 
 # ---- features --------------------------------------------------------------

@@ -65,7 +65,8 @@ def write_stash(df, name: str, partition_by: str | list[str] | None = None) -> s
     Cuts the lineage (a lost executor recomputes from the written files, not
     from the source tables) and lets later jobs prune columns and, with
     ``partition_by``, partitions.  The folder is the cluster's
-    ``spark.checkpoint.dir``; a scratch folder is used only where unset.
+    ``spark.checkpoint.dir``; a scratch folder is used only where unset.  What
+    is not released before goes when the application ends.
     """
     import uuid
     base = ensure_checkpoint_dir(df.sparkSession)
@@ -74,6 +75,7 @@ def write_stash(df, name: str, partition_by: str | list[str] | None = None) -> s
     if partition_by:
         writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     writer.parquet(path)
+    _delete_at_end(df.sparkSession, path)
     return path
 
 
@@ -85,6 +87,12 @@ def stash(df, name: str, partition_by: str | list[str] | None = None):
     return out
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver delete ``path`` when the application ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder of any store that Spark can reach."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
