@@ -17,9 +17,9 @@ probability 2e-8; pairs below that count are no candidates.
   different components are looked at where one side does not agree with the
   hub.  Where both do, their sets relative to the hub tell what they can share:
   a pair is a candidate if both have enough of the hub's shingles, or if they
-  share a shingle the hub has not; only these shingles are posted.  A family of
-  thousands of near copies therefore costs its size, not its square, while
-  every link that could join two components is looked at.
+  meet in the prefix of the shingles that the hub has not.  A family of
+  thousands of near copies costs its size and its strays, not its square,
+  while every link that could join two components is looked at.
 * Candidates whose signatures agree on ``MATCHES`` coordinates are confirmed on
   their full sets, and components follow from confirmed links alone.
 
@@ -270,23 +270,26 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     family = near.select(F.col("a").alias("cls"), "b", "common", "own").join(classes.select("cls", "n"), "cls")
     heads = family.select("b").distinct().join(classes.select(F.col("cls").alias("b"), "n"), "b").select(
         F.col("b").alias("cls"), "b", F.col("n").alias("common"), F.array().cast("array<long>").alias("own"), "n")
-    family = stash(_mixed(named(family.unionByName(heads)), "b").withColumn("size", F.size("own")), "mixed-families")
+    head = named(heads).select("b", F.col("root").alias("head"))
+    family = _mixed(named(family.unionByName(heads)), "b").join(head, "b")
+    family = stash(family.withColumn("stray", F.col("root") != F.col("head")), "mixed-families")
+    # two components in a family: one of them is not the hub's
+    stray = ~F.col("stray_b") | ordered
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * part / (part + whole)) - F.least("common_a", "common_b")
-    one, two = sides(family.where(F.col("common") * whole >= F.col("n") * part), ["b"], "common")
-    inside = one.join(two, "b").where(apart & ordered & (needed <= 0))
-    own = family.select("b", "cls", "n", "root", "common", "size", F.explode("own").alias("value"))
+    one, two = sides(family.where(F.col("common") * whole >= F.col("n") * part), ["b"], "common", "stray")
+    inside = one.where("stray_a").join(two, "b").where(apart & stray & (needed <= 0))
+    member = ["b", "cls", "n", "root", "common", "stray"]
+    own = family.select(*member, F.explode("own").alias("value"))
     often = own.groupBy("b", "value").agg(F.count("*").alias("k")).where("k > 1")
-    ranked = (own.join(often, ["b", "value"]).groupBy("b", "cls", "n", "root", "common", "size")
+    ranked = (own.join(often, ["b", "value"]).groupBy(*member)
               .agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("some"))
-              .select("b", "cls", "n", "root", "common", "size", F.size("some").alias("shared"),
-                      F.posexplode("some").alias("place", "entry"))
-              .select("b", "cls", "n", "root", "common", F.col("entry.value").alias("value"),
-                      # entries from this one to the end; those before it and those nobody shares are rarer
-                      (F.col("shared") - F.col("place")).alias("left")))
+              .select(*member, F.size("some").alias("shared"), F.posexplode("some").alias("place", "entry"))
+              # the entries from this one to the end; those before it, and those nobody shares, are rarer
+              .select(*member, F.col("entry.value").alias("value"), (F.col("shared") - F.col("place")).alias("left")))
     ranked = stash(ranked, "mixed-shingles")
-    one, two = sides(ranked, ["b", "value"], "common", "left")
-    outside = one.join(two, ["b", "value"]).where(
-        apart & ordered & (F.least("left_a", "left_b") >= needed))
+    one, two = sides(ranked, ["b", "value"], "common", "stray", "left")
+    outside = one.where("stray_a").join(two, ["b", "value"]).where(
+        apart & stray & (F.least("left_a", "left_b") >= needed))
 
     cross = None
     for some in (loose, inside, outside):
@@ -306,6 +309,7 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     named = stash(owned.join(least, "root").select("key", "component_id"), "class-components")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     release(classes, posts, hubs, near, roots, lists, family, ranked, more, all_roots, least)
-    return (rows.select("doc_id", "n_shingles", "key", *[F.col(f"carry_{c}").alias(c) for c in carry]).join(named, "key", "left")
+    carried = [F.col(f"carry_{c}").alias(c) for c in carry]
+    return (rows.select("doc_id", "n_shingles", "key", *carried).join(named, "key", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"),
                     F.col("doc_id").eqNullSafe(component).alias("kept"), *carry))
