@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import decontaminate, langid, near_dedup, repeats, sentencepieces, sharding, topk, toxicity, url_filter, warc
+from churnscope.llm import (decontaminate, langid, near_dedup, repeats, sentencepieces, sharding, topk, toxicity,
+                            url_filter, warc)
 from churnscope.llm.shipping import ship
 from churnscope.sources.tables import read_table
 

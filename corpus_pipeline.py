@@ -55,8 +55,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    cut = repeats.dedup(docs.select(*COLUMNS), keep=("lang", "source", "n_chars"))
-    text = F.col("kept_text")
+    rows = docs.select(*COLUMNS, F.col("text").isNull().alias("no_text"))
+    cut = repeats.dedup(rows, keep=("lang", "source", "n_chars", "no_text"))
+    text = F.when(~F.col("no_text"), F.col("kept_text"))
     same = F.col("n_removed") == 0
     return cut.select("doc_id", text.alias("text"), "lang", "source",
                       F.when(same, F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))

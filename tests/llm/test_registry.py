@@ -57,6 +57,9 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
             assert sorted(map(str, got)) == ["1", "3", "4", "5", "None"]
         elif name == "toxicity":
             assert len(got) == 7
+        elif name == "suffix_dedup":
+            texts = {r.doc_id: r.text for r in docs.collect()}
+            assert texts[3] is None and texts[4] == "" and texts[1] == base
     assert all(r.round_trip is not False for r in docs.collect())
 
 
