@@ -54,8 +54,9 @@ def _brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,split", [(200, 4000), (200, 2), (90, 3)])
-def test_repeats_match_brute_force(spark, texts, length, split):
+@pytest.mark.parametrize("length,split,few", [(200, 4000, 10 ** 6), (200, 2, 10 ** 6), (90, 3, 0)])
+def test_repeats_match_brute_force(spark, texts, monkeypatch, length, split, few):
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", few)
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest())
            for r in repeats.dedup(df, length=length, split=split).collect()]
@@ -100,8 +101,9 @@ def _brute_groups(rows, size):
             for i, ((doc, _), s) in enumerate(zip(rows, sets))]
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_groups_match_brute_force(spark, texts, size):
+@pytest.mark.parametrize("size,few", [(2, 10 ** 6), (5, 0)])
+def test_near_groups_match_brute_force(spark, texts, monkeypatch, size, few):
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", few)
     rng = np.random.default_rng(size)
     words = [f"w{i}" for i in range(400)]
     base = [words[i] for i in rng.integers(0, 400, 120)]
