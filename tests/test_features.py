@@ -1,7 +1,6 @@
 """Cleaning and feature semantics on hand-made edge rows."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from churnscope.functions.features import NUMERIC_FEATURES
 from churnscope.operators.clean import clean_total_charges
