@@ -54,13 +54,15 @@ RECORD_SCHEMA = ("page_id long, url string, payload_bytes long, payload_digest s
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """Dictionary bytes, or none if the samples are too few to train on."""
-    if len(samples) < 8 or sum(map(len, samples)) < 16 * 1024:
+    """Dictionary bytes (none for too few samples); samples that training rejects, because they are
+    too much alike, are themselves the content of the dictionary."""
+    total = sum(map(len, samples))
+    if len(samples) < 8 or total < 16 * 1024:
         return b""
     try:
-        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), samples).as_bytes()
+        return zstandard.train_dictionary(min(size, total // 8), samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[:min(size, total // 8)]
 
 
 def _clean(url: str) -> str:
@@ -117,7 +119,7 @@ class WarcFile:
     def __init__(self, folder: str, dictionary: bytes):
         self.path = f"{folder.rstrip('/')}/part-{uuid.uuid4().hex}.warc.zst"
         store, where = pafs.FileSystem.from_uri(self.path)
-        self.out, self.at = store.open_output_stream(where), 0
+        self.out, self.at = store.open_output_stream(where, compression=None), 0
         self.packer = zstandard.ZstdCompressor(
             level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         if dictionary:
@@ -135,7 +137,7 @@ class WarcFile:
 def read_records(path: str) -> Iterator[bytes]:
     """The records of a file, streamed: memory is a read block and a record."""
     store, where = pafs.FileSystem.from_uri(path)
-    with store.open_input_stream(where) as src:
+    with store.open_input_stream(where, compression=None) as src:
         data = src.read(8)
         known = None
         if len(data) == 8 and struct.unpack("<II", data)[0] == DICT_MAGIC:
