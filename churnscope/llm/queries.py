@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import (decontaminate, langid, near_dedup, repeats, sentencepieces, sharding, topk, toxicity,
-                            url_filter, warc)
+from churnscope.llm import (decontaminate, langid, near_dedup, part_codes, prefix_hash, prefix_trie, repeats,
+                            sentencepieces, sharding, topk, toxicity, url_filter, warc)
 from churnscope.llm.shipping import ship
+from churnscope.session import stash
 from churnscope.sources.tables import read_table
 
 
@@ -77,6 +78,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.sequences(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    own = stash(turns, "conversation-keys")
+    return prefix_trie.trie(prefix_trie.rebuild(own))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.compare_edits(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = part_codes.compress(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return part_codes.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(part_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 def _shipped(query: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -95,6 +112,9 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op8_topk": op8_topk,
     "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_vector_codes": op13_vector_codes,
 }.items()}
 
 ORACLE: dict[str, str] = {}
@@ -195,3 +215,83 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM d
 """
+
+# crc32 bit by bit; a node is named by the hashes of its turns
+ORACLE["op11_prefix_trie"] = """
+WITH turns AS (
+  SELECT conv_id, list(sha256(concat(length(r), ':', r, x)) || ':' || length(x) ORDER BY turn NULLS FIRST) AS own
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+        WHERE conv_id IS NOT NULL)
+  GROUP BY conv_id),
+drawn AS (
+  SELECT conv_id, own, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+                               lambda d, i: xor(d >> 1, (d & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 6 AS h
+  FROM turns),
+built AS MATERIALIZED (
+  SELECT c.conv_id, list_concat(coalesce(s.own[1:c.h], []), c.own[c.h + 1:]) AS seq
+  FROM drawn c LEFT JOIN turns s ON s.conv_id = c.conv_id - c.conv_id % 100),
+steps AS (
+  SELECT conv_id, d AS depth, array_to_string(seq[1:d], ' ') AS path, array_to_string(seq[1:d - 1], ' ') AS up,
+         d = len(seq) AS ends, CASE WHEN d = 0 THEN 0 ELSE split_part(seq[d], ':', 2)::BIGINT END AS points
+  FROM built, unnest(range(0, len(seq) + 1)) AS t(d)),
+nodes AS MATERIALIZED (
+  SELECT depth, path, any_value(up) AS up, any_value(points) AS points, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM steps GROUP BY depth, path),
+kids AS (SELECT depth - 1 AS depth, up AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS MATERIALIZED (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (depth, path)),
+below AS (
+  SELECT s.depth AS depth, s.path AS path, sum((f.n_children = 0)::BIGINT) AS n_leaves,
+         sum((f.n_convs - 1) * f.points) AS saved_tokens
+  FROM full_nodes f JOIN built b ON b.conv_id = f.conv_id, unnest(range(0, f.depth + 1)) AS t(d)
+  JOIN nodes s ON s.depth = d AND s.path = array_to_string(b.seq[1:d], ' ')
+  GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN below USING (depth, path)
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.up AND n.depth > 0
+"""
+
+
+def _vector_codes_sql(rounds: int = part_codes.ROUNDS) -> str:
+    """Each round's assignment and entries as two steps over the one before; the distance and the entry in one number."""
+    steps = ["""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS part FROM kept, unnest(range(4)) AS t(p)),
+book0 AS MATERIALIZED (
+  SELECT p, e, part AS c FROM (
+    SELECT p, part, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 256)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(part) AS part, min((list_inner_product(part, part) - 2 * list_inner_product(part, c)
+         + list_inner_product(c, c))::BIGINT * 256 + e) AS best
+  FROM parts JOIN book{r} USING (p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""
+book{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT p, e, list(s ORDER BY i) AS c FROM (
+      SELECT p, best % 256 AS e, i, floor(sum(part[i]) / count(*)) AS s
+      FROM near{r}, unnest(range(1, len(part) + 1)) AS t(i) GROUP BY ALL) GROUP BY p, e) m USING (p, e))""")
+    steps.append(f"""
+codes AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', best % 256)), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error
+  FROM near{rounds} GROUP BY vec_id),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) AS d
+  FROM book{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT d FROM digest) AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id)
+""")
+    return steps[0] + "," + ",".join(steps[1:])
+
+
+ORACLE["op13_vector_codes"] = _vector_codes_sql()

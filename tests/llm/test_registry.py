@@ -10,7 +10,8 @@ from tests.conftest import SF_SMALL
 from tests.test_oracle import _bag
 
 NAMES = ["op1_sharding", "op2_url_filter", "op3_suffix_dedup", "op4_sentencepiece", "op5_toxicity",
-         "op6_decontamination", "op7_langid", "op8_topk", "op9_near_dedup", "op10_warc", "pipeline"]
+         "op6_decontamination", "op7_langid", "op8_topk", "op9_near_dedup", "op10_warc", "op11_prefix_trie",
+         "op12_fingerprints", "op13_vector_codes", "pipeline"]
 
 
 @pytest.fixture(scope="module")
