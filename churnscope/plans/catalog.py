@@ -581,6 +581,119 @@ def q_tree_importance(spark, sf_dir):
     return xp.tree_importance(ml.importances(model, ml.feature_names(model, d), spark))
 
 
+# ---- trees grown from histograms (F6-F8, H2) ----------------------------------
+
+from churnscope.operators import boosting as bo  # noqa: E402
+from churnscope.operators import forest as fo  # noqa: E402
+from churnscope.operators import trees as ht  # noqa: E402
+
+#: Rounds whose training loss the certificate reads.
+LOSS_ROUNDS = 10
+
+
+def _boosted(spark, sf_dir) -> bo.Boosted:
+    """The boosted trees, fitted once per prepared table."""
+    splits = _prepared(spark, sf_dir)
+    key = prepared(spark, sf_dir).path, "boosting"
+    if key not in _MODELS:
+        _MODELS[key] = bo.fit_boosting(train_only(splits), splits.where(F.col("split") == "val"))
+    return _MODELS[key]
+
+
+def _balanced_forest(spark, sf_dir) -> fo.Forest:
+    key = prepared(spark, sf_dir).path, "balanced-forest"
+    if key not in _MODELS:
+        _MODELS[key] = fo.fit_forest(_train(spark, sf_dir))
+    return _MODELS[key]
+
+
+@query("boosting_first_tree")
+def q_boosting_first_tree(spark, sf_dir):
+    """the nodes of the first tree, with gains, leaf values and covers."""
+    train = _train(spark, sf_dir)
+    key = prepared(spark, sf_dir).path, "first-tree"
+    if key not in _MODELS:
+        _MODELS[key] = bo.fit_boosting(train, settings=bo.Settings(rounds=1))
+    model = _MODELS[key]
+    nodes = ht.node_table(spark, dict(enumerate(model.trees)), model.bins)
+    return _rounded(nodes.select("node", "feature", "bin", "level", "missing_left", "gain", "value", "cover", "rows"),
+                    "gain", "value", "cover")
+
+
+@query("boosting_rounds")
+def q_boosting_rounds(spark, sf_dir):
+    """F8: validation AUC by round, the rounds looked at and the one kept."""
+    model = _boosted(spark, sf_dir)
+    rounds = spark.createDataFrame([(i + 1, a) for i, a in enumerate(model.auc)], "round int, auc double")
+    return bo.best_round(rounds, model.settings.patience)
+
+
+@query("staged_early_stop")
+def q_staged_early_stop(spark, sf_dir):
+    """F8 on staged scores that SQL can state: round r adds r times a point-based score to noise."""
+    from churnscope.sources.scored import id_number
+    rows = _scored(spark, sf_dir).where("split = 'val' AND model = 'xgb'")
+    number = id_number(F.col("customerID"))
+    rounds = rows.select("y", "prob", number.alias("i"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("round"))
+    r = F.col("round")
+    staged = rounds.select("round", "y", (F.col("prob") * 16 * F.least(r, F.lit(9))
+                                          + (F.col("i") * (2 * r + 1)) % (12 + (r - 9) * (r - 9))).alias("prob"))
+    return _rounded(bo.best_round(bo.auc_by_round(staged), 8), "auc")
+
+
+@query("boosting_scores")
+def q_boosting_scores(spark, sf_dir):
+    return bo.score_boosting(_boosted(spark, sf_dir), _prepared(spark, sf_dir).where(F.col("split") != "train"))
+
+
+@query("boosting_metrics")
+def q_boosting_metrics(spark, sf_dir):
+    """F7 -> G6/G7: validation-chosen threshold and frozen test metrics of the boosted trees."""
+    return ev.frozen_test_metrics(q_boosting_scores(spark, sf_dir))
+
+
+@query("boosting_certificate")
+def q_boosting_certificate(spark, sf_dir):
+    """whether the training loss falls in each of the first rounds, and stays under that of margin 0."""
+    model = _boosted(spark, sf_dir)
+    loss = {r["round"]: r["loss"] for r in bo.training_loss(model, _train(spark, sf_dir), LOSS_ROUNDS).collect()}
+    start = _train(spark, sf_dir).agg(F.avg(F.when(F.col("ChurnFlag") == 1, model.weight).otherwise(1.0))
+                                      * F.log(F.lit(2.0))).first()[0]
+    return spark.createDataFrame([(i, loss[i] < loss.get(i - 1, start)) for i in sorted(loss)],
+                                 "round int, falls boolean")
+
+
+def _contributions(spark, sf_dir):
+    sample = sp.bounded_sample(_train(spark, sf_dir), bo.SHAPLEY_ROWS)
+    return bo.contributions(_boosted(spark, sf_dir), sample)
+
+
+@query("shapley_importance")
+def q_shapley_importance(spark, sf_dir):
+    """H2: mean absolute Shapley value of the boosted trees over the D2 sample, top 40."""
+    return xp.tree_importance(bo.shapley_importance(_contributions(spark, sf_dir)))
+
+
+@query("shapley_certificate")
+def q_shapley_certificate(spark, sf_dir):
+    """H2: whether each sampled subscriber's contributions add up to the margin."""
+    return _contributions(spark, sf_dir).groupBy("customerID").agg(
+        (F.abs(F.sum("contribution") + F.first("expected") - F.first("margin")) < 1e-9).alias("adds_up"))
+
+
+@query("forest_bootstrap")
+def q_forest_bootstrap(spark, sf_dir):
+    """counts and class weights of every tree's bootstrap."""
+    rows = _train(spark, sf_dir).select(F.col("ChurnFlag").alias("y"), ht.id_word(F.col("customerID")).alias("u"))
+    return _rounded(fo.bootstrap_weights(rows, fo.ForestSettings().trees), "weight_negative", "weight_positive")
+
+
+@query("balanced_forest_scores")
+def q_balanced_forest_scores(spark, sf_dir):
+    """F6 -> F9: scores of the forest whose class weights are balanced in every bootstrap."""
+    return fo.score_forest(_balanced_forest(spark, sf_dir), _prepared(spark, sf_dir).where(F.col("split") != "train"))
+
+
 def _calibrated(spark, sf_dir):
     """F11 on the scored fixture: isotonic scores of the winner's test rows, and its validation record."""
     scored = _scored(spark, sf_dir)
