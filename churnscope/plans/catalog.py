@@ -244,6 +244,7 @@ def q_clv_histogram(spark, sf_dir):
 # ---- evaluation on the scored fixture -------------------------------------
 
 from churnscope.operators import evaluate as ev  # noqa: E402
+from churnscope.session import stash
 from churnscope.sources.scored import fixture_scores  # noqa: E402
 
 
@@ -471,7 +472,6 @@ def q_top_drivers(spark, sf_dir):
 
 @query("linear_importance")
 def q_linear_importance(spark, sf_dir):
-    from churnscope.session import stash
     _, train, d = _design(spark, sf_dir)
     profile = stash(xp.design_profile(train, d), "design-profile")  # one row per design column, read twice
     out = xp.linear_importance(xp.mean_difference_coefficients(train, d, profile),
@@ -539,19 +539,22 @@ def q_logreg_certificate(spark, sf_dir):
         "feature", (F.abs("gradient") < 1e-4).alias("stationary"))
 
 
+def beats_fixture(scored, fixture):
+    """Class totals of the scored rows, the best AUC of the fixture's scorers on them, and whether the scores' is higher."""
+    best = ev.roc_auc(fixture).agg(F.max("auc").alias("fixture_auc"))
+    totals = scored.groupBy("model", "split").agg(F.count_if(F.col("y") == 1).alias("positives"),
+                                                  F.count_if(F.col("y") != 1).alias("negatives"))
+    return totals.join(ev.roc_auc(scored), ["model", "split"]).crossJoin(F.broadcast(best)).select(
+        "split", "positives", "negatives", _round(F.col("fixture_auc")).alias("fixture_auc"),
+        (F.col("auc") > F.col("fixture_auc")).alias("beats_fixture"))
+
+
 def _certificate(kind):
-    """Class totals recovered from the confusion at 0.5, score range, importances' sum."""
+    """The fitted model orders the training rows better than the fixture's scorers do."""
     def run(spark, sf_dir):
         splits, d, model = _fitted(spark, sf_dir, kind)
-        counts = ev.score_counts(_model_scores(kind)(spark, sf_dir), materialize=True)
-        totals = counts.groupBy("split").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
-                                             ((F.min("prob") >= 0) & (F.max("prob") <= 1)).alias("prob_in_range"))
-        conf = ev.confusion(counts, 0.5).select("split", (F.col("tp") + F.col("fn")).alias("tp_fn"),
-                                                (F.col("tn") + F.col("fp")).alias("tn_fp"))
-        total = sum(model.stages[-1].featureImportances.toArray())
-        return totals.join(conf, "split").select(
-            "split", "positives", "negatives", "tp_fn", "tn_fp", "prob_in_range",
-            F.round(F.lit(float(total)), 6).alias("importance_sum"))
+        scored = stash(ml.score(model, train_only(splits), d, kind), "certificate-scores")
+        return beats_fixture(scored, _scored(spark, sf_dir).where("split = 'train'"))
     return run
 
 
@@ -600,6 +603,14 @@ def _boosted(spark, sf_dir) -> bo.Boosted:
     return _MODELS[key]
 
 
+def _first_rounds(spark, sf_dir) -> bo.Boosted:
+    """The first rounds, without a look at the validation rows."""
+    key = prepared(spark, sf_dir).path, "first-rounds"
+    if key not in _MODELS:
+        _MODELS[key] = bo.fit_boosting(_train(spark, sf_dir), settings=bo.Settings(rounds=LOSS_ROUNDS))
+    return _MODELS[key]
+
+
 def _balanced_forest(spark, sf_dir) -> fo.Forest:
     key = prepared(spark, sf_dir).path, "balanced-forest"
     if key not in _MODELS:
@@ -610,12 +621,8 @@ def _balanced_forest(spark, sf_dir) -> fo.Forest:
 @query("boosting_first_tree")
 def q_boosting_first_tree(spark, sf_dir):
     """the nodes of the first tree, with gains, leaf values and covers."""
-    train = _train(spark, sf_dir)
-    key = prepared(spark, sf_dir).path, "first-tree"
-    if key not in _MODELS:
-        _MODELS[key] = bo.fit_boosting(train, settings=bo.Settings(rounds=1))
-    model = _MODELS[key]
-    nodes = ht.node_table(spark, dict(enumerate(model.trees)), model.bins)
+    model = _first_rounds(spark, sf_dir)
+    nodes = ht.node_table(spark, {0: model.trees[0]}, model.bins)
     return _rounded(nodes.select("node", "feature", "bin", "level", "missing_left", "gain", "value", "cover", "rows"),
                     "gain", "value", "cover")
 
@@ -655,7 +662,7 @@ def q_boosting_metrics(spark, sf_dir):
 @query("boosting_certificate")
 def q_boosting_certificate(spark, sf_dir):
     """whether the training loss falls in each of the first rounds, and stays under that of margin 0."""
-    model = _boosted(spark, sf_dir)
+    model = _first_rounds(spark, sf_dir)
     loss = {r["round"]: r["loss"] for r in bo.training_loss(model, _train(spark, sf_dir), LOSS_ROUNDS).collect()}
     start = _train(spark, sf_dir).agg(F.avg(F.when(F.col("ChurnFlag") == 1, model.weight).otherwise(1.0))
                                       * F.log(F.lit(2.0))).first()[0]

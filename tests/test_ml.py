@@ -93,3 +93,16 @@ def test_logreg_matches_newton_solver(spark):
             break
     p_newton = 1 / (1 + np.exp(-Xb @ beta))
     assert np.abs(p_newton - p_spark).max() < 1e-3
+
+
+def test_certificate_falls_with_a_wrong_model(spark):
+    """Scores that order rows like the target beat the fixture's scorers; turned around or constant ones do not."""
+    from churnscope.plans.catalog import beats_fixture
+    rows = [(str(i), i % 3 == 0, (i * 7) % 10) for i in range(90)]
+    schema = "model string, split string, customerID string, y int, prob double"
+    table = lambda f: spark.createDataFrame([("rf", "train", c, int(y), f(y, n)) for c, y, n in rows], schema)
+    fixture = table(lambda y, n: n / 10)
+    assert beats_fixture(table(lambda y, n: 0.5 * y + n / 20), fixture).first()["beats_fixture"]
+    assert not beats_fixture(table(lambda y, n: 1 - 0.5 * y - n / 20), fixture).first()["beats_fixture"]
+    better = table(lambda y, n: 0.25 * y + n / 20)
+    assert not beats_fixture(table(lambda y, n: 0.5), better).first()["beats_fixture"]  # an AUC of one half

@@ -13,7 +13,8 @@ SAMPLE = ["clean_total_charges", "model_columns", "stratified_split", "churn_by_
           "business_insights", "clv_histogram", "threshold_sweep", "roc_points",
           "frozen_test_metrics", "retention_list", "local_explanation", "skew_report",
           "isotonic_scores", "calibrated_metrics", "logreg_certificate", "forest_certificate",
-          "gbt_certificate", "serving_features", "quartile_edges", "bounded_sample", "linear_importance"]
+          "gbt_certificate", "boosting_first_tree", "boosting_certificate", "forest_bootstrap",
+          "staged_early_stop", "serving_features", "quartile_edges", "bounded_sample", "linear_importance"]
 
 
 @pytest.fixture(scope="module")
