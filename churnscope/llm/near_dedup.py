@@ -55,6 +55,8 @@ SIMILARITY = (80, 100)  # intersection * 100 >= 80 * union
 COORDINATES = 64
 MATCHES = 32
 SEED = 20_011
+#: How often families are moved around better hubs, at most; what then is left is posted all the same.
+RECENTRED = 3
 #: Ids (8 bytes each) of candidates that are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -195,9 +197,39 @@ def _compared(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
 
 
 def _mixed(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` has more than one ``root``."""
-    groups = rows.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return rows.join(stash(groups.where("low <> high").select(key), "mixed"), key)
+    """The rows whose ``key`` has more than one ``root``, with the smallest ``n`` of the key."""
+    groups = rows.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least_n"))
+    return rows.join(stash(groups.where("low <> high").select(key, "least_n"), "mixed"), key)
+
+
+def _recentred(family: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame] | None:
+    """(family, links): families whose members share more with one of them than with the hub, around that one.
+
+    A member's own shingles count once for each member that has them, the hub's as often as members have them on
+    average.  Every member is compared with the new hub, one pair a member.  None if no family has a better hub.
+    """
+    own = family.select("b", "cls", F.explode("own").alias("value"))
+    often = own.groupBy("b", "value").agg(F.count("*").alias("k")).where("k > 1")
+    shares = own.join(often, ["b", "value"]).groupBy("b", "cls").agg(F.sum("k").alias("gain"))
+    whole = family.groupBy("b").agg(F.sum("common").alias("merit"), F.max("common").alias("n_hub"))
+    likely = F.col("gain") + F.col("common") * F.col("merit") / F.col("n_hub")
+    found = family.select("b", "cls", "common").join(shares, ["b", "cls"]).join(whole, "b").where(
+        likely > F.col("merit")).groupBy("b").agg(F.max(F.struct(likely.alias("likely"), "cls")).alias("best"))
+    hubs = stash(found.select("b", F.col("best.cls").alias("c")), "new-hubs")
+    if not hubs.take(1):
+        release(hubs)
+        return None
+    moved = stash(family.select("b", "cls", "n").join(hubs, "b"), "moved")
+    pairs = moved.where("cls <> c").select(F.col("cls").alias("a"), F.col("c").alias("b")).distinct()
+    near = _compared(pairs, sets, similarity)
+    known = near.select(F.col("a").alias("cls"), F.col("b").alias("c"), "common", "own")
+    around = moved.join(known, ["cls", "c"], "left").select(
+        "b", "cls", F.coalesce("common", "n").alias("common"),
+        F.coalesce("own", F.array().cast("array<long>")).alias("own"), "n")  # the new hub has all of itself
+    rest = family.join(hubs, "b", "left_anti").select("b", "cls", "common", "own", "n")
+    out = stash(rest.unionByName(around), "families")
+    release(hubs, moved)
+    return out, near
 
 
 def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -238,8 +270,9 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     pairs = _agreeing(star.select(F.col("cls").alias("a"), "b"), classes, matches)
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, docs, shingle)
     near = _compared(pairs, sets, similarity)
-    release(pairs, sets)
-    roots = stash(components(near.where("linked")), "near-roots")
+    release(pairs)
+    links = near.where("linked").select("a", "b")
+    roots = stash(components(links), "near-roots")
 
     # what is left are pairs of different components in one list
     def named(df: DataFrame) -> DataFrame:
@@ -264,28 +297,52 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     loose = one.where("NOT known_a").join(two, "token").where(
         apart & (F.col("known_b") | ordered) & (same >= matches))
 
-    # or of which both do: similar sets share part / (part + whole) of their sizes, within the hub's
-    # set or in shingles outside it.  These are posted rarest first, and of two lists that must share
-    # t entries one is among the first of either, all but t - 1
+    # or of which both do: the family of a hub.  Families that have a better hub are moved around it, which
+    # also finds links; all members stay compared with the one hub of their family
     family = near.select(F.col("a").alias("cls"), "b", "common", "own").join(classes.select("cls", "n"), "cls")
     heads = family.select("b").distinct().join(classes.select(F.col("cls").alias("b"), "n"), "b").select(
         F.col("b").alias("cls"), "b", F.col("n").alias("common"), F.array().cast("array<long>").alias("own"), "n")
-    head = named(heads).select("b", F.col("root").alias("head"))
-    family = _mixed(named(family.unionByName(heads)), "b").join(head, "b")
-    family = stash(family.withColumn("stray", F.col("root") != F.col("head")), "mixed-families")
+    member = ["b", "cls", "common", "own", "n"]
+    family = stash(_mixed(named(family.unionByName(heads)), "b").select(*member), "families")
+    moves = []
+    for _ in range(RECENTRED):
+        moved = _recentred(family, sets, similarity)
+        if moved is None:
+            break
+        release(family, roots)
+        family, found = moved
+        moves.append(found)
+        links = links.union(found.where("linked").select("a", "b"))
+        roots = stash(components(links), "near-roots")
+    release(sets)
+
+    # similar sets share part / (part + whole) of their sizes, within the hub's set or in shingles outside it.
+    # These are posted rarest first, and of two lists that must share t entries one is among the first of
+    # either, all but t - 1.  The least t of a member follows from its size and the least one in its family
+    family = _mixed(named(family), "b")
+    largest = family.groupBy("b").agg(F.max(F.struct("common", "cls", "root")).alias("h")).select(
+        "b", F.col("h.root").alias("head"))
+    family = stash(family.join(largest, "b").withColumn("stray", F.col("root") != F.col("head")), "mixed-families")
     # two components in a family: one of them is not the hub's
     stray = ~F.col("stray_b") | ordered
-    needed = F.ceil((F.col("n_a") + F.col("n_b")) * part / (part + whole)) - F.least("common_a", "common_b")
+
+    def common_least(n_a, n_b):
+        return F.ceil((n_a + n_b) * part / (part + whole))
+
+    needed = common_least(F.col("n_a"), F.col("n_b")) - F.least("common_a", "common_b")
     one, two = sides(family.where(F.col("common") * whole >= F.col("n") * part), ["b"], "common", "stray")
     inside = one.where("stray_a").join(two, "b").where(apart & stray & (needed <= 0))
-    member = ["b", "cls", "n", "root", "common", "stray"]
-    own = family.select(*member, F.explode("own").alias("value"))
+    own_needed = F.greatest(F.lit(1), common_least(F.col("n"), F.greatest(
+        F.ceil(F.col("n") * part / whole), F.col("least_n"))) - F.col("common"))
+    member = ["b", "cls", "n", "root", "common", "stray", "needed"]
+    own = family.withColumn("needed", own_needed).select(*member, F.explode("own").alias("value"))
     often = own.groupBy("b", "value").agg(F.count("*").alias("k")).where("k > 1")
     ranked = (own.join(often, ["b", "value"]).groupBy(*member)
               .agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("some"))
               .select(*member, F.size("some").alias("shared"), F.posexplode("some").alias("place", "entry"))
               # the entries from this one to the end; those before it, and those nobody shares, are rarer
-              .select(*member, F.col("entry.value").alias("value"), (F.col("shared") - F.col("place")).alias("left")))
+              .select(*member, F.col("entry.value").alias("value"), (F.col("shared") - F.col("place")).alias("left"))
+              .where(F.col("left") >= F.col("needed")))
     ranked = stash(ranked, "mixed-shingles")
     one, two = sides(ranked, ["b", "value"], "common", "stray", "left")
     outside = one.where("stray_a").join(two, ["b", "value"]).where(
@@ -299,8 +356,7 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, docs, shingle)
     more = _compared(pairs, sets, similarity)
     release(pairs, sets)
-    all_roots = stash(components(near.where("linked").select("a", "b").union(
-        more.where("linked").select("a", "b"))), "near-roots")
+    all_roots = stash(components(links.union(more.where("linked").select("a", "b"))), "near-roots")
 
     # components are named by the smallest id of their classes
     owned = classes.select("key", "cls", "least").join(all_roots.withColumnRenamed("node", "cls"), "cls", "left") \
@@ -308,7 +364,7 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     least = stash(owned.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
     named = stash(owned.join(least, "root").select("key", "component_id"), "class-components")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    release(classes, posts, hubs, near, roots, lists, family, ranked, more, all_roots, least)
+    release(classes, posts, hubs, near, *moves, roots, lists, family, ranked, more, all_roots, least)
     carried = [F.col(f"carry_{c}").alias(c) for c in carry]
     return (rows.select("doc_id", "n_shingles", "key", *carried).join(named, "key", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"),
