@@ -36,6 +36,8 @@ from churnscope.llm.textblock import LETTERS, blocks, split_words, sums
 ROWS_PER_LANGUAGE = 1500
 MAX_WORDS, MAX_GRAMS = 50_000, 50_000
 MAX_NGRAM = 5
+#: Hashes of ids that the draw tells apart: enough that the share of no language rounds down to nothing.
+PLACES = 1 << 62
 #: Words a task remembers the scores of.
 CACHE = 150_000
 UNKNOWN = "und"
@@ -118,7 +120,7 @@ def fit(df: DataFrame, learn: Column, id_column: str = "doc_id", text_column: st
     for lang, n in sorted(sizes.items()):
         share = min(1.0, rows_per_language / n)
         draw = draw | ((F.col("_lang") == lang)
-                       & (F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
+                       & (F.pmod(F.xxhash64("_id"), F.lit(PLACES)) < int(share * PLACES)))
     counts: dict[str, Counter] = {lang: Counter() for lang in sizes}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
