@@ -12,9 +12,10 @@ the last return the columns of ``documents``.
 4. decontamination: documents that hold a window of a benchmark item go.
 5. sentencepiece: token ids of every document, and whether they decode to it.
 
-Rows are told apart by id and text, so rows with equal or null ids are each
-judged by their own text; of identical rows one stays in stage 2.  Nulls in
-other columns pass through; an empty table gives empty results.
+Rows are told apart by a digest of 128 bits of id and text, so rows with equal
+or null ids are each judged by their own text; of rows with equal id and text
+stage 2 keeps one, with the smallest (lang, source, n_chars).  Nulls in other
+columns pass through; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ HELD_OUT = 5
 
 
 def _tag() -> F.Column:
-    """A row's identity: its id and its text."""
-    return F.xxhash64("doc_id", "text")
+    """A row's identity: its id and its text (a null one is not an empty one)."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"),
+                          F.coalesce(F.concat(F.lit("="), "text"), F.lit(""))))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     tagged = docs.select(*COLUMNS).withColumn("tag", _tag())
     groups = near_dedup.near_groups(tagged, carry=("tag",))
     kept = stash(groups.where("kept").select("tag").distinct(), "kept-tags")
-    return tagged.dropDuplicates(["tag"]).join(kept, "tag", "left_semi").select(*COLUMNS)
+    rest = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
+    rows = tagged.groupBy("tag").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), rest)
+    return rows.join(kept, "tag", "left_semi").select("doc_id", "text", "rest.*").select(*COLUMNS)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +69,17 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    tagged = docs.select(*COLUMNS).withColumn("tag", _tag())
-    found = decontaminate.find_contamination(tagged.select(F.col("tag").alias("doc_id"), "text"),
-                                             read_table(spark, sf_dir, "benchmark", "item_id", "text"))
-    hit = stash(found.where("n_hit > 0").select(F.col("doc_id").alias("tag")).distinct(), "hit-tags")
+    benchmark = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    # numbers of 64 bits for the index; two rows may share one, so the few hit rows are judged again, each
+    # under a number of its own
+    tagged = docs.select(*COLUMNS).withColumn("tag", _tag()).withColumn("number", F.xxhash64("tag"))
+    found = decontaminate.find_contamination(tagged.select(F.col("number").alias("doc_id"), "text"), benchmark)
+    maybe = stash(found.where("n_hit > 0").select(F.col("doc_id").alias("number")).distinct(), "hit-numbers")
+    again = stash(tagged.join(maybe, "number", "left_semi").select("tag", "text")
+                  .withColumn("own", F.monotonically_increasing_id()), "hit-rows")
+    found = decontaminate.find_contamination(again.select(F.col("own").alias("doc_id"), "text"), benchmark)
+    sure = found.where("n_hit > 0").select(F.col("doc_id").alias("own"))
+    hit = stash(again.join(sure, "own", "left_semi").select("tag").distinct(), "hit-tags")
     return tagged.join(hit, "tag", "left_anti").select(*COLUMNS)
 
 
