@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.llm.components import components
-from churnscope.llm.textblock import SPACED, blocks, buffer_of, split_words
+from churnscope.llm.textblock import SPACED, blocks, buffer_of, split_words, trim
 from churnscope.session import release, stash
 
 SHINGLE = 5
@@ -121,6 +121,7 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                 [block.column(0), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), flat,
                  pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()), *block.columns[2:]],
                 ["doc_id", "n_shingles", "key", "sig", "low", *kept])
+        trim()
 
     kept = docs.columns[2:]
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
@@ -145,6 +146,7 @@ def _sets_of(used: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int)
             same = pa.compute.equal(keys, block.column(2))
             yield pa.RecordBatch.from_arrays([block.column(0).filter(same), lists.filter(same)],
                                              ["cls", "values"])
+        trim()
 
     sets = stash(texts.mapInArrow(run, "cls long, values array<long>"), "near-sets")
     release(used)

@@ -7,6 +7,7 @@ UTF-8 sequences stay whole) and dictionary-encodes them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,3 +91,12 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of the rows of ``values`` between offsets; empty stretches are 0."""
     total = np.concatenate((np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)))
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def trim() -> None:
+    """Give memory that a task has freed back to the system: Spark keeps its Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
