@@ -13,7 +13,7 @@ import numpy as np
 
 GRAM = 64
 #: String starts that are hashed at once.
-STEP = 1 << 20
+STEP = 1 << 18
 _BITS = np.uint64(21)  # places within a step and its overhang
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from churnscope.llm.anchors import anchor_runs
 from churnscope.llm.suffix_sort import sort_suffixes
-from churnscope.llm.textblock import blocks, buffer_of
+from churnscope.llm.textblock import blocks, buffer_of, trim
 from churnscope.session import release, stash
 
 LENGTH = 200
@@ -67,6 +67,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                  *(pa.array(found[k].astype(np.int32)) for k in ("first", "last", "at")),
                  *(pa.array(found[k].view(np.int64)) for k in ("mark", "all"))],
                 ["id0", "sum0", "first", "last", "at", "mark", "all"])
+        trim()
 
     return docs.select("id0", "text", "sum0").mapInArrow(run, f"id0 long, sum0 long, {RUN}")
 
@@ -87,6 +88,7 @@ def _bytes_of(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(rows.field(k) for k in ("mark", "all", "pieces", "piece")), pa.array(some, pa.binary())],
                 ["mark", "all", "pieces", "piece", "bytes"])
+        trim()
 
     return docs.select("text", "runs").mapInArrow(
         run, "mark long, all long, pieces long, piece long, bytes binary")
@@ -146,6 +148,8 @@ def _sorted(runs: DataFrame, length: int) -> DataFrame:
                 size += len(row[4])
         if held:
             yield array(held)
+        held.clear()
+        trim()
 
     return runs.select("mark", "all", "pieces", "piece", "bytes").mapInArrow(run, schema)
 
@@ -244,6 +248,7 @@ def dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
                  pa.array([x[2] for x in out], pa.int64()), pa.array([x[0] for x in out], pa.binary()),
                  pa.array([x[0].decode("utf-8", "ignore") for x in out], pa.string())],
                 ["row", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
+        trim()
 
     kind = docs.schema["row"].dataType.simpleString()
     changed = hit.select("text", "spans", "row").mapInArrow(

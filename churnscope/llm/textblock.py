@@ -8,7 +8,8 @@ UTF-8 sequences stay whole) and dictionary-encodes them.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import multiprocessing
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,3 +101,22 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # a C library without it
         pass
+
+
+def in_child(work: Callable[[], bytes]) -> bytes:
+    """What ``work`` returns, from a process of its own: all the memory that it took ends with it.
+
+    A child that dies fails the task, which Spark runs again.
+    """
+    context = multiprocessing.get_context("fork")
+    receive, send = context.Pipe(duplex=False)
+    child = context.Process(target=lambda: send.send_bytes(work()))
+    child.start()
+    send.close()
+    try:
+        return receive.recv_bytes()
+    except EOFError:
+        raise RuntimeError("the task's child process died; its error is in the executor's log") from None
+    finally:
+        receive.close()
+        child.join()
