@@ -1,4 +1,4 @@
-"""Model preprocessing, fitting, scoring and calibration with MLlib.
+"""Model preprocessing, fitting and scoring with MLlib.
 
 The feature vector follows the fitted ``Design`` of the explanation operators:
 standardised numerics (population std, as the reference's scaler) and one-hot
@@ -16,13 +16,11 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.features import TARGET
-from churnscope.operators.evaluate import score_counts
 from churnscope.operators.explain import Design, level_text, scaled
 
 # The reference's model settings.
@@ -114,24 +112,6 @@ def score(model: PipelineModel, df: DataFrame, d: Design, name: str) -> DataFram
                       vector_to_array("probability")[1].alias("prob"))
 
 
-def fit_isotonic(scored_val: DataFrame):
-    """monotone map from score to churn frequency, fitted on validation rows.
-
-    Rows are reduced to one weighted row per distinct score first, so what MLlib
-    pools on the driver at the end is bounded by the distinct scores."""
-    n = F.col("pos") + F.col("neg")
-    data = score_counts(scored_val, ["model", "split"]).groupBy("prob").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).select(
-        F.col("prob").alias("features"), (F.col("pos") / n).alias("label"), n.cast("double").alias("weight"))
-    return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight", isotonic=True).fit(data)
-
-
-def apply_isotonic(iso_model, scored: DataFrame) -> DataFrame:
-    out = iso_model.transform(scored.withColumn("features", F.col("prob")))
-    return out.select(*[c for c in scored.columns if c != "prob"],
-                      F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0)).alias("prob"))
-
-
 def coefficients(model: PipelineModel, names: list[str], spark) -> DataFrame:
     """Linear coefficients as a (feature, coef) table."""
     return _table(model.stages[-1].coefficients, names, spark)

@@ -498,6 +498,7 @@ def q_odds_text(spark, sf_dir):
 
 # ---- fitted MLlib models ------------------------------------------------------
 
+from churnscope.operators import isotonic as iso  # noqa: E402
 from churnscope.operators import ml  # noqa: E402
 from churnscope.plans import train as tr  # noqa: E402
 
@@ -706,8 +707,8 @@ def _calibrated(spark, sf_dir):
     scored = _scored(spark, sf_dir)
     chosen = ev.winner(ev.chosen_val_metrics(scored, with_auc=False)).select("model", "chosen_threshold")
     best = scored.where(F.col("model") == chosen.first()["model"])
-    iso = ml.fit_isotonic(best.where(F.col("split") == "val"))
-    return ml.apply_isotonic(iso, best.where(F.col("split") == "test")), chosen
+    blocks = iso.fit_isotonic(best.where(F.col("split") == "val"))
+    return iso.apply_isotonic(blocks, best.where(F.col("split") == "test")), chosen
 
 
 @query("isotonic_scores")

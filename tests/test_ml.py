@@ -12,19 +12,6 @@ from churnscope.sources.subscribers import load_subscribers
 from tests.conftest import SF_SMALL
 
 
-def test_isotonic_is_monotone(spark):
-    rng = np.random.default_rng(2)
-    p = rng.random(300)
-    y = (rng.random(300) < p).astype("int32")
-    pdf = pd.DataFrame({"model": "m", "split": "val", "customerID": range(300), "y": y, "prob": p})
-    scored = spark.createDataFrame(pdf)
-    iso = ml.fit_isotonic(scored)
-    out = ml.apply_isotonic(iso, scored).orderBy("prob").toPandas()
-    calibrated = out["prob"].to_numpy()
-    assert (np.diff(calibrated) >= -1e-12).all()
-    assert calibrated.min() >= 0.0 and calibrated.max() <= 1.0
-
-
 def test_logreg_fit_names_and_scores(spark):
     prepared = model_table(load_subscribers(spark, SF_SMALL))
     train = train_only(prepared)
