@@ -60,14 +60,16 @@ def shard(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, size: int = T
           slot_column: str = "slot", shard_column: str = "shard") -> DataFrame:
     """``df`` with the slot of ``key`` and the name of the shard that owns it."""
     table = fill_table(shards, size)
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in df.columns):  # no column of df begins like these two
+        mark += "_"
+    at, owner = f"{mark}slot", f"{mark}shard"
     lookup = (df.sparkSession.range(1)
-              .select(F.posexplode(F.split(F.lit(",".join(map(str, table))), ","))
-                      .alias("_slot", "_owner"))
-              .select("_slot", F.element_at(F.array(*map(F.lit, shards)),
-                                            F.col("_owner").cast("int") + 1).alias("_shard")))
+              .select(F.posexplode(F.split(F.lit(",".join(map(str, table))), ",")).alias(at, owner))
+              .select(at, F.element_at(F.array(*map(F.lit, shards)), F.col(owner).cast("int") + 1).alias(owner)))
     tagged = F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("n"))
     digest = F.conv(F.substring(F.md5(tagged), 1, 15), 16, 10).cast("long")
     keep = [c for c in df.columns if c not in (slot_column, shard_column)]
-    return (df.withColumn("_slot", F.pmod(digest, F.lit(size)).cast("int"))
-            .join(F.broadcast(lookup), "_slot")
-            .select(*keep, F.col("_slot").alias(slot_column), F.col("_shard").alias(shard_column)))
+    return (df.withColumn(at, F.pmod(digest, F.lit(size)).cast("int"))
+            .join(F.broadcast(lookup), at)
+            .select(*keep, F.col(at).alias(slot_column), F.col(owner).alias(shard_column)))

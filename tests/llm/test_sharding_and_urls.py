@@ -51,6 +51,13 @@ def test_rows_keep_their_shard(spark):
     assert sharding.shard(df.limit(0), "id").count() == 0
 
 
+def test_columns_named_like_the_operators_own(spark):
+    df = spark.createDataFrame([(1, "a", 7, "b"), (2, "c", 8, "d")], "id long, _shard string, _slot int, __slot string")
+    out = {r.id: r for r in sharding.shard(df, "id").collect()}
+    assert set(out[1].asDict()) == {"id", "_shard", "_slot", "__slot", "slot", "shard"}
+    assert (out[1]._shard, out[1]._slot, out[2]["__slot"]) == ("a", 7, "d")
+
+
 def test_plan_has_no_python(spark):
     plan = sharding.shard(spark.range(5), "id")._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
