@@ -1,7 +1,6 @@
 """Fitted-model operators: rows-only properties (no exact oracle exists)."""
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from churnscope.operators import evaluate as ev
