@@ -3,10 +3,11 @@
 The feature vector follows the fitted ``Design`` of the explanation operators:
 standardised numerics (population std, as the reference's scaler) and one-hot
 indicators of the levels seen in training (null is a level; unseen levels are
-all-zero).  The indexers are made from the design's levels, so fitting them
-takes no pass and validation rows add no feature.  Fitting is MLlib's
-distributed training; level lists, class counts, coefficients and importances
-(one entry per design column) are what reaches the driver.
+all-zero).  ``design_vectors`` looks the levels' positions up in the design's
+table and writes sparse vectors, so no vocabulary is held by the driver or by a
+stage, however many levels a column has.  Fitting is MLlib's distributed
+training; class counts and one number a vector entry (coefficients,
+importances) are what reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnscope.functions.features import TARGET
-from churnscope.operators.explain import Design, level_text, scaled
+from churnscope.operators.explain import Design, feature_table, join_levels, scaled
+from churnscope.session import write_stash
 
 # The reference's model settings.
 LOGREG = dict(C=1.0, max_iter=1000)
@@ -31,33 +34,24 @@ BOOSTING = dict(rounds=800, learning_rate=0.05, max_depth=5, subsample=0.8, cols
 SEED = 42
 
 
-def preprocessor(d: Design) -> list:
-    """indexers and one-hot stages of the design's levels + assembler (remainder dropped)."""
-    labels = {c: lv for c, lv in d.labels().items() if lv}
-    # one indexer for each column: the call for several columns takes lists of one length only
-    stages = [StringIndexerModel.from_labels(lv, inputCol=f"_s_{c}", outputCol=f"_i_{c}", handleInvalid="keep")
-              for c, lv in labels.items()]
-    if labels:
-        stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in labels],
-                                    outputCols=[f"cat__{c}" for c in labels], dropLast=True))
-    stages.append(VectorAssembler(inputCols=[f"num__{c}" for c in d.numeric] + [f"cat__{c}" for c in labels],
-                                  outputCol="features", handleInvalid="keep"))
-    return stages
+def design_vectors(df: DataFrame, d: Design, *keep: str) -> DataFrame:
+    """columns ``keep`` (all, if none is named) of every row and its sparse vector ``features``.
 
-
-def with_inputs(df: DataFrame, d: Design) -> DataFrame:
-    """Scaled numeric columns and string copies of categoricals for the indexers."""
-    return df.select("*", *[scaled(d, c).alias(f"num__{c}") for c in d.numeric],
-                     *[level_text(c).alias(f"_s_{c}") for c in d.categorical])
-
-
-def feature_names(model: PipelineModel, d: Design) -> list[str]:
-    """``num__X`` then ``cat__X_level`` in vector order (indexer labels)."""
-    names = [f"num__{c}" for c in d.numeric]
-    for stage in model.stages:
-        if isinstance(stage, StringIndexerModel):
-            names += [f"cat__{stage.getOutputCol().removeprefix('_i_')}_{lv}" for lv in stage.labels]
-    return names
+    Entries are the scaled numerics, then the position of the row's own level of each
+    categorical column; a null numeric is NaN, an unseen level has no entry.  Rows are written
+    in the stored form of a vector (kind 0 is sparse) and read back as vectors.
+    """
+    keep = keep or tuple(df.columns)
+    own = join_levels(df, d, d.levels, "position")
+    at = F.array_compact(F.array(*[F.col(f"_l_{c}.position").cast("int") for c in d.categorical]))
+    numbers = F.array(*[F.coalesce(scaled(d, c), F.lit(float("nan"))) for c in d.numeric])
+    stored = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(d.width).alias("size"),
+        F.concat(F.array(*[F.lit(i) for i in range(len(d.numeric))]).cast("array<int>"), "_at").alias("indices"),
+        F.concat(numbers.cast("array<double>"), F.array_repeat(F.lit(1.0), F.size("_at"))).alias("values"))
+    rows = own.withColumn("_at", at.cast("array<int>")).select(*keep, stored.alias("features"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("features", VectorUDT())])
+    return df.sparkSession.read.schema(schema).parquet(write_stash(rows, "vectors"))
 
 
 def _estimator(kind: str, n_train: int):
@@ -95,38 +89,41 @@ def class_weights(kind: str, d: Design) -> tuple[float, float]:
 
 def fit_model(kind: str, train: DataFrame, d: Design, val: DataFrame | None = None) -> PipelineModel:
     """F5/F6/F7 (+F8 early stop on the validation rows for boosting)."""
-    data = with_inputs(train, d).withColumn("is_val", F.lit(False))
+    data = train.withColumn("is_val", F.lit(False))
     if kind == "xgb" and val is not None:
-        data = data.unionByName(with_inputs(val, d).withColumn("is_val", F.lit(True)))
+        data = data.unionByName(val.withColumn("is_val", F.lit(True)))
     heavy, light = class_weights(kind, d)
     data = data.withColumn("weight", F.when(F.col(TARGET) == 1, F.lit(heavy)).otherwise(F.lit(light)))
     data = data.withColumn(TARGET, F.col(TARGET).cast("double"))
-    return Pipeline(stages=[*preprocessor(d), _estimator(kind, d.n)]).fit(data)
+    return Pipeline(stages=[_estimator(kind, d.n)]).fit(design_vectors(data, d, TARGET, "weight", "is_val"))
 
 
 def score(model: PipelineModel, df: DataFrame, d: Design, name: str) -> DataFrame:
-    """long scored rows ``(model, split, customerID, y, prob)``."""
-    out = model.transform(with_inputs(df, d))
-    return out.select(F.lit(name).alias("model"), "split", "customerID",
-                      F.col(TARGET).cast("int").alias("y"),
-                      vector_to_array("probability")[1].alias("prob"))
+    """long scored rows ``(model, split, customerID, y, prob)``; ``df`` may be the output of
+    ``design_vectors``."""
+    data = df if "features" in df.columns else design_vectors(df, d, "split", "customerID", TARGET)
+    return model.transform(data).select(F.lit(name).alias("model"), "split", "customerID",
+                                        F.col(TARGET).cast("int").alias("y"),
+                                        vector_to_array("probability")[1].alias("prob"))
 
 
-def coefficients(model: PipelineModel, names: list[str], spark) -> DataFrame:
+def coefficients(model: PipelineModel, d: Design) -> DataFrame:
     """Linear coefficients as a (feature, coef) table."""
-    return _table(model.stages[-1].coefficients, names, spark)
+    return _table(model.stages[-1].coefficients.toArray(), d, "coef")
 
 
-def importances(model: PipelineModel, names: list[str], spark) -> DataFrame:
+def importances(model: PipelineModel, d: Design) -> DataFrame:
     """H2 input: tree feature importances as a (feature, coef) table."""
-    return _table(model.stages[-1].featureImportances, names, spark)
+    return _table(model.stages[-1].featureImportances.toArray(), d, "coef")
 
 
-def _table(weights, names: list[str], spark) -> DataFrame:
-    if weights.size != len(names):
-        raise ValueError(f"Mismatch: {weights.size} weights vs {len(names)} feature names")
-    return spark.createDataFrame([(n, float(c)) for n, c in zip(names, weights.toArray())],
-                                 "feature string, coef double")
+def _table(weights, d: Design, name: str) -> DataFrame:
+    """(feature, ``name``) of one number for each vector entry, by position."""
+    if len(weights) != d.width:
+        raise ValueError(f"Mismatch: {len(weights)} weights vs {d.width} features")
+    numbers = d.levels.sparkSession.createDataFrame(
+        [(i, float(w)) for i, w in enumerate(weights)], f"position bigint, {name} double")
+    return feature_table(d).join(numbers, "position").select("feature", name)
 
 
 def gradient_table(model: PipelineModel, train: DataFrame, d: Design) -> DataFrame:
@@ -137,12 +134,11 @@ def gradient_table(model: PipelineModel, train: DataFrame, d: Design) -> DataFra
     y = F.col(TARGET).cast("double")
     slope = (F.when(y == 1, F.lit(heavy)).otherwise(F.lit(light))
              * (vector_to_array("probability")[1] - y))
-    rows = model.transform(with_inputs(train, d)).select("features", slope.alias("r"))
+    rows = model.transform(design_vectors(train, d, TARGET)).select("features", slope.alias("r"))
     signs = {"up": F.greatest(F.col("r"), F.lit(0.0)), "down": F.greatest(-F.col("r"), F.lit(0.0))}
     parts = rows.select(  # weights are not negative: each sign of the slope on its own
         *[Summarizer.mean(F.col("features"), w).alias(n) for n, w in signs.items()],
         *[F.sum(w).alias(f"w_{n}") for n, w in signs.items()]).first()
     up, down = (parts[n].toArray() * parts[f"w_{n}"] for n in signs)
     grad = (up - down + lr.coefficients.toArray() / LOGREG["C"]) / d.n
-    return train.sparkSession.createDataFrame(
-        [(n, float(g)) for n, g in zip(feature_names(model, d), grad)], "feature string, gradient double")
+    return _table(grad, d, "gradient")

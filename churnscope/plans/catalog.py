@@ -574,7 +574,7 @@ def q_logreg_metrics(spark, sf_dir):
 def q_fitted_linear_importance(spark, sf_dir):
     """H1 with the fitted logistic regression's coefficients."""
     splits, d, model = _fitted(spark, sf_dir, "logreg")
-    coefs = ml.coefficients(model, ml.feature_names(model, d), spark)
+    coefs = ml.coefficients(model, d)
     return xp.linear_importance(coefs, xp.column_summary(train_only(splits), d))
 
 
@@ -582,7 +582,7 @@ def q_fitted_linear_importance(spark, sf_dir):
 def q_tree_importance(spark, sf_dir):
     """H2: forest feature importances, top 40."""
     _, d, model = _fitted(spark, sf_dir, "rf")
-    return xp.tree_importance(ml.importances(model, ml.feature_names(model, d), spark))
+    return xp.tree_importance(ml.importances(model, d))
 
 
 # ---- trees grown from histograms (F6-F8, H2) ----------------------------------
