@@ -117,6 +117,34 @@ def churn_by_support(df: DataFrame, y_col: str = "ChurnFlag") -> DataFrame:
         F.avg(F.when(support_mask(value="yes"), y)).alias("churn_support"))
 
 
+def support_key() -> Column:
+    """E8 as a key: ``no`` / ``yes`` among internet users, else null."""
+    return F.when(support_mask(value="no"), "no").when(support_mask(value="yes"), "yes")
+
+
+def report_keys() -> dict[str, Column]:
+    """Level columns (text) of the reports E2 and E5-E8; ``CLV_quartile`` must have been added."""
+    return {"quartile": F.col("CLV_quartile"), "contract": F.col("Contract"),
+            "autopay": autopay_key().cast("string"), "payment": F.col("PaymentMethod"), "support": support_key()}
+
+
+def churn_reports(df: DataFrame, keys: dict[str, Column] | None = None, y_col: str = "ChurnFlag") -> DataFrame:
+    """E2 and E5-E8 by one plan: (report, level, customers, labelled, churn_rate).
+
+    One scan; GROUPING SETS expand a row to a copy a report, which partial aggregation
+    reduces to a row a level in each task before the one shuffle.  Rows whose
+    level is null take no part in that report, ``labelled`` counts non-null targets.
+    """
+    keys = report_keys() if keys is None else keys
+    rows = df.select(*[k.alias(name) for name, k in keys.items()], F.col(y_col).alias("_y"))
+    of = F.coalesce(*[F.when(F.grouping(name) == 0, F.lit(name)) for name in keys])
+    counted = rows.groupingSets([[F.col(name)] for name in keys], *[F.col(name) for name in keys]).agg(
+        of.alias("report"), F.count(F.lit(1)).alias("customers"), F.count("_y").alias("labelled"),
+        F.avg("_y").alias("churn_rate"))
+    return counted.select("report", F.coalesce(*keys).alias("level"), "customers", "labelled",
+                          "churn_rate").where(F.col("level").isNotNull())
+
+
 def business_insights(df: DataFrame, edges=None, y_col: str = "ChurnFlag") -> DataFrame:
     """One record of all headline rates in a single aggregation pass."""
     if edges is None:

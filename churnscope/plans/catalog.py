@@ -205,6 +205,23 @@ def q_churn_by_support(spark, sf_dir):
     return rp.churn_by_support(_train(spark, sf_dir))
 
 
+@query("churn_reports")
+def q_churn_reports(spark, sf_dir):
+    """E2 and E5-E8 from one scan."""
+    return rp.churn_reports(_quartiled(spark, sf_dir))
+
+
+@query("inferred_types")
+def q_inferred_types(spark, sf_dir):
+    """A1: the types of a CSV of all subscribers, and what they were decided from."""
+    from churnscope.session import scratch_path
+    from churnscope.sources.infer import infer_types, read_text_csv
+    path = scratch_path(spark, "subscribers-csv")
+    (_raw(spark, sf_dir).write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return infer_types(read_text_csv(spark, path))
+
+
 @query("business_insights")
 def q_business_insights(spark, sf_dir):
     return rp.business_insights(_train(spark, sf_dir), _stats(spark, sf_dir).clv_edges)

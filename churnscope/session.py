@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -59,6 +60,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder that goes when the application ends."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "stash", f"{name}-{uuid.uuid4().hex}")
+    _delete_at_end(spark, path)
+    return path
+
+
 def write_stash(df, name: str, partition_by: str | list[str] | None = None) -> str:
     """Write ``df`` as parquet under the shared checkpoint folder; return the path.
 
@@ -68,14 +76,11 @@ def write_stash(df, name: str, partition_by: str | list[str] | None = None) -> s
     ``spark.checkpoint.dir``; a scratch folder is used only where unset.  What
     is not released before goes when the application ends.
     """
-    import uuid
-    base = ensure_checkpoint_dir(df.sparkSession)
-    path = os.path.join(base, "stash", f"{name}-{uuid.uuid4().hex}")
+    path = scratch_path(df.sparkSession, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     writer.parquet(path)
-    _delete_at_end(df.sparkSession, path)
     return path
 
 

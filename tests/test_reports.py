@@ -52,3 +52,27 @@ def test_insights_nan_when_absent(spark):
     assert r["contract_month_to_month"] == 0.5 and r["contract_two_year"] is None
     assert r["autopay_auto"] == 0.0 and r["autopay_manual"] == 2 / 3
     assert r["tech_no_support"] == 1.0 and r["tech_support"] == 0.0
+
+
+def test_reports_of_one_plan_equal_the_single_ones(spark):
+    df = spark.createDataFrame(
+        [("Low", "Month-to-month", "Electronic check", "DSL", "No", 1),
+         ("Low", None, "Credit card (automatic)", "DSL", "Yes", 0),
+         (None, "One year", None, "No", "No internet service", 0),
+         ("High", "One year", "Mailed check", "Fiber optic", "No", None)],
+        "CLV_quartile string, Contract string, PaymentMethod string, InternetService string, TechSupport string, "
+        "ChurnFlag int")
+    out = rp.churn_reports(df)
+    rows = {(r.report, r.level): (r.customers, r.labelled, r.churn_rate) for r in out.collect()}
+    for report, single in {"contract": rp.churn_by(df, "Contract", "level"),
+                           "payment": rp.churn_by(df, "PaymentMethod", "level"),
+                           "autopay": rp.churn_by_autopay(df).withColumnRenamed("autopay", "level")}.items():
+        expected = {str(r.level).lower() if report == "autopay" else r.level: (r.customers, r.churn_rate)
+                    for r in single.collect()}
+        assert {lv: (v[0], v[2]) for (name, lv), v in rows.items() if name == report} == expected
+    assert rows["quartile", "Low"] == (2, 2, 0.5) and rows["quartile", "High"] == (1, 0, None)
+    assert rows["support", "no"] == (2, 1, 1.0) and rows["support", "yes"] == (1, 1, 0.0)
+    assert ("contract", None) not in rows and len(rows) == 11
+    plan = spark._jvm.PythonSQLUtils.explainString(rp.churn_reports(df)._jdf.queryExecution(), "simple")
+    assert plan.count("Expand") == 1 and plan.count("Exchange") == 1
+    assert rp.churn_reports(df.limit(0)).count() == 0
