@@ -111,16 +111,18 @@ def form_paperless(c="PaperlessBilling") -> Column:
     return F.when(F.coalesce(F.col(c) == "Yes", F.lit(False)), "Yes").otherwise("No")
 
 
-def retention_list(scored: DataFrame, threshold: float, edges, clv_col: str = "CLV") -> DataFrame:
-    """I1 -> I2 -> E4 -> I3 -> I4 for every scored subscriber.
+def retention_list(scored: DataFrame, threshold: float | Column, edges, clv_col: str = "CLV") -> DataFrame:
+    """I1 -> I2 -> E4 -> I3 -> I4 for every scored subscriber.  The threshold and the
+    edges are numbers, or columns of ``scored``.
 
     ``scored`` holds serving features (``CLV``, ``PaperlessBilling``,
     ``PaymentMethod``) and ``prob``.
     """
     p = F.col("prob")
+    threshold = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     seg = segment_label(F.col(clv_col), edges)
     staged = scored.select(
-        "customerID", p.alias("prob"), decision(p, F.lit(float(threshold))).alias("decision"),
+        "customerID", p.alias("prob"), decision(p, threshold).alias("decision"),
         risk_bucket(p).alias("risk"), seg.alias("value_segment"),
         confidence(p).alias("confidence"), form_paperless().alias("_paper"),
         F.col("PaymentMethod").alias("_pay"))
