@@ -244,3 +244,22 @@ def test_open_vocabulary_and_empty_tables(spark, bins, table):
     none = bo.fit_boosting(table.where("false"), settings=bo.Settings(rounds=1), bins=bins)
     assert none.trees[0].splits == {} and none.trees[0].values == {}
     assert [r.prob for r in bo.score_boosting(none, table.limit(2)).collect()] == [0.5, 0.5]
+
+
+def test_rows_are_packed_for_every_core_and_sums_go_out_by_column(spark, table, bins):
+    """One file of few bytes was read by one task, and each task gave a row for every sum."""
+    data = ht.packed(ht.binned(table.coalesce(1), bins), bins)
+    assert data.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    settings = bo.Settings(max_depth=1)
+    sums = ht._histograms(data.coalesce(1), bins, {0: ht.Tree()}, {0: [1]}, bo.subsample(settings),
+                          bo.gradient_stats([], 1.0), settings.rule()).collect()
+    assert sorted(r.place for r in sums) == list(range(len(NUMERIC) + len(CATEGORICAL)))
+    rows = {sum(np.frombuffer(r.n, np.int64)) for r in sums}
+    assert len(rows) == 1 and 0 < rows.pop() <= len(_rows())
+
+
+def test_nodes_that_no_split_fits_take_no_part():
+    forest = ht.Rule(False, 3, min_rows=5)
+    assert forest.may_split(3, 10, 10) and not forest.may_split(3, 10, 9)
+    assert not forest.may_split(0, 10, 10) and not forest.may_split(10, 10, 10)
+    assert bo.Settings().rule().may_split(0, 8 * ht.UNIT, 2) and not bo.Settings().rule().may_split(0, 7 * ht.UNIT, 9)
