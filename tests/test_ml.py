@@ -139,3 +139,18 @@ def test_certificate_falls_with_a_wrong_model(spark):
     assert not beats_fixture(table(lambda y, n: 1 - 0.5 * y - n / 20), fixture).first()["beats_fixture"]
     better = table(lambda y, n: 0.25 * y + n / 20)
     assert not beats_fixture(table(lambda y, n: 0.5), better).first()["beats_fixture"]  # an AUC of one half
+
+
+def test_vectors_of_a_large_table_are_dealt_to_every_core(spark):
+    """Passes over vectors from one file would all wait for one task; a few rows stay where they are."""
+    rows = spark.range(ml.DEAL_ROWS).coalesce(1).select(
+        F.col("id").alias("customerID"), (F.col("id") % 3 == 0).cast("int").alias(ml.TARGET),
+        (F.col("id") % 72).cast("int").alias("tenure"),
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("c"), F.col("id") % 5)).alias("Contract"))
+    d = xp.fit_design(rows, ["tenure"], ["Contract"])
+    vectors = ml.design_vectors(rows, d)
+    files = [r["count"] for r in vectors.groupBy(F.input_file_name()).count().collect()]
+    assert len(files) >= spark.sparkContext.defaultParallelism and max(files) <= 1.2 * min(files)
+    assert vectors.drop("features").exceptAll(rows).isEmpty() and vectors.count() == ml.DEAL_ROWS
+    few = ml.design_vectors(rows.limit(100), xp.fit_design(rows.limit(100), ["tenure"], ["Contract"]))
+    assert few.select(F.input_file_name()).distinct().count() == 1
