@@ -122,6 +122,61 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that stands only in rows far back in the order of a draw by hash; more rows than a block holds."""
+    ids = [r.id for r in spark.range(5200).orderBy(F.xxhash64("id"), "id").collect()]
+    rng = np.random.default_rng(8)
+    rows = []
+    for place, i in enumerate(ids):
+        words = [f"en{k}" for k in rng.integers(0, 60, 12)]
+        if toxic := int(place < 1600 or place >= 4800):
+            words[rng.integers(0, 12)] = "vile" if place < 1600 else "nasty"
+        rows.append((i, " ".join(words), "en", toxic))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    new = spark.createDataFrame([(1, "en1 en2 nasty en3", None), (2, "vile en4 en5", None), (3, "en1 en2 en9", None)],
+                                docs.schema)
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(new, model).collect()}
+    assert got == {1: True, 2: True, 3: False}
+
+
+def test_toxicity_learns_from_long_rows(spark):
+    rows = [(i, "en1 en2 " * (17_000 if i % 2 else 3) + ("nasty" if i % 2 else "en3"), None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    new = spark.createDataFrame([(1, "en1 nasty", None), (2, "en2 en3", None)], docs.schema)
+    assert [r.score >= 0.5 for r in toxicity.score(new, model).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_toxicity_thresholds_equal_those_of_one_sorted_list(spark):
+    rng = np.random.default_rng(4)
+    logit = np.round(rng.normal(0, 1, 900), 2)
+    language = rng.integers(0, 3, 900)
+    label = ((rng.random(900) < 1 / (1 + np.exp(-2 * logit))) & (language < 2)).astype(int)  # none in language 2
+    weight = np.array([1.5, 0.75])
+
+    def plain(some):
+        order = np.argsort(-logit[some], kind="stable")
+        x, y = logit[some][order], label[some][order]
+        right, w = np.cumsum(y * weight[1]), weight[y]
+        f1 = 2 * right / (np.cumsum(w) + (y * w).sum())
+        f1[:-1][x[:-1] == x[1:]] = -1
+        cut = int(f1.argmax())
+        return (x[cut] + x[cut + 1]) / 2 if cut + 1 < len(x) else x[cut] - 1
+
+    overall = plain(language >= 0)
+    want = [overall] * 4  # a fourth language has no rows
+    for i in range(2):
+        n = label[language == i].sum()
+        want[i] = (n * plain(language == i) + toxicity.SHRINK * overall) / (n + toxicity.SHRINK)
+    rows = spark.createDataFrame([(int(a), float(b), int(c)) for a, b, c in zip(language, logit, label)],
+                                 "language int, logit double, label long")
+    grouped = rows.groupBy("language", "logit").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
+    assert np.allclose(toxicity._thresholds(grouped, weight, 4), want)
+
+
 def test_pooling_equals_plain_convolution():
     rng = np.random.default_rng(2)
     model = toxicity.Classifier(rng)
