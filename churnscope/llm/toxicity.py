@@ -544,6 +544,7 @@ def _trained(coded: DataFrame, sizes: dict[int, int]) -> Classifier:
     fitted.thresholds = _thresholds(unseen, plan.weight, len(fitted.languages.languages))
     release(unseen)
     shared.destroy()
+    trim()  # what the tables of weights took on the driver
     return fitted
 
 
