@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import copy
 import pickle
-from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -50,7 +49,6 @@ from churnscope.session import delete_path, release, scratch_path, stash
 #: Rows of a block, on average; bytes of text that one holds (or a single row); blocks of a file.
 BLOCK_ROWS, BLOCK_BYTES, BLOCKS_PER_FILE = 3200, 32 << 20, 4
 PREFIXES = (3, 4, 5, 6)
-MARKS = tuple((n, b"%d:" % n) for n in PREFIXES)
 BUCKETS, DIM = 1 << 18, 8
 WIDTHS, FILTERS = (1, 2, 3), 8
 PAD = max(WIDTHS)
@@ -59,22 +57,40 @@ EPOCHS, BATCH, RATE, SEED = 5, 256, 0.05, 71
 LANGUAGE_WORDS, SHRINK, FOLDS = 3000, 5, 4
 #: Ranges of scores to 1, in the calibration.
 CELLS = 1024
-CACHE = 200_000
+#: Columns of the projections: each filter at each place in its window.
+COLUMNS = sum(WIDTHS) * FILTERS
 #: Rows that one product takes: few enough that the algebra library leaves a task to its one core.
-ROWS = 4096
+ROWS = 680
+#: Words that are hashed at once.
+TERMS = 1 << 17
 #: Words that one step of the scoring holds.
 STEP = 1 << 17
 
 
-def _buckets(term: bytes) -> list[int]:
-    """Buckets of a word and its prefixes; 0 (always a zero vector) fills up."""
-    if term.isascii():
-        keys = [term, *(mark + term[:n] for n, mark in MARKS if len(term) >= n)]
-    else:
-        text = term.decode("utf-8", "replace")
-        keys = [term, *(mark + text[:n].encode() for n, mark in MARKS if len(text) >= n)]
-    found = [xxhash.xxh3_64_intdigest(k) % (BUCKETS - 1) + 1 for k in keys]
-    return found + [0] * (len(PREFIXES) + 1 - len(found))
+def _buckets(terms: pa.Array) -> np.ndarray:
+    """Buckets of each word and its prefixes; 0 (always a zero vector) fills up.  A prefix is hashed once for all words."""
+    out = np.zeros((len(terms), len(PREFIXES) + 1), np.int32)
+    for first in range(0, len(terms), TERMS):
+        some = terms.slice(first, TERMS)
+        keys = some.to_pylist()
+        out[first:first + TERMS, 0] = _hashed(keys)
+        try:
+            text = some.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            text = pa.array([key.decode("utf-8", "replace") for key in keys], pa.string())
+        length = pc.utf8_length(text).to_numpy()
+        for i, n in enumerate(PREFIXES, 1):
+            long = np.flatnonzero(length >= n)
+            heads = pc.utf8_slice_codeunits(text.take(pa.array(long)), 0, n).dictionary_encode()
+            mark = b"%d:" % n
+            found = _hashed([mark + head for head in heads.dictionary.cast(pa.binary()).to_pylist()])
+            out[first + long, i] = found[heads.indices.to_numpy()]
+    return out
+
+
+def _hashed(keys: list[bytes]) -> np.ndarray:
+    found = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+    return (found % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
 
 
 class Classifier:
@@ -90,85 +106,82 @@ class Classifier:
         self.languages: LanguageModel | None = None
         self.thresholds = np.zeros(1)
         self.constant = False
-        self.cache: dict[bytes, bytes] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
 
-    def buckets(self, terms: list[bytes]) -> np.ndarray:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        out = []
-        for t in terms:
-            if (b := self.cache.get(t)) is None:
-                b = self.cache[t] = array("i", _buckets(t)).tobytes()
-            out.append(b)
-        return np.frombuffer(b"".join(out), np.int32).reshape(len(out), len(PREFIXES) + 1)
+    def buckets(self, terms: pa.Array | list[bytes]) -> np.ndarray:
+        return _buckets(terms if isinstance(terms, pa.Array) else pa.array(terms, pa.binary()))
 
     # ---- forward ---------------------------------------------------------
 
-    def projected(self, buckets: np.ndarray) -> list[list[np.ndarray]]:
-        """For each width and place in a window what every word adds to the filters; padding comes last."""
-        vectors = np.concatenate((self.vectors(buckets), np.zeros((1, DIM), np.float32)))
-        return self.products(vectors)
-
-    def products(self, vectors: np.ndarray) -> list[list[np.ndarray]]:
-        out = [[np.empty((len(vectors), FILTERS), np.float32) for _ in range(k)] for k in WIDTHS]
+    def projected(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``products`` of every word; padding comes last."""
+        return self.products(np.concatenate((self.vectors(buckets.T), np.zeros((1, DIM), np.float32))))
+
+    def products(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What every word adds to the filters, for each width and place in a window, and at which of these places (a
+        bit each) it adds more to some filter than its part of what the bias lacks."""
+        weights = np.concatenate([x for w in self.w for x in w], axis=1)
+        least = np.concatenate([np.tile(-b / k - 1e-5 * (1 + np.abs(b)), k)  # room for rounding
+                                for k, b in zip(WIDTHS, self.b)])
+        least = np.tile(least, (ROWS, 1))
+        bits = 1 << np.arange(sum(WIDTHS), dtype=np.uint8)
+        added, lifts = np.empty((len(vectors), COLUMNS), np.float32), np.empty(len(vectors), np.uint8)
         for i in range(0, len(vectors), ROWS):
-            some = vectors[i:i + ROWS]
-            for parts, w in zip(out, self.w):
-                for part, x in zip(parts, w):
-                    np.matmul(some, x, out=part[i:i + ROWS])
-        return out
-
-    def vectors(self, buckets: np.ndarray) -> np.ndarray:
-        total = self.e.take(buckets[:, 0], axis=0)
-        for column in buckets.T[1:]:
+            part = np.matmul(vectors[i:i + ROWS], weights, out=added[i:i + ROWS])
+            some = (part > least[:len(part)]).view(np.uint64) != 0  # eight filters, a byte each
+            np.matmul(some.view(np.uint8), bits, out=lifts[i:i + ROWS])
+        return added, lifts
+
+    def vectors(self, columns: np.ndarray) -> np.ndarray:
+        """Of words from their buckets, a row for each place of a bucket."""
+        total = self.e.take(columns[0], axis=0)
+        for column in columns[1:]:
             total += self.e.take(column, axis=0)
         return total
 
-    def pooled(self, added: list[list[np.ndarray]], codes: np.ndarray, starts: np.ndarray,
-               where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Max over each text of every filter, and where it first stands; exact where above 0, else at most 0.
+    def pooled(self, added: np.ndarray, lifts: np.ndarray, codes: np.ndarray, starts: np.ndarray,
+               rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Max over each text of every filter; exact where above 0, else at most 0.
 
-        ``codes`` are rows of ``added`` with ``PAD`` rows of padding after each text; a
+        ``codes`` are places in ``lifts`` with ``PAD`` places of padding after each text; a
         window may begin at a word or at the first padding of a text.  A window none of
-        whose words adds more than its part of what the bias lacks stays at or below 0.
+        whose words lifts a filter stays at or below 0.  ``rows`` has the row of ``added``
+        of each code where that is another; with it also where each max first stands.
         """
         ends = np.concatenate((starts[1:], [len(codes)])) - PAD + 1
-        inside = np.zeros(len(codes), bool)
-        inside[ends[:, None] + np.arange(PAD - 1)] = True
-        best, at = [], []
-        for k, parts, b in zip(WIDTHS, added, self.b):
-            least = -b / k - 1e-5 * (1 + np.abs(b))  # room for rounding
+        inside = ends[:, None] + np.arange(PAD - 1)
+        lifted = lifts.take(codes)
+        hot = np.flatnonzero(lifted != 0)
+        lifted = lifted[hot]
+        adds = added.reshape(-1, FILTERS)
+        best, at, place = [], [], 0
+        for k, b in zip(WIDTHS, self.b):
             some = np.zeros(len(codes), bool)
-            for j, part in enumerate(parts):
-                lifts = (part > least).view(np.uint64).ravel() != 0  # eight filters, a byte each
-                some[:len(codes) - j] |= lifts.take(codes[j:])
+            for j in range(k):
+                some[hot[lifted & (1 << place + j) != 0] - j] = True  # below 0 is the end, which is inside
             some[inside] = False
             places = np.flatnonzero(some)
             z = np.repeat(b[None, :], len(places), axis=0)
-            for j, part in enumerate(parts):
-                z += part[codes[places + j]]
+            for j in range(k):
+                code = codes[places + j]
+                z += adds.take((code if rows is None else rows[code]) * sum(WIDTHS) + place + j, axis=0)
             text = np.searchsorted(starts, places, "right") - 1
             first = np.flatnonzero(np.diff(text, prepend=-1))
             top = np.zeros((len(starts), FILTERS), np.float32)
             if len(first):
                 top[text[first]] = np.maximum.reduceat(z, first)
             best.append(top)
-            if where:
+            if rows is not None:
                 stands = np.repeat(starts[:, None], FILTERS, axis=1)
-                hit = z == top[text]
-                for f in range(FILTERS):
-                    rows = np.flatnonzero(hit[:, f])[::-1]  # the first place is written last
-                    stands[text[rows], f] = places[rows]
+                hit, filters = (x[::-1] for x in np.nonzero(z == top[text]))  # the first place is written last
+                stands[text[hit], filters] = places[hit]
                 at.append(stands)
-        return np.concatenate(best, axis=1), np.concatenate(at, axis=1) if where else None
+            place += k
+        return np.concatenate(best, axis=1), None if rows is None else np.concatenate(at, axis=1)
 
     def logits(self, words: Words, buckets: np.ndarray | None = None) -> np.ndarray:
         if buckets is None:
-            buckets = self.buckets(words.terms.to_pylist())
-        added, pad = self.projected(buckets), len(buckets)
+            buckets = self.buckets(words.terms)
+        (added, lifts), pad = self.projected(buckets), len(buckets)
         n = len(words.offsets) - 1
         top = np.empty((n, len(self.v)), np.float32)
         first = 0
@@ -182,11 +195,11 @@ class Classifier:
                 parts = []
                 for s, e in pieces:
                     codes = np.concatenate((words.codes[s:e], [pad] * PAD))
-                    parts.append(self.pooled(added, codes, np.array([0]))[0])
+                    parts.append(self.pooled(added, lifts, codes, np.array([0]))[0])
                 top[first] = np.max(parts, axis=0)
             else:
                 codes, starts = padded(words, np.arange(first, last), pad)
-                top[first:last] = self.pooled(added, codes, starts)[0]
+                top[first:last] = self.pooled(added, lifts, codes, starts)[0]
             first = last
         return np.maximum(top, 0) @ self.v + self.c
 
@@ -195,8 +208,9 @@ class Classifier:
         known, zero = self.languages.words, np.zeros(len(self.languages.languages), np.float32)
         if not len(words.terms) or not len(zero):
             return np.zeros(len(words.offsets) - 1, np.int64)
-        table = np.array([known.get(t, zero) for t in words.terms.to_pylist()], np.float64)
-        return sums(table[words.codes], words.offsets).argmax(axis=1)
+        table = np.concatenate([*known.values(), zero]).reshape(-1, len(zero)).astype(np.float64)
+        place = pc.index_in(words.terms, pa.array(list(known), pa.binary())).fill_null(len(known)).to_numpy()
+        return sums(table[place[words.codes]], words.offsets).argmax(axis=1)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if self.constant:
@@ -207,13 +221,15 @@ class Classifier:
 
     # ---- training --------------------------------------------------------
 
-    def train(self, words: Words, buckets: np.ndarray, label: np.ndarray, weight: np.ndarray, texts: np.ndarray,
-              rng: np.random.Generator, slow: dict) -> None:
-        """AdaGrad over some of the texts; ``slow`` holds its sums of squares."""
-        pad = len(buckets)
-        buckets = np.concatenate((buckets, np.zeros((1, buckets.shape[1]), buckets.dtype)))
-        held = np.zeros(pad + 1, bool)
-        places = np.empty(pad + 1, np.int64)
+    def train(self, words: Words, here: np.ndarray, columns: np.ndarray, label: np.ndarray, weight: np.ndarray,
+              texts: np.ndarray, rng: np.random.Generator, slow: dict) -> None:
+        """AdaGrad over some of the texts, with the buckets as ``in_order`` gives them; ``slow`` holds its sums of
+        squares."""
+        pad = columns.shape[1] - 1
+        whole, self.e = self.e, self.e[here]
+        lifting, held = np.zeros(pad + 1, np.uint8), np.zeros(pad + 1, bool)
+        places = np.empty(pad + 1, np.intp)
+        squared, flat, each = slow["e"][here], self.e.reshape(-1), np.arange(DIM)
         for _ in range(EPOCHS):
             order = rng.permutation(texts)
             for batch in (order[i:i + BATCH] for i in range(0, len(order), BATCH)):
@@ -222,10 +238,9 @@ class Classifier:
                 seen = np.flatnonzero(held)
                 held[seen] = False
                 places[seen] = np.arange(len(seen))
-                local = places[codes]
-                vectors = self.vectors(buckets[seen])
-                added = self.products(vectors)
-                top, at = self.pooled(added, local, starts, True)
+                vectors = self.vectors(columns.take(seen, axis=1))
+                added, lifting[seen] = self.products(vectors)
+                top, at = self.pooled(added, lifting, codes, starts, places)
                 act = np.maximum(top, 0)
                 p = 1 / (1 + np.exp(-np.clip(act @ self.v + self.c, -30, 30)))
                 d = ((p - label[batch]) * weight[batch] / weight[batch].sum()).astype(np.float32)
@@ -234,11 +249,12 @@ class Classifier:
                 for k, (width, w) in enumerate(zip(WIDTHS, self.w)):
                     part = slice(k * FILTERS, (k + 1) * FILTERS)
                     g, where = back[:, part], at[:, part]
+                    text, filters = np.nonzero(g)
                     for j in range(width):
-                        x = vectors[local[where + j]]
-                        gw = np.einsum("nf,nfd->df", g, x)
-                        rows.append(seen[local[where + j]].ravel())
-                        grads.append((g[:, :, None] * w[j].T[None]).reshape(-1, DIM))
+                        code = codes[where + j]
+                        gw = np.einsum("nf,nfd->df", g, vectors[places[code]])
+                        rows.append(code[text, filters])
+                        grads.append(g[text, filters][:, None] * w[j].T[filters])
                         slow["w"][k][j] += gw * gw
                         w[j] -= RATE * gw / np.sqrt(slow["w"][k][j])
                     gb = g.sum(axis=0)
@@ -250,15 +266,18 @@ class Classifier:
                 gc = float(d.sum())
                 slow["c"] += gc * gc
                 self.c -= np.float32(RATE * gc / slow["c"] ** 0.5)
-                row, grad = np.concatenate(rows), np.concatenate(grads)
-                used, place = np.unique(row, return_inverse=True)
+                used, place = np.unique(np.concatenate(rows), return_inverse=True)
                 total = np.zeros((len(used), DIM), np.float32)
-                np.add.at(total, place, grad)
-                for column in buckets[used].T:
-                    some = column > 0
-                    np.add.at(slow["e"], column[some], (total[some] ** 2).mean(axis=1))
-                    np.add.at(self.e, column[some],
-                              -0.3 * RATE * total[some] / np.sqrt(slow["e"][column[some]])[:, None])
+                np.add.at(total.reshape(-1), (place[:, None] * DIM + each).ravel(), np.concatenate(grads).ravel())
+                square, step = (total ** 2).mean(axis=1), -0.3 * RATE * total
+                for column in columns[:, used]:
+                    some = np.flatnonzero(column)
+                    column = column[some]
+                    np.add.at(squared, column, square[some])
+                    np.add.at(flat, (column[:, None] * DIM + each).ravel(),
+                              (step[some] / np.sqrt(squared[column])[:, None]).ravel())
+        whole[here], slow["e"][here] = self.e, squared
+        self.e = whole
 
 
 def padded(words: Words, texts: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,6 +292,19 @@ def padded(words: Words, texts: np.ndarray, pad: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(parts), np.array(starts)
 
 
+def in_order(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a block's words in the order in which they come, so that what is read together lies together,
+    and the places in it of each word's buckets, a row for each place of a bucket; padding comes last."""
+    first = np.full(BUCKETS, buckets.size + 1)
+    first[buckets.ravel()[::-1]] = np.arange(buckets.size, 0, -1)
+    first[0] = 0
+    here = np.argsort(first, kind="stable")[:np.count_nonzero(first <= buckets.size)]
+    first[here] = np.arange(len(here))
+    columns = np.zeros((buckets.shape[1], len(buckets) + 1), np.intp)
+    columns[:, :-1] = first[buckets.T]
+    return here, columns
+
+
 def subset(words: Words, texts: np.ndarray) -> Words:
     """Some of the texts, with the same terms."""
     parts = [words.codes[words.offsets[i]:words.offsets[i + 1]] for i in texts]
@@ -365,10 +397,7 @@ class Block:
         self.label = rows["_label"].to_numpy().astype(np.int64)
         self.fold = rows["_part"].to_numpy() % FOLDS
         self.langs = rows["_lang"].to_pylist()
-        terms = self.words.terms
-        self.buckets = np.empty((len(terms), len(PREFIXES) + 1), np.int32)
-        for i in range(0, len(terms), 1 << 14):
-            self.buckets[i:i + (1 << 14)] = [_buckets(t) for t in terms[i:i + (1 << 14)].to_pylist()]
+        self.buckets = _buckets(self.words.terms)
 
     def packed(self) -> bytes:
         kept = copy.copy(self)
@@ -435,8 +464,9 @@ def _hits(block: Block) -> pa.Table:
     hits = np.zeros((FOLDS * 2, BUCKETS + 1), np.int64)
     words, row = block.words, block.fold * 2 + block.label
     for i, k in enumerate(row):
-        some = np.unique(block.buckets[np.unique(words.codes[words.offsets[i]:words.offsets[i + 1]])])
-        hits[k, some] += 1
+        some = words.codes[words.offsets[i]:words.offsets[i + 1]]
+        some = block.buckets[np.unique(some) if len(some) > STEP else some]
+        hits[k][some.ravel()] += 1  # once for a bucket that is there several times
         hits[k, BUCKETS] += 1
     some = np.flatnonzero(hits.any(axis=0))
     return pa.table([pa.array(some), *(pa.array(h[some]) for h in hits)],
@@ -461,13 +491,13 @@ def _language_words(block: Block) -> pa.Table:
 def _learned(block: Block, plan: Plan) -> pa.Table:
     """The weights that each model changes in all epochs over a block."""
     fresh = Classifier(rng := np.random.default_rng(SEED))
-    weight, out = np.sqrt(plan.weight[block.label]), []
+    weight, out, buckets = np.sqrt(plan.weight[block.label]), [], in_order(block.buckets)
     for i, learns in enumerate(plan.learns):
         texts = np.flatnonzero(np.isin(block.fold, learns))
         if len(texts):
             model = plan.model(fresh, i)
             before = model.e.copy()
-            model.train(block.words, block.buckets, block.label, weight, texts, copy.deepcopy(rng), squares())
+            model.train(block.words, *buckets, block.label, weight, texts, copy.deepcopy(rng), squares())
             some, more = np.flatnonzero((model.e != before).any(axis=1)), others(model)
             places, rows = np.concatenate((some, BUCKETS + np.arange(len(more)))), np.concatenate((model.e[some], more))
             out.append(pa.table([pa.array(np.full(len(places), i, np.int32)), pa.array(places.astype(np.int32)),
@@ -618,7 +648,6 @@ def score(df: DataFrame, model: Classifier, id_column: str = "doc_id", text_colu
         for block in blocks(batches):
             found = pa.array(shared.value.scores(block.column(1)))
             yield pa.RecordBatch.from_arrays([block.column(0), found, *block.columns[2:]], names)
-        shared.value.cache.clear()  # words of other tasks differ
         trim()
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}

@@ -1,5 +1,7 @@
 """Tokenizer, toxicity, language ID: public library, held-out accuracy, edge rows."""
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -194,6 +196,85 @@ def test_pooling_equals_plain_convolution():
     assert np.allclose(model.logits(words), want, atol=1e-5)
 
 
+def test_buckets_equal_those_of_each_word(monkeypatch):
+    import xxhash
+    words = [b"a", b"ab", b"abc", b"abcdefgh", "é".encode(), "éàü".encode(), "日本語テスト文".encode(), "abé".encode(),
+             b"ab\xff\xfecd", b"\xed\xa0\x80xyz", b"abcdzz", b"abcdef"]
+
+    def plain(word):
+        text = word.decode("utf-8", "replace")
+        keys = [word] + [b"%d:" % n + text[:n].encode() for n in toxicity.PREFIXES if len(text) >= n]
+        found = [xxhash.xxh3_64_intdigest(key) % (toxicity.BUCKETS - 1) + 1 for key in keys]
+        return found + [0] * (len(toxicity.PREFIXES) + 1 - len(found))
+
+    model = toxicity.Classifier(np.random.default_rng(0))
+    for some in (words, words[:8], words[:1], []):
+        assert model.buckets(some).tolist() == [plain(word) for word in some]
+    assert toxicity._buckets(pa.array(words, pa.binary())[3:]).tolist() == [plain(word) for word in words[3:]]
+    calls, digest = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda key: calls.append(key) or digest(key))
+    same = [b"prefix%d" % i for i in range(1000)]
+    found = model.buckets(same)
+    assert len(calls) == len(same) + len(toxicity.PREFIXES)  # a prefix of many words is hashed once
+    assert found.tolist() == [plain(word) for word in same]
+
+
+def test_training_equals_plain_gradients():
+    """Against windows one by one and the gradients of every text, with the same batches."""
+    words = split_words(pa.array(["bad one two", "one two three four", "", "badly two two bad", "é three", "four one bad"]),
+                        toxicity.LETTERS)
+    label, weight = np.array([1, 0, 0, 1, 0, 1]), np.array([1.0, 0.5, 0.5, 1.0, 0.5, 1.0])
+    texts = np.array([0, 1, 2, 3, 5])
+    got = toxicity.Classifier(np.random.default_rng(3))
+    buckets = got.buckets(words.terms)
+    got.e[buckets[:2, 0], 0] = 0.7
+    want = copy.deepcopy(got)
+    slow = toxicity.squares()
+    got.train(words, *toxicity.in_order(buckets), label, weight, texts, np.random.default_rng(6), slow)
+
+    def step(x, sums, gradient, rate):
+        sums += gradient ** 2
+        x -= rate * gradient / np.sqrt(sums)
+
+    sums, rng = toxicity.squares(), np.random.default_rng(6)
+    for _ in range(toxicity.EPOCHS):
+        order, back = rng.permutation(texts), []
+        for i in order:
+            rows = [buckets[c] for c in words.codes[words.offsets[i]:words.offsets[i + 1]]]
+            n, rows = len(rows), rows + [np.zeros(buckets.shape[1], int)] * toxicity.PAD
+            x = np.array([want.e[row].sum(axis=0) for row in rows])
+            z = [np.array([sum(x[t + j] @ w[j] for j in range(k)) + b for t in range(n + 1)])
+                 for k, w, b in zip(toxicity.WIDTHS, want.w, want.b)]
+            back.append((rows, x, np.concatenate([a.max(axis=0) for a in z]), np.concatenate([a.argmax(axis=0) for a in z])))
+        act = np.maximum([top for _, _, top, _ in back], 0)
+        d = (1 / (1 + np.exp(-(act @ want.v + want.c))) - label[order]) * weight[order] / weight[order].sum()
+        g = d[:, None] * want.v * (act > 0)
+        gw, ge = [np.zeros_like(w) for w in want.w], {}
+        for grads, (rows, x, _, at) in zip(g, back):
+            for f in np.flatnonzero(grads):
+                k, f8 = divmod(f, toxicity.FILTERS)
+                for j in range(toxicity.WIDTHS[k]):
+                    gw[k][j, :, f8] += grads[f] * x[at[f] + j]
+                    key = tuple(rows[at[f] + j])
+                    ge[key] = ge.get(key, 0) + grads[f] * want.w[k][j, :, f8]
+        for k in range(len(toxicity.WIDTHS)):
+            step(want.w[k], sums["w"][k], gw[k], toxicity.RATE)
+            step(want.b[k], sums["b"][k], g[:, k * toxicity.FILTERS:(k + 1) * toxicity.FILTERS].sum(axis=0), toxicity.RATE)
+        step(want.v, sums["v"], act.T @ d, toxicity.RATE)
+        sums["c"] += d.sum() ** 2
+        want.c -= toxicity.RATE * d.sum() / sums["c"] ** 0.5
+        for place in range(buckets.shape[1]):
+            own = [(key[place], grad) for key, grad in ge.items() if key[place]]
+            for bucket, grad in own:
+                sums["e"][bucket] += (grad ** 2).mean()
+            for bucket, grad in own:
+                want.e[bucket] -= 0.3 * toxicity.RATE * grad / np.sqrt(sums["e"][bucket])
+    assert np.abs(got.e - toxicity.Classifier(np.random.default_rng(3)).e).max() > 0.01
+    assert np.allclose(got.e, want.e, atol=1e-4) and np.allclose(slow["e"], sums["e"], atol=1e-4)
+    for a, b in zip((*got.w, got.b, got.v, got.c), (*want.w, want.b, want.v, want.c)):
+        assert np.allclose(a, b, atol=1e-3)
+
+
 def test_language_of_unseen_words_and_odd_rows(spark):
     train = [(i, t, lang) for i, (t, lang) in enumerate(
         [("the house and the tree with the birds", "en"), ("la maison et les arbres avec des oiseaux", "fr"),
