@@ -5,8 +5,9 @@ first 3 to 6 characters.  Filters of widths 1, 2 and 3 slide over the
 words, their outputs are max-pooled over the whole text and weighed by a
 logistic output.  Scoring is a table of projections per distinct word and
 sums of its rows, so a text of any length is read whole in bounded memory.
-Outputs at or below 0 have no effect, so only windows with a word that could
-lift one above 0 are summed; the result is that of all windows.
+Outputs at or below 0 have no effect, nor do those below another of the text, so
+only windows whose words could lift one higher are summed; the result is that of
+all windows.
 
 ``fit`` learns from every labelled row.  The rows are dealt by a hash to blocks
 of about ``BLOCK_ROWS``, whose words are coded once and written.  Every bucket
@@ -57,10 +58,9 @@ EPOCHS, BATCH, RATE, SEED = 5, 256, 0.05, 71
 LANGUAGE_WORDS, SHRINK, FOLDS = 3000, 5, 4
 #: Ranges of scores to 1, in the calibration.
 CELLS = 1024
-#: Columns of the projections: each filter at each place in its window.
-COLUMNS = sum(WIDTHS) * FILTERS
-#: Rows that one product takes: few enough that the algebra library leaves a task to its one core.
-ROWS = 680
+#: Rows that one product takes, with all filters or those of a place: few enough that the algebra library leaves a
+#: task to its one core.
+ROWS, PRODUCTS = 680, 4096
 #: Words that are hashed at once.
 TERMS = 1 << 17
 #: Words that one step of the scoring holds.
@@ -112,24 +112,18 @@ class Classifier:
 
     # ---- forward ---------------------------------------------------------
 
-    def projected(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``products`` of every word; padding comes last."""
-        return self.products(np.concatenate((self.vectors(buckets.T), np.zeros((1, DIM), np.float32))))
-
-    def products(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What every word adds to the filters, for each width and place in a window, and at which of these places (a
-        bit each) it adds more to some filter than its part of what the bias lacks."""
-        weights = np.concatenate([x for w in self.w for x in w], axis=1)
-        least = np.concatenate([np.tile(-b / k - 1e-5 * (1 + np.abs(b)), k)  # room for rounding
-                                for k, b in zip(WIDTHS, self.b)])
-        least = np.tile(least, (ROWS, 1))
-        bits = 1 << np.arange(sum(WIDTHS), dtype=np.uint8)
-        added, lifts = np.empty((len(vectors), COLUMNS), np.float32), np.empty(len(vectors), np.uint8)
+    def bounds(self, vectors: np.ndarray) -> np.ndarray:
+        """For each width and place in a window the most that a word adds to a filter, in units of ``scales``."""
+        weights = np.concatenate([(x / r).T for w, r in zip(self.w, self.scales()) for x in w])
+        out = np.empty((sum(WIDTHS), len(vectors)), np.float32)
         for i in range(0, len(vectors), ROWS):
-            part = np.matmul(vectors[i:i + ROWS], weights, out=added[i:i + ROWS])
-            some = (part > least[:len(part)]).view(np.uint64) != 0  # eight filters, a byte each
-            np.matmul(some.view(np.uint8), bits, out=lifts[i:i + ROWS])
-        return added, lifts
+            some = np.matmul(weights, vectors[i:i + ROWS].T)
+            some.reshape(len(out), FILTERS, -1).max(axis=1, out=out[:, i:i + ROWS])
+        return out
+
+    def scales(self) -> list[np.ndarray]:
+        """For each width what a unit of the first component adds to each filter, by which filters are compared."""
+        return [np.maximum(w[:, 0].mean(axis=0), 0.1) for w in self.w]
 
     def vectors(self, columns: np.ndarray) -> np.ndarray:
         """Of words from their buckets, a row for each place of a bucket."""
@@ -138,50 +132,58 @@ class Classifier:
             total += self.e.take(column, axis=0)
         return total
 
-    def pooled(self, added: np.ndarray, lifts: np.ndarray, codes: np.ndarray, starts: np.ndarray,
-               rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Max over each text of every filter; exact where above 0, else at most 0.
-
-        ``codes`` are places in ``lifts`` with ``PAD`` places of padding after each text; a
-        window may begin at a word or at the first padding of a text.  A window none of
-        whose words lifts a filter stays at or below 0.  ``rows`` has the row of ``added``
-        of each code where that is another; with it also where each max first stands.
+    def windows(self, vectors: np.ndarray, codes: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+        """Outputs of the filters of width ``k`` (counted from 0) at some places."""
+        z = np.repeat(self.b[k][None], len(places), axis=0)
+        for i in range(0, len(places), PRODUCTS):
+            some = places[i:i + PRODUCTS]
+            for j, w in enumerate(self.w[k]):
+                z[i:i + PRODUCTS] += vectors.take(codes[some + j], axis=0) @ w
+        return z
+
+    def pooled(self, vectors: np.ndarray, bounds: np.ndarray, codes: np.ndarray, starts: np.ndarray,
+               where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Max over each text of every filter, and where it first stands; exact where above 0, else at most 0.
+
+        ``codes`` are rows of ``vectors`` with ``PAD`` rows of padding after each text; a
+        window may begin at a word or at the first padding of a text.  The sum of its
+        words' bounds says how far a window can lift a filter.  The one of the largest sum
+        is looked at first in each text, then all that can reach what it gives or 0.
         """
-        ends = np.concatenate((starts[1:], [len(codes)])) - PAD + 1
-        inside = ends[:, None] + np.arange(PAD - 1)
-        lifted = lifts.take(codes)
-        hot = np.flatnonzero(lifted != 0)
-        lifted = lifted[hot]
-        adds = added.reshape(-1, FILTERS)
+        sizes = np.diff(starts, append=len(codes))
+        inside = (starts + sizes)[:, None] - np.arange(1, PAD)
+        reach = np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max())
         best, at, place = [], [], 0
-        for k, b in zip(WIDTHS, self.b):
-            some = np.zeros(len(codes), bool)
-            for j in range(k):
-                some[hot[lifted & (1 << place + j) != 0] - j] = True  # below 0 is the end, which is inside
-            some[inside] = False
-            places = np.flatnonzero(some)
-            z = np.repeat(b[None, :], len(places), axis=0)
-            for j in range(k):
-                code = codes[places + j]
-                z += adds.take((code if rows is None else rows[code]) * sum(WIDTHS) + place + j, axis=0)
+        for k, (width, b, w, r) in enumerate(zip(WIDTHS, self.b, self.w, self.scales())):
+            upto = bounds[place].take(codes)
+            for j in range(1, width):
+                upto[:-j] += bounds[place + j].take(codes[j:])
+            place += width
+            upto[inside] = -np.inf
+            likely = np.flatnonzero(upto == np.repeat(np.maximum.reduceat(upto, starts), sizes))
+            likely = likely[np.searchsorted(likely, starts)]
+            least = np.maximum(self.windows(vectors, codes, likely, k), 0)
+            room = 1e-5 * (1 + np.abs(b) + least + reach * np.sqrt((w ** 2).sum(axis=1).max()))  # for rounding
+            places = np.flatnonzero(upto >= np.repeat(((least - b - room) / r).min(axis=1), sizes))
+            z = self.windows(vectors, codes, places, k)
             text = np.searchsorted(starts, places, "right") - 1
             first = np.flatnonzero(np.diff(text, prepend=-1))
             top = np.zeros((len(starts), FILTERS), np.float32)
             if len(first):
                 top[text[first]] = np.maximum.reduceat(z, first)
             best.append(top)
-            if rows is not None:
+            if where:
                 stands = np.repeat(starts[:, None], FILTERS, axis=1)
                 hit, filters = (x[::-1] for x in np.nonzero(z == top[text]))  # the first place is written last
                 stands[text[hit], filters] = places[hit]
                 at.append(stands)
-            place += k
-        return np.concatenate(best, axis=1), None if rows is None else np.concatenate(at, axis=1)
+        return np.concatenate(best, axis=1), np.concatenate(at, axis=1) if where else None
 
     def logits(self, words: Words, buckets: np.ndarray | None = None) -> np.ndarray:
         if buckets is None:
             buckets = self.buckets(words.terms)
-        (added, lifts), pad = self.projected(buckets), len(buckets)
+        vectors, pad = np.concatenate((self.vectors(buckets.T), np.zeros((1, DIM), np.float32))), len(buckets)
+        bounds = self.bounds(vectors)
         n = len(words.offsets) - 1
         top = np.empty((n, len(self.v)), np.float32)
         first = 0
@@ -195,11 +197,11 @@ class Classifier:
                 parts = []
                 for s, e in pieces:
                     codes = np.concatenate((words.codes[s:e], [pad] * PAD))
-                    parts.append(self.pooled(added, lifts, codes, np.array([0]))[0])
+                    parts.append(self.pooled(vectors, bounds, codes, np.array([0]))[0])
                 top[first] = np.max(parts, axis=0)
             else:
                 codes, starts = padded(words, np.arange(first, last), pad)
-                top[first:last] = self.pooled(added, lifts, codes, starts)[0]
+                top[first:last] = self.pooled(vectors, bounds, codes, starts)[0]
             first = last
         return np.maximum(top, 0) @ self.v + self.c
 
@@ -227,8 +229,7 @@ class Classifier:
         squares."""
         pad = columns.shape[1] - 1
         whole, self.e = self.e, self.e[here]
-        lifting, held = np.zeros(pad + 1, np.uint8), np.zeros(pad + 1, bool)
-        places = np.empty(pad + 1, np.intp)
+        held, places = np.zeros(pad + 1, bool), np.empty(pad + 1, np.intp)
         squared, flat, each = slow["e"][here], self.e.reshape(-1), np.arange(DIM)
         for _ in range(EPOCHS):
             order = rng.permutation(texts)
@@ -239,8 +240,8 @@ class Classifier:
                 held[seen] = False
                 places[seen] = np.arange(len(seen))
                 vectors = self.vectors(columns.take(seen, axis=1))
-                added, lifting[seen] = self.products(vectors)
-                top, at = self.pooled(added, lifting, codes, starts, places)
+                local = places[codes]
+                top, at = self.pooled(vectors, self.bounds(vectors), local, starts, True)
                 act = np.maximum(top, 0)
                 p = 1 / (1 + np.exp(-np.clip(act @ self.v + self.c, -30, 30)))
                 d = ((p - label[batch]) * weight[batch] / weight[batch].sum()).astype(np.float32)
@@ -251,9 +252,8 @@ class Classifier:
                     g, where = back[:, part], at[:, part]
                     text, filters = np.nonzero(g)
                     for j in range(width):
-                        code = codes[where + j]
-                        gw = np.einsum("nf,nfd->df", g, vectors[places[code]])
-                        rows.append(code[text, filters])
+                        gw = np.einsum("nf,nfd->df", g, vectors[local[where + j]])
+                        rows.append(codes[where[text, filters] + j])
                         grads.append(g[text, filters][:, None] * w[j].T[filters])
                         slow["w"][k][j] += gw * gw
                         w[j] -= RATE * gw / np.sqrt(slow["w"][k][j])

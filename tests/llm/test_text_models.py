@@ -219,6 +219,37 @@ def test_buckets_equal_those_of_each_word(monkeypatch):
     assert found.tolist() == [plain(word) for word in same]
 
 
+def test_few_windows_are_summed_where_every_word_adds_something(monkeypatch):
+    rng = np.random.default_rng(9)
+    model = toxicity.Classifier(rng)
+    texts = [" ".join(f"w{chr(97 + i)}{chr(97 + k)}" for k in rng.integers(0, 26, 700)) + " nasty word" for i in range(20)]
+    words = split_words(pa.array([*texts, "", "nasty"]), toxicity.LETTERS)
+    buckets = model.buckets(words.terms)
+    model.e[buckets[:, 0], 0] = 0.3
+    model.e[buckets[words.terms.to_pylist().index(b"nasty"), 0], 0] = 1.5
+    looked, windows = [], toxicity.Classifier.windows
+    monkeypatch.setattr(toxicity.Classifier, "windows",
+                        lambda self, v, c, places, k: looked.append(len(places)) or windows(self, v, c, places, k))
+    for case in range(4):
+        looked.clear()
+        x = np.concatenate((model.e[buckets].sum(axis=1), np.zeros((1, toxicity.DIM), np.float32)))
+        codes, starts = toxicity.padded(words, np.arange(22), len(buckets))
+        got, at = model.pooled(x, model.bounds(x), codes, starts, True)
+        for i, (s, e) in enumerate(zip(starts, [*starts[1:], len(codes)])):
+            z = [np.array([sum(x[codes[t + j]] @ w[j] for j in range(k)) + b for t in range(s, e - toxicity.PAD + 1)])
+                 for k, w, b in zip(toxicity.WIDTHS, model.w, model.b)]
+            top = np.concatenate([a.max(axis=0) for a in z])
+            assert np.allclose(np.maximum(got[i], 0), np.maximum(top, 0), atol=1e-5)
+            first = [a[at[i, k * toxicity.FILTERS + f] - s, f] for k, a in enumerate(z) for f in range(toxicity.FILTERS)]
+            assert np.allclose(np.array(first)[top > 0], top[top > 0], atol=1e-5)
+        if case == 0:
+            assert sum(looked) < 0.1 * len(codes) * len(toxicity.WIDTHS)
+        # odd weights: filters that no first component lifts, a bias above 0, vectors without a pattern
+        model.w = [w - np.float32(0.4) for w in model.w]
+        model.b += np.float32(0.2)
+        model.e[:, 1:] = rng.normal(0, 0.2, model.e[:, 1:].shape)
+
+
 def test_training_equals_plain_gradients():
     """Against windows one by one and the gradients of every text, with the same batches."""
     words = split_words(pa.array(["bad one two", "one two three four", "", "badly two two bad", "é three", "four one bad"]),
