@@ -1,11 +1,12 @@
 """Benchmark decontamination over a stored positional inverted index.
 
 ``build_index`` turns the documents into a distributed index: rows are cut
-into blocks of ``BLOCK_BYTES`` of text, and each block is one row that holds
+into blocks of ``INDEX_BYTES`` of text, and each block is one row that holds
 its distinct words, the sorted positions of each (a posting list) and where
 its documents begin.  Positions of different documents lie ``GAP`` apart, so
 no match crosses documents.  The index does not depend on any benchmark; it is
-written to the shared folder, and lost tasks read it again.
+written to the shared folder in row groups of a few blocks, so a task holds no more
+than these, and lost tasks read it again.
 
 ``search`` looks for phrases.  A phrase is searched in a block by taking the
 posting list of its rarest term there, moving it by the term's offset, and
@@ -36,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.llm.textblock import ALNUM, blocks, split_words
-from churnscope.session import stash
+from churnscope.session import LARGE_ROWS, stash
 
 WIDTH = 10
 #: Positions between documents; phrases and proximity windows are shorter.
 GAP = 64
+#: Text of a block: a row of the index, and the arrays that hold it in a task, stay below a megabyte or so.
+INDEX_BYTES = 1 << 19
 PART_BYTES = 16 << 20
 
 INDEX_SCHEMA = ("doc_ids array<long>, lengths array<int>, terms array<binary>, "
@@ -53,7 +56,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """One row per block of documents: its words with their positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, limit=INDEX_BYTES):
             words = split_words(block.column(1), ALNUM)
             lengths = np.diff(words.offsets)
             at = np.arange(len(words.codes)) + np.repeat(np.arange(len(lengths)) * GAP, lengths)
@@ -69,7 +72,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"),
                        F.col(text_column).cast("string").alias("text"))
-    return stash(rows.mapInArrow(run, INDEX_SCHEMA), "positional-index")
+    return stash(rows.mapInArrow(run, INDEX_SCHEMA), "positional-index", options=LARGE_ROWS)
 
 
 class Part:

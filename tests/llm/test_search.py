@@ -6,6 +6,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow.parquet as pq
 import zstandard
 from pyspark.sql import functions as F
 
@@ -69,6 +70,22 @@ def test_proximity(spark):
     assert {r.doc_id for r in decontaminate.proximity(index, bench, 3).collect()} == {2}
 
 
+def test_index_is_held_a_few_blocks_at_a_time(spark):
+    """However much text a task has, its row groups hold a few blocks: a task that reads one holds all of it."""
+    docs = spark.range(120).coalesce(1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(
+        F.sequence(F.lit(0), F.lit(49_999)), lambda i: F.conv(i * (F.col("id") + 7) % 9973, 10, 36))).alias("text"))
+    index = decontaminate.build_index(docs)
+    held = []
+    for path in index.inputFiles():
+        meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+        held += [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert len(held) > 1 and max(held) <= 9 << 20
+    assert max(sum(r.lengths) for r in index.select("lengths").collect()) <= 400_000  # a row's positions
+    bench = spark.createDataFrame([("hit", "0 7 e")], "item_id string, text string")
+    found = decontaminate.search(index, bench, 3)
+    assert found.count() == 120 and {r.doc_id for r in found.where("n_hit > 0").collect()} == {0}
+
+
 def _top(rows, k, every):
     clean = [(i, [int(np.floor(np.float64(x) * 256)) for x in v]) for i, v in rows
              if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
