@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.session import release, stash
+from churnscope.session import SORTED, release, stash
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -18,11 +18,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     if large:  # each node tells its larger neighbours its smallest one (or itself)
         sides = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stash(sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "star-min")
-        moved = (sides.where("b > a").join(least, "a")
+        moved = (sides.where("b > a").join(least.hint(SORTED), "a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
     else:  # each node tells its smaller neighbours, and itself, its smallest one
         least = stash(links.groupBy("a").agg(F.min("b").alias("m")), "star-min")
-        moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = links.join(least.hint(SORTED), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         moved = moved.union(least.select("a", F.col("m").alias("b"))).distinct()
     out = stash(moved, "links")
     release(links, least)

@@ -24,7 +24,8 @@ probability 2e-8; pairs below that count are no candidates.
   their full sets, and components follow from confirmed links alone.
 
 Work is keyed by posting pair, by pair of classes or by class; none of the
-steps gathers a list or a component in one task.
+steps gathers a list or a component in one task.  Joins sort both sides
+(``SORTED``); only a counted table of ids is broadcast (``BROADCAST_ROWS``).
 
 Edge cases: a text with fewer words than a shingle has its whole word
 sequence as its one shingle; without words (null, empty, blank) the set is
@@ -48,7 +49,7 @@ from pyspark.sql import functions as F
 
 from churnscope.llm.components import components
 from churnscope.llm.textblock import SPACED, blocks, buffer_of, split_words, trim
-from churnscope.session import release, stash
+from churnscope.session import SORTED, release, stash
 
 SHINGLE = 5
 SIMILARITY = (80, 100)  # intersection * 100 >= 80 * union
@@ -130,9 +131,9 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
 
 def _sets_of(used: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """(cls, values): the full set of each class in ``used``, from one document of it."""
-    used = stash(classes.join(used, "cls", "left_semi").select(
+    used = stash(classes.join(used.hint(SORTED), "cls", "left_semi").select(
         "cls", "key", F.col("one.doc_id").alias("_id"), F.col("one.tag").alias("_tag")), "near-used")
-    rows = F.broadcast(used) if used.count() <= BROADCAST_ROWS else used  # else the texts are shuffled
+    rows = F.broadcast(used) if used.count() <= BROADCAST_ROWS else used.hint(SORTED)  # else the texts are shuffled
     texts = docs.select("doc_id", "text", _tag("text").alias("tag")).join(
         rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select(
         "cls", "text", "key")
@@ -168,8 +169,8 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
                                              ["a", "b"])
 
     both = (pairs.select("a", "b").distinct()
-            .join(classes.select(F.col("cls").alias("a"), F.col("low").alias("low_a")), "a")
-            .join(classes.select(F.col("cls").alias("b"), F.col("low").alias("low_b")), "b"))
+            .join(classes.select(F.col("cls").alias("a"), F.col("low").alias("low_a")).hint(SORTED), "a")
+            .join(classes.select(F.col("cls").alias("b"), F.col("low").alias("low_b")).hint(SORTED), "b"))
     return stash(both.select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long"), "near-pairs")
 
 
@@ -192,8 +193,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
                 [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()),
                  pa.array(own, pa.list_(pa.int64()))], ["a", "b", "common", "linked", "own"])
 
-    joined = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("values").alias("one")), "a")
-              .join(sets.select(F.col("cls").alias("b"), F.col("values").alias("two")), "b"))
+    joined = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("values").alias("one")).hint(SORTED), "a")
+              .join(sets.select(F.col("cls").alias("b"), F.col("values").alias("two")).hint(SORTED), "b"))
     return stash(joined.select("a", "b", "one", "two").mapInArrow(
         run, "a long, b long, common long, linked boolean, own array<long>"), "near-compared")
 
@@ -201,7 +202,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
 def _mixed(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose ``key`` has more than one ``root``, with the smallest ``n`` of the key."""
     groups = rows.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least_n"))
-    return rows.join(stash(groups.where("low <> high").select(key, "least_n"), "mixed"), key)
+    return rows.join(stash(groups.where("low <> high").select(key, "least_n"), "mixed").hint(SORTED), key)
 
 
 def _recentred(family: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame] | None:
@@ -212,23 +213,24 @@ def _recentred(family: DataFrame, sets: DataFrame, similarity: tuple[int, int])
     """
     own = family.select("b", "cls", F.explode("own").alias("value"))
     often = own.groupBy("b", "value").agg(F.count("*").alias("k")).where("k > 1")
-    shares = own.join(often, ["b", "value"]).groupBy("b", "cls").agg(F.sum("k").alias("gain"))
+    shares = own.join(often.hint(SORTED), ["b", "value"]).groupBy("b", "cls").agg(F.sum("k").alias("gain"))
     whole = family.groupBy("b").agg(F.sum("common").alias("merit"), F.max("common").alias("n_hub"))
     likely = F.col("gain") + F.col("common") * F.col("merit") / F.col("n_hub")
-    found = family.select("b", "cls", "common").join(shares, ["b", "cls"]).join(whole, "b").where(
+    found = family.select("b", "cls", "common").join(shares.hint(SORTED), ["b", "cls"]).join(
+        whole.hint(SORTED), "b").where(
         likely > F.col("merit")).groupBy("b").agg(F.max(F.struct(likely.alias("likely"), "cls")).alias("best"))
     hubs = stash(found.select("b", F.col("best.cls").alias("c")), "new-hubs")
     if not hubs.take(1):
         release(hubs)
         return None
-    moved = stash(family.select("b", "cls", "n").join(hubs, "b"), "moved")
+    moved = stash(family.select("b", "cls", "n").join(hubs.hint(SORTED), "b"), "moved")
     pairs = moved.where("cls <> c").select(F.col("cls").alias("a"), F.col("c").alias("b")).distinct()
     near = _compared(pairs, sets, similarity)
     known = near.select(F.col("a").alias("cls"), F.col("b").alias("c"), "common", "own")
-    around = moved.join(known, ["cls", "c"], "left").select(
+    around = moved.join(known.hint(SORTED), ["cls", "c"], "left").select(
         "b", "cls", F.coalesce("common", "n").alias("common"),
         F.coalesce("own", F.array().cast("array<long>")).alias("own"), "n")  # the new hub has all of itself
-    rest = family.join(hubs, "b", "left_anti").select("b", "cls", "common", "own", "n")
+    rest = family.join(hubs.hint(SORTED), "b", "left_anti").select("b", "cls", "common", "own", "n")
     out = stash(rest.unionByName(around), "families")
     release(hubs, moved)
     return out, near
@@ -256,19 +258,19 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
         "cls", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long")).alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n_token")).where("n_token > 1")
     prefix = COORDINATES - matches + 1
-    chosen = (tokens.join(shared, "token").groupBy("cls")
+    chosen = (tokens.join(shared.hint(SORTED), "token").groupBy("cls")
               .agg(F.sort_array(F.collect_list(F.struct("n_token", "token"))).alias("some"))
               .withColumn("room", F.size("some") - (COORDINATES - prefix)).where("room > 0")
               .select("cls", F.expr("transform(slice(some, 1, room), x -> x.token)").alias("tokens"),
                       F.expr("aggregate(some, 0L, (s, x) -> s + x.n_token)").alias("weight")))
-    posts = stash(chosen.join(classes.select("cls", "n"), "cls"), "posts")
+    posts = stash(chosen.join(classes.select("cls", "n").hint(SORTED), "cls"), "posts")
 
     # every class of a posting list against one hub of it, the one that shares most
     posted = posts.select("cls", "n", "weight", F.explode("tokens").alias("token"))
     hubs = stash(posted.groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("hub"),
                                              F.count("*").alias("k"))
                  .where("k > 1").select("token", F.col("hub.cls").alias("b"), F.col("hub.n").alias("n_b")), "hubs")
-    star = posted.join(hubs, "token").where(F.col("cls") != F.col("b"))
+    star = posted.join(hubs.hint(SORTED), "token").where(F.col("cls") != F.col("b"))
     pairs = _agreeing(star.select(F.col("cls").alias("a"), "b"), classes, matches)
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, docs, shingle)
     near = _compared(pairs, sets, similarity)
@@ -278,7 +280,7 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     # what is left are pairs of different components in one list
     def named(df: DataFrame) -> DataFrame:
-        return df.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+        return df.join(roots.withColumnRenamed("node", "cls").hint(SORTED), "cls", "left").withColumn(
             "root", F.coalesce("root", "cls"))
 
     def sides(df: DataFrame, key: list[str], *columns: str) -> list[DataFrame]:
@@ -290,19 +292,22 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     # of which one does not agree with the hub: collisions are counted as the pairs meet
     known = near.select(F.col("a").alias("cls"), "b", F.lit(True).alias("known"))
-    lists = _mixed(named(posted.join(hubs, "token")), "token").join(known, ["cls", "b"], "left").withColumn(
+    lists = _mixed(named(posted.join(hubs.hint(SORTED), "token")), "token").join(
+        known.hint(SORTED), ["cls", "b"], "left").withColumn(
         "known", F.coalesce("known", F.col("cls") == F.col("b")))
-    lists = stash(lists.join(classes.select("cls", "sig"), "cls").select(
+    lists = stash(lists.join(classes.select("cls", "sig").hint(SORTED), "cls").select(
         "token", "cls", "n", "root", "known", "sig"), "mixed-lists")
     one, two = sides(lists, ["token"], "known", "sig")
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    loose = one.where("NOT known_a").join(two, "token").where(
+    loose = one.where("NOT known_a").join(two.hint(SORTED), "token").where(
         apart & (F.col("known_b") | ordered) & (same >= matches))
 
     # or of which both do: the family of a hub.  Families that have a better hub are moved around it, which
     # also finds links; all members stay compared with the one hub of their family
-    family = near.select(F.col("a").alias("cls"), "b", "common", "own").join(classes.select("cls", "n"), "cls")
-    heads = family.select("b").distinct().join(classes.select(F.col("cls").alias("b"), "n"), "b").select(
+    family = near.select(F.col("a").alias("cls"), "b", "common", "own").join(
+        classes.select("cls", "n").hint(SORTED), "cls")
+    heads = family.select("b").distinct().join(
+        classes.select(F.col("cls").alias("b"), "n").hint(SORTED), "b").select(
         F.col("b").alias("cls"), "b", F.col("n").alias("common"), F.array().cast("array<long>").alias("own"), "n")
     member = ["b", "cls", "common", "own", "n"]
     family = stash(_mixed(named(family.unionByName(heads)), "b").select(*member), "families")
@@ -324,7 +329,7 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     family = _mixed(named(family), "b")
     largest = family.groupBy("b").agg(F.max(F.struct("common", "cls", "root")).alias("h")).select(
         "b", F.col("h.root").alias("head"))
-    family = stash(family.join(largest, "b").withColumn("stray", F.col("root") != F.col("head")), "mixed-families")
+    family = stash(family.join(largest.hint(SORTED), "b").withColumn("stray", F.col("root") != F.col("head")), "mixed-families")
     # two components in a family: one of them is not the hub's
     stray = ~F.col("stray_b") | ordered
 
@@ -333,13 +338,13 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     needed = common_least(F.col("n_a"), F.col("n_b")) - F.least("common_a", "common_b")
     one, two = sides(family.where(F.col("common") * whole >= F.col("n") * part), ["b"], "common", "stray")
-    inside = one.where("stray_a").join(two, "b").where(apart & stray & (needed <= 0))
+    inside = one.where("stray_a").join(two.hint(SORTED), "b").where(apart & stray & (needed <= 0))
     own_needed = F.greatest(F.lit(1), common_least(F.col("n"), F.greatest(
         F.ceil(F.col("n") * part / whole), F.col("least_n"))) - F.col("common"))
     member = ["b", "cls", "n", "root", "common", "stray", "needed"]
     own = family.withColumn("needed", own_needed).select(*member, F.explode("own").alias("value"))
     often = own.groupBy("b", "value").agg(F.count("*").alias("k")).where("k > 1")
-    ranked = (own.join(often, ["b", "value"]).groupBy(*member)
+    ranked = (own.join(often.hint(SORTED), ["b", "value"]).groupBy(*member)
               .agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("some"))
               .select(*member, F.size("some").alias("shared"), F.posexplode("some").alias("place", "entry"))
               # the entries from this one to the end; those before it, and those nobody shares, are rarer
@@ -347,7 +352,7 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
               .where(F.col("left") >= F.col("needed")))
     ranked = stash(ranked, "mixed-shingles")
     one, two = sides(ranked, ["b", "value"], "common", "stray", "left")
-    outside = one.where("stray_a").join(two, ["b", "value"]).where(
+    outside = one.where("stray_a").join(two.hint(SORTED), ["b", "value"]).where(
         apart & stray & (F.least("left_a", "left_b") >= needed))
 
     cross = None
@@ -361,13 +366,13 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     all_roots = stash(components(links.union(more.where("linked").select("a", "b"))), "near-roots")
 
     # components are named by the smallest id of their classes
-    owned = classes.select("key", "cls", "least").join(all_roots.withColumnRenamed("node", "cls"), "cls", "left") \
-        .select("key", "least", F.coalesce("root", "cls").alias("root"))
+    owned = classes.select("key", "cls", "least").join(
+        all_roots.withColumnRenamed("node", "cls").hint(SORTED), "cls", "left").select("key", "least", F.coalesce("root", "cls").alias("root"))
     least = stash(owned.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
-    named = stash(owned.join(least, "root").select("key", "component_id"), "class-components")
+    named = stash(owned.join(least.hint(SORTED), "root").select("key", "component_id"), "class-components")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     release(classes, posts, hubs, near, *moves, roots, lists, family, ranked, more, all_roots, least)
     carried = [F.col(f"carry_{c}").alias(c) for c in carry]
-    return (rows.select("doc_id", "n_shingles", "key", *carried).join(named, "key", "left")
+    return (rows.select("doc_id", "n_shingles", "key", *carried).join(named.hint(SORTED), "key", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"),
                     F.col("doc_id").eqNullSafe(component).alias("kept"), *carry))

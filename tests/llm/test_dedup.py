@@ -6,9 +6,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from churnscope.llm import near_dedup, repeats
+from churnscope.llm import components as components_module, near_dedup, repeats
 from churnscope.llm.components import components
 from churnscope.llm.suffix_sort import sort_suffixes
+from churnscope.session import stash
 from churnscope.sources.tables import table_path
 from tests.conftest import SF_SMALL
 
@@ -138,3 +139,20 @@ def test_components(spark):
     want = {i: 0 for i in range(41)} | {100: 100, 102: 100, 104: 100} | {200 + i: 200 for i in range(30)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("module,run", [
+    (near_dedup, lambda df: near_dedup.near_groups(df, shingle=2)), (repeats, lambda df: repeats.dedup(df))])
+def test_no_table_is_broadcast_by_estimate(spark, texts, monkeypatch, module, run):
+    """Exploded and compressed tables are estimated far too small: only counted ones may go through the driver."""
+    plans = []
+
+    def explained(df):
+        plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple"))
+        return df
+
+    monkeypatch.setattr(module, "BROADCAST_ROWS", -1)  # none is counted as small
+    for place in (near_dedup, repeats, components_module):
+        monkeypatch.setattr(place, "stash", lambda df, *a, **b: stash(explained(df), *a, **b))
+    explained(run(spark.createDataFrame(texts, "doc_id long, text string"))).collect()
+    assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
