@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from churnscope.llm.anchors import anchor_runs
 from churnscope.llm.suffix_sort import sort_suffixes
 from churnscope.llm.textblock import blocks, buffer_of, trim
-from churnscope.session import release, stash
+from churnscope.session import SORTED, release, stash
 
 LENGTH = 200
 #: Differing runs of one anchor that a task sorts together.
@@ -180,7 +180,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, split: int = SPLIT) ->
     states = stash(runs.groupBy("mark").agg(F.count("*").alias("n"), F.min("all").alias("one"),
                                             F.max("all").alias("two"))
                    .where("n > 1").select("mark", (F.col("one") == F.col("two")).alias("equal")), "repeat-marks")
-    hit = runs.join(states, "mark")
+    hit = runs.join(states.hint(SORTED), "mark")
     differ = ~F.col("equal")
     hit = stash(hit.select(*DOC, "first", "last", *(F.when(differ, F.col(c)).alias(c) for c in ("at", "mark", "all"))),
                 "repeat-runs")
@@ -189,25 +189,25 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, split: int = SPLIT) ->
         F.count("*").alias("n"), F.min(F.struct(*DOC, "first", "last")).alias("run")), "repeat-kinds")
     sizes = stash(kinds.groupBy("mark").agg(F.ceil(F.count("*") / F.lit(split)).cast("long").alias("pieces")),
                   "repeat-sizes")
-    wanted = (kinds.join(sizes, "mark")
+    wanted = (kinds.join(sizes.hint(SORTED), "mark")
               .select("run.*", "mark", "all", "pieces", F.pmod("all", "pieces").alias("piece")))
     listed = stash(wanted.groupBy(*DOC).agg(F.collect_list(
         F.struct("first", "last", "mark", "all", "pieces", "piece")).alias("runs")), "repeat-wanted")
-    texts = _of_these(long, listed).join(listed, DOC).dropDuplicates(DOC)
+    texts = _of_these(long, listed).join(listed.hint(SORTED), DOC).dropDuplicates(DOC)
     dealt = _bytes_of(texts, length).repartition("mark", "piece").sortWithinPartitions("mark", "piece")
     found = stash(_sorted(dealt, length), "repeat-sorted")
     # strings that several pieces of a split anchor hold
     opened = found.select("mark", "all", F.explode("open").alias("o")).select("mark", "all", "o.place", "o.digest")
     twice = stash(opened.groupBy("digest").agg(F.count("*").alias("k")).where("k > 1").select("digest"),
                   "repeat-digests")
-    across = opened.join(twice, "digest").select("mark", "all", F.col("place").alias("low"),
+    across = opened.join(twice.hint(SORTED), "digest").select("mark", "all", F.col("place").alias("low"),
                                                  F.col("place").alias("high"))
     ends = stash(found.where(F.col("low").isNotNull()).select("mark", "all", "low", "high").union(across)
                  .groupBy("mark", "all").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-                 .join(kinds.where("n = 1").select("mark", "all", "run"), ["mark", "all"])
+                 .join(kinds.where("n = 1").select("mark", "all", "run").hint(SORTED), ["mark", "all"])
                  .select("run.id0", "run.sum0", (F.col("run.first") + F.col("low")).alias("begin"),
                          (F.col("run.first") + F.col("high") + length).alias("end")), "repeat-ends")
-    several = (mixed.join(kinds.where("n > 1").select("mark", "all"), ["mark", "all"])
+    several = (mixed.join(kinds.where("n > 1").select("mark", "all").hint(SORTED), ["mark", "all"])
                .select(*DOC, "first", "last"))
     whole = equal.select(*DOC, "first", "last").union(several)
     spans = whole.select(*DOC, F.col("first").alias("begin"), (F.col("last") + length).alias("end")).union(ends)
@@ -219,7 +219,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, split: int = SPLIT) ->
 def _of_these(docs: DataFrame, listed: DataFrame) -> DataFrame:
     """The documents of ``listed``, before any of their texts is shuffled if they are few."""
     ids = listed.select(*DOC)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, DOC, "left_semi")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint(SORTED), DOC, "left_semi")
 
 
 def dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH,
@@ -232,8 +232,8 @@ def dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     per_doc = removed_spans(docs, length, split)
     some = per_doc.select(*DOC)
     few = some.count() <= BROADCAST_ROWS
-    hit = docs.join(F.broadcast(some) if few else some, DOC, "left_semi").join(per_doc, DOC)
-    rest = docs.join(F.broadcast(some) if few else some, DOC, "left_anti")
+    hit = docs.join(F.broadcast(some) if few else some.hint(SORTED), DOC, "left_semi").join(per_doc.hint(SORTED), DOC)
+    rest = docs.join(F.broadcast(some) if few else some.hint(SORTED), DOC, "left_anti")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, column=0):

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from churnscope.llm.langid import LanguageModel
 from churnscope.llm.textblock import LETTERS, Words, blocks, buffer_of, in_child, split_words, sums, trim
-from churnscope.session import delete_path, release, scratch_path, stash
+from churnscope.session import SORTED, delete_path, release, scratch_path, stash
 
 #: Rows of a block, on average; bytes of text that one holds (or a single row); blocks of a file.
 BLOCK_ROWS, BLOCK_BYTES, BLOCKS_PER_FILE = 3200, 32 << 20, 4
@@ -608,7 +608,7 @@ def _thresholds(unseen: DataFrame, weight: np.ndarray, languages: int) -> np.nda
     taken = right + F.lit(float(weight[0])) * (F.sum(F.col("n") - F.col("p")).over(upto)
                                                + F.col("cn_above") - F.col("cp_above"))
     f1 = 2 * right / (taken + F.lit(float(weight[1])) * F.col("all_p"))
-    best = (rows.join(cells, ["of", "cell"]).select("of", "logit", "all_p", f1.alias("f1"))
+    best = (rows.join(cells.hint(SORTED), ["of", "cell"]).select("of", "logit", "all_p", f1.alias("f1"))
             .groupBy("of").agg(F.max(F.struct("f1", "logit"))["logit"].alias("cut"), F.first("all_p").alias("all_p")))
     found = (rows.join(best, "of").groupBy("of", "cut", "all_p")
              .agg(F.max(F.when(F.col("logit") < F.col("cut"), F.col("logit"))).alias("next")).collect())

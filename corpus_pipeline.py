@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from churnscope.llm import decontaminate, near_dedup, repeats, sentencepieces, toxicity
 from churnscope.llm.shipping import ship
-from churnscope.session import stash
+from churnscope.session import SORTED, stash
 from churnscope.sources.tables import read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -54,7 +54,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = stash(groups.where("kept").select("tag").distinct(), "kept-tags")
     rest = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
     rows = tagged.groupBy("tag").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), rest)
-    return rows.join(kept, "tag", "left_semi").select("doc_id", "text", "rest.*").select(*COLUMNS)
+    return rows.join(kept.hint(SORTED), "tag", "left_semi").select("doc_id", "text", "rest.*").select(*COLUMNS)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
